@@ -8,7 +8,7 @@ that Spark and DuckDB read alike, so the oracles use the same text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 POLICY_COLUMNS = [
     "CASE WHEN c_custkey % 20 = 7 THEN NULL WHEN c_custkey % 13 = 5 THEN '900004'"
@@ -67,8 +67,15 @@ CLAIM_COLUMNS = [
 ]
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is looked up in the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:

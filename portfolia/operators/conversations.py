@@ -32,7 +32,7 @@ def coalesce_turns(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     The first message's type is kept. Output: conversation, first turn, part, role,
     type, number of messages, text.
     """
-    runs = number_runs(messages, "conv_id", "turn", "role", "run", block)
+    runs = number_runs(messages, "conv_id", "turn", {"run": F.col("role")}, block)
     runs = runs.withColumn("_block", F.floor(F.col("turn") / block))
     spots = ["conv_id", "run", "_block"]
     # The part numbers come from one row per run and block, without texts.
@@ -62,48 +62,61 @@ def alternate_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     for the assistant. Leading assistant runs are dropped. An assistant run without
     text leaves two user runs side by side, of which the later stays.
     """
-    runs = number_runs(messages, "conv_id", "turn", "role", "_raw_run", block)
-    runs = runs.where(F.col("role").isin("user", "assistant"))
-    runs = number_runs(runs, "conv_id", "turn", "role", "run", block)
+    taking_part = F.when(F.col("role").isin("user", "assistant"), F.col("role"))
+    runs = number_runs(
+        messages, "conv_id", "turn", {"_raw_run": F.col("role"), "run": taking_part}, block
+    ).where(F.col("run").isNotNull())
     runs = runs.withColumn("_block", F.floor(F.col("turn") / block))
     spots = ["conv_id", "run", "_raw_run", "_block"]
-    # Which raw run counts, and the part numbers, from rows without texts.
-    slots = runs.groupBy(*spots).agg(F.min("turn").alias("_turn"))
-    heads = slots.groupBy("conv_id", "run").agg(
-        F.min("_raw_run").alias("_raw_run"), F.min("_turn").alias("first_turn")
+    is_text = F.col("type") == "text"
+    # Everything about runs is decided on slim rows, one per run and block, without texts.
+    slots = runs.groupBy(*spots).agg(
+        F.min("turn").alias("turn"), F.count_if(is_text).alias("n"), F.first("role").alias("role")
+    )
+    per_raw = slots.groupBy("conv_id", "run", "_raw_run").agg(
+        F.min("turn").alias("turn"), F.sum("n").alias("n"), F.first("role").alias("role")
+    )
+    heads = per_raw.groupBy("conv_id", "run").agg(
+        F.min(F.struct("_raw_run", "turn", "n", "role")).alias("head")
+    )
+    # Each run also reports to the two runs before it, which saves a window over a
+    # conversation's runs: is the next run empty, and is there one after that?
+    empty = (F.col("head.role") == "assistant") & (F.col("head.n") == 0)
+    reports = F.array(
+        F.struct(F.col("run").alias("to"), F.col("head"), F.lit(False).alias("gap"), F.lit(False).alias("later")),
+        F.struct((F.col("run") - 1).alias("to"), F.lit(None).alias("head"), empty.alias("gap"),
+                 F.lit(False).alias("later")),
+        F.struct((F.col("run") - 2).alias("to"), F.lit(None).alias("head"), F.lit(False).alias("gap"),
+                 F.lit(True).alias("later")),
+    )
+    kept = (
+        heads.select("conv_id", F.inline(reports)).groupBy("conv_id", F.col("to").alias("run"))
+        .agg(F.max("head").alias("head"), F.max("gap").alias("gap"), F.max("later").alias("later"))
+        .where(F.col("head").isNotNull() & ~empty)
+        .where((F.col("run") > 1) | (F.col("head.role") == "user"))
+        .where(~((F.col("head.role") == "user") & F.col("gap") & F.col("later")))
+        .select("conv_id", "run", F.col("head._raw_run").alias("_raw_run"),
+                F.col("head.turn").alias("first_turn"))
     )
     span = F.col("_block") - F.floor(F.col("first_turn") / block)
-    slots = slots.join(heads, ["conv_id", "run", "_raw_run"]).withColumns(
-        {"part": part_of(span, BLOCKS_PER_PART), "_opens": span == 0}
+    chosen = (
+        slots.join(kept, ["conv_id", "run", "_raw_run"])
+        .where((F.col("role") == "assistant") | (span == 0))
+        .select(*spots, "first_turn", part_of(span, BLOCKS_PER_PART).alias("part"))
     )
-    text = F.when(F.col("type") == "text", F.struct("turn", "text"))
+    texts = F.collect_list(F.when(is_text, F.struct("turn", "text")))
     pieces = runs.groupBy(*spots, "role").agg(
-        F.min_by("text", "turn").alias("_first_text"),
-        F.transform(F.array_sort(F.collect_list(text)), lambda p: p["text"]).alias("_texts"),
-    )
-    is_user = F.col("role") == "user"
-    turns = (
-        pieces.join(slots.drop("_turn"), spots)
-        .where(~is_user | F.col("_opens"))
-        .withColumn("_texts", F.when(is_user, F.array("_first_text")).otherwise(F.col("_texts")))
-        .groupBy("conv_id", "run", "part", "role", "first_turn")
-        .agg(F.array_sort(F.collect_list(F.struct("_block", "_texts"))).alias("_p"))
-        .withColumn("texts", F.flatten(F.transform("_p", lambda p: p["_texts"])))
-        .where(F.size("texts") > 0)
-        .where((F.col("run") > 1) | is_user)
-    )
-    first = heads.select("conv_id", "run")
-    # Runs alternate, so an absent successor with a later run means an empty assistant run.
-    present = turns.select("conv_id", F.col("run").alias("_next")).distinct()
-    runs_of = first.select("conv_id", (F.col("run") - 2).alias("run")).withColumn("_more", F.lit(True))
-    out = (
-        turns.join(present.withColumn("_has_next", F.lit(True)).withColumn("run", F.col("_next") - 1)
-                   .drop("_next"), ["conv_id", "run"], "left")
-        .join(runs_of, ["conv_id", "run"], "left")
-    )
-    stale = (F.col("role") == "user") & F.col("_has_next").isNull() & F.col("_more").isNotNull()
-    return out.where(~stale).select(
-        "conv_id", "first_turn", "part", "role", F.concat_ws(BLANK_LINE, "texts").alias("content")
+        F.min_by("text", "turn").alias("_first"),
+        F.transform(F.array_sort(texts), lambda p: p["text"]).alias("_texts"),
+    )
+    pieces = pieces.withColumn(
+        "_texts", F.when(F.col("role") == "user", F.array("_first")).otherwise(F.col("_texts"))
+    )
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_texts"))), lambda p: p["_texts"])
+    return (
+        pieces.join(chosen, spots)
+        .groupBy("conv_id", "first_turn", "part", "role")
+        .agg(F.concat_ws(BLANK_LINE, F.flatten(in_order)).alias("content"))
     )
 
 
@@ -121,6 +134,7 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
         return F.min(F.when(F.col("kind") == kind, at))
 
     ends = events.groupBy("stream_id").agg(
+        F.count(F.lit(1)).alias("_n"),
         first("done").alias("done_at"),
         first("error").alias("error_at"),
         F.min_by("body", F.when(F.col("kind") == "error", at)).alias("error_body"),
@@ -136,10 +150,14 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
         F.when(~failed, F.col("done_at")).alias("cut"),
         (~failed).alias("_keep"),
     )
-    live = salted_join(events, heads.where("_keep").select("stream_id", "cut"), "stream_id", "inner")
+    live = salted_join(
+        events.where(F.col("kind").isin("text", "tool_results")),
+        heads.where("_keep").select("stream_id", "cut"), "stream_id", "inner",
+        left_counts=ends.select("stream_id", "_n"), right_unique=True,
+    )
     live = live.where(F.col("cut").isNull() | (at < F.col("cut"))).drop("cut")
 
-    slot = F.floor(F.unix_seconds("ts") / seconds)
+    slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / seconds)
     per_slot = (
         live.where(F.col("kind") == "text").withColumn("_slot", slot)
         .groupBy("stream_id", "_slot")
@@ -154,8 +172,12 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
     sizes = per_slot.select("stream_id", "_slot", "n").withColumn(
         "part", part_of(F.sum("n").over(before) - F.col("n"), events_per_part)
     )
+    # A row without text per stream, so that streams without texts keep their record.
+    stubs = heads.select("stream_id", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("_slot"),
+                         F.lit(0).cast("long").alias("n"), F.lit("").alias("text"))
     texts = (
         per_slot.join(sizes.select("stream_id", "_slot", "part"), ["stream_id", "_slot"])
+        .unionByName(stubs)
         .groupBy("stream_id", "part")
         .agg(
             F.sum("n").alias("n_texts"),
@@ -168,12 +190,8 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
         F.max_by("body", at).alias("tool_result")
     )
     records = heads.select("stream_id", "status", "error_body").join(tools, "stream_id", "left")
-    # Text parts are the left side, so a stream with many parts can be split.
-    written = texts.join(records, "stream_id", "left")
-    silent = records.join(texts.select("stream_id").distinct(), "stream_id", "left_anti").withColumns(
-        {"part": F.lit(0), "n_texts": F.lit(0).cast("long"), "text": F.lit("")}
-    )
     failed_text = F.when(F.col("status") == "error", F.col("error_body")).otherwise(F.col("text"))
-    return written.unionByName(silent).select(
+    # Text parts are the left side, so a stream with many parts can be split.
+    return texts.join(records, "stream_id", "left").select(
         "stream_id", "part", "status", "n_texts", F.trim(failed_text).alias("text"), "tool_result"
     )

@@ -13,6 +13,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Most queries sent to the tasks at once; further queries run in further blocks.
@@ -117,60 +119,81 @@ def tokens(text: str) -> F.Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
+def _term_counts(words: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the vocabulary's terms per document, and document lengths."""
+    lengths = np.diff(words.offsets.to_numpy())
+    codes = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy()
+    row = np.repeat(np.arange(len(words)), lengths)
+    known = codes >= 0
+    cell = row[known] * len(vocabulary) + codes[known]
+    counts = np.bincount(cell, minlength=len(words) * len(vocabulary))
+    return counts.reshape(len(words), len(vocabulary)).astype(np.float64), lengths.astype(np.float64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def search_chunks(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                   max_queries: int = MAX_QUERIES) -> DataFrame:
     """BM25 top-k. Docs: ``doc_id, text`` and metadata; queries: ``query_id, text``.
 
-    Three passes: corpus size and mean length; document counts of the query terms;
-    scoring. Whole texts are read, and only query terms are counted.
+    Two passes over the corpus: document counts of the query terms with corpus size and
+    length, then scoring. Spark cuts the whole texts into words; the tasks count the
+    query terms in Arrow batches and give one row per term, or k rows per query.
     """
     _check_k(k)
     spark = docs.sparkSession
     words = docs.select("doc_id", tokens("text").alias("words"))
-    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words").cast("long")).alias("len")).first()
-    n_docs, total_len = size.n, size.len or 0
-    if not n_docs or not total_len:
-        return docs.select("doc_id").limit(0).selectExpr(
-            "cast(null as long) query_id", "doc_id", "0D score", "1 rank")
-    avg_len = total_len / n_docs
-
     parts = []
     for block in _blocks(queries, "query_id", max_queries):
         rows = block.select("query_id", tokens("text").alias("words")).orderBy("query_id").collect()
-        vocab = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.words}))}
+        vocab = sorted({t for r in rows for t in r.words})
         if not vocab:
             continue
-        terms = F.broadcast(spark.createDataFrame([(t,) for t in vocab], "term string"))
-        df = dict(
-            words.select(F.explode(F.array_distinct("words")).alias("term")).join(terms, "term")
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()
-        )
+        terms = spark.sparkContext.broadcast(vocab)
+
+        def count(batches: Iterator[pa.RecordBatch], terms=terms) -> Iterator[pa.RecordBatch]:
+            vocabulary = pa.array(terms.value, pa.string())
+            n, total, df = 0, 0, np.zeros(len(vocabulary), dtype=np.int64)
+            for batch in _slices(batches):
+                tf, lengths = _term_counts(batch.column("words"), vocabulary)
+                n, total, df = n + len(lengths), total + int(lengths.sum()), df + (tf > 0).sum(axis=0)
+            # The last two entries are the number of documents and their total length.
+            values = np.append(df, [n, total])
+            yield pa.RecordBatch.from_pydict({"entry": np.arange(len(values)), "value": values})
+
+        sums = words.mapInArrow(count, "entry long, value long").groupBy("entry").agg(F.sum("value").alias("v"))
+        counted = np.zeros(len(vocab) + 2)
+        for r in sums.collect():  # one row per query term
+            counted[r.entry] = r.v
+        df, n_docs, total_len = counted[:-2], counted[-2], counted[-1]
+        if not total_len:
+            continue
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         weights = np.zeros((len(vocab), len(rows)))
+        position = {t: i for i, t in enumerate(vocab)}
         for j, r in enumerate(rows):
             for t, qtf in Counter(r.words).items():
-                if t in df:
-                    weights[vocab[t], j] = qtf * math.log(1 + (n_docs - df[t] + 0.5) / (df[t] + 0.5))
+                weights[position[t], j] = qtf * idf[position[t]]
         ids = np.array([r.query_id for r in rows], dtype=np.int64)
-        sent = spark.sparkContext.broadcast((ids, vocab, weights))
+        sent = spark.sparkContext.broadcast((ids, weights, total_len / n_docs))
 
-        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, vocab, weights = sent.value
+        def score(batches: Iterator[pa.RecordBatch], terms=terms, sent=sent) -> Iterator[pa.RecordBatch]:
+            vocabulary = pa.array(terms.value, pa.string())
+            ids, weights, avg_len = sent.value
             best = _Best(ids, k)
-            for batch in batches:
-                for lo in range(0, len(batch), 512):
-                    part = batch.iloc[lo: lo + 512]
-                    tf = np.zeros((len(part), len(vocab)))
-                    for i, ws in enumerate(part["words"]):
-                        for t, c in Counter(ws).items():
-                            if (col := vocab.get(t)) is not None:
-                                tf[i, col] = c
-                    length = part["words"].map(len).to_numpy(np.float64)[:, None]
-                    norm = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len) + (tf == 0))
-                    best.add(part["doc_id"].to_numpy(np.int64), norm @ weights)
+            for batch in _slices(batches):
+                tf, lengths = _term_counts(batch.column("words"), vocabulary)
+                norm = K1 * (1 - B + B * lengths[:, None] / avg_len)
+                gain = np.divide(tf * (K1 + 1), tf + norm, out=np.zeros_like(tf), where=tf > 0)
+                best.add(batch.column("doc_id").to_numpy(), gain @ weights)
             out = best.frame()
-            yield out[out["score"] > 0]
+            yield pa.RecordBatch.from_pandas(out[out["score"] > 0], preserve_index=False)
 
-        parts.append(words.mapInPandas(score, RESULT))
+        parts.append(words.mapInArrow(score, RESULT))
     if not parts:
         return spark.createDataFrame([], RESULT + ", rank int")
     return _merge(reduce(DataFrame.unionByName, parts), k)

@@ -27,12 +27,18 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
 
 
+def key_counts(df: DataFrame, key: str) -> DataFrame:
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
+    left_counts: DataFrame | None = None,
+    right_unique: bool = False,
 ) -> DataFrame:
     """Equi-join on ``key`` with hot keys of either side spread over salts.
 
@@ -41,32 +47,33 @@ def salted_join(
     them, which bounds the broadcast list. A hot key's rows on one side get a salt
     and the matching rows of the other side are repeated once per salt, so each
     pair of rows still meets exactly once. ``how`` is ``inner`` or ``left``.
+
+    ``left_counts`` (``key, _n``) saves a pass when the counts are at hand, as does
+    ``right_unique`` for a right side with one row per key.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
 
-    def hot(df: DataFrame, name: str) -> DataFrame:
-        return (
-            df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .where(F.col("_n") >= rows_per_salt)
-            .select(key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(name))
+    def hot(counts: DataFrame, name: str) -> DataFrame:
+        return counts.where(F.col("_n") >= rows_per_salt).select(
+            key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(name)
         )
 
     # One row per hot key: how many salts its left rows and its right rows take.
-    fans = F.broadcast(
-        hot(left, "_fan_l").unionByName(hot(right, "_fan_r"), allowMissingColumns=True)
-        .groupBy(key)
-        .agg(F.coalesce(F.max("_fan_l"), F.lit(1)).alias("_fan_l"),
-             F.coalesce(F.max("_fan_r"), F.lit(1)).alias("_fan_r"))
-    )
+    fans = hot(key_counts(left, key) if left_counts is None else left_counts, "_fan_l")
+    if not right_unique:
+        fans = fans.unionByName(hot(key_counts(right, key), "_fan_r"), allowMissingColumns=True)
+        fans = fans.groupBy(key).agg(F.max("_fan_l").alias("_fan_l"), F.max("_fan_r").alias("_fan_r"))
+    else:
+        fans = fans.withColumn("_fan_r", F.lit(1))
+    fans = F.broadcast(fans)
 
     def spread(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
         out = df.withColumn("_row", row_salt(df, F.lit(1 << 30))).join(fans, key, "left")
         own_n = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce(F.col(own), F.lit(1)))
-        copies = F.coalesce(F.col(other), F.lit(1))
         return (
             out.withColumn(own_salt, F.pmod(F.col("_row"), own_n).cast("int"))
-            .withColumn("_copies", copies)
+            .withColumn("_copies", F.coalesce(F.col(other), F.lit(1)))
             .withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
             .drop("_row", "_fan_l", "_fan_r")
         )
@@ -83,46 +90,58 @@ def salted_join(
 
 
 def number_runs(
-    df: DataFrame,
-    group: str,
-    order: str,
-    value: str,
-    out: str,
-    block: int = BLOCK,
+    df: DataFrame, group: str, order: str, tracks: dict[str, Column], block: int = BLOCK
 ) -> DataFrame:
-    """Number the runs of equal ``value`` within each group, in ``order``.
+    """Number the runs of equal values within each group, in ``order``.
+
+    ``tracks`` maps an output column to a value; rows whose value is NULL are not part
+    of that track and get no number. Numbers start at 1.
 
-    A window over the group would put a hot group into one task. Instead the order
-    is cut into blocks of ``block`` units; runs are numbered inside a block, and
-    one summary row per block carries the offset across blocks. ``order`` is an
-    integer, unique within the group. Numbers start at 1.
+    A window over the group would put a hot group into one task. Instead the order is
+    cut into blocks of ``block`` units; runs are numbered inside a block, and one
+    summary row per block carries the offset across blocks. ``order`` is an integer,
+    unique within the group.
     """
-    rows = df.withColumn("_block", F.floor(F.col(order) / block))
     inside = Window.partitionBy(group, "_block").orderBy(order)
-    changed = ~F.lag(value).over(inside).eqNullSafe(F.col(value)) | (F.row_number().over(inside) == 1)
-    rows = rows.withColumn("_change", changed.cast("long"))
-    rows = rows.withColumn("_local", F.sum("_change").over(inside))
-
     across = Window.partitionBy(group).orderBy("_block")
-    blocks = rows.groupBy(group, "_block").agg(
-        F.min_by(value, order).alias("_first"),
-        F.max_by(value, order).alias("_last"),
-        F.max("_local").alias("_runs"),
+    earlier = (Window.unboundedPreceding, -1)
+
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    rows = rows.withColumns({f"_v_{t}": value for t, value in tracks.items()})
+    opens = {}
+    for t in tracks:
+        before = F.last(f"_v_{t}", ignorenulls=True).over(inside.rowsBetween(*earlier))
+        new = F.col(f"_v_{t}").isNotNull() & ~before.eqNullSafe(F.col(f"_v_{t}"))
+        opens[f"_o_{t}"] = new.cast("long")
+    rows = rows.withColumns(opens)
+    rows = rows.withColumns(
+        {f"_n_{t}": F.sum(f"_o_{t}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for t in tracks}
     )
+    aggs = []
+    for t in tracks:
+        present = F.when(F.col(f"_v_{t}").isNotNull(), F.col(order))
+        aggs += [F.min_by(f"_v_{t}", present).alias(f"_first_{t}"),
+                 F.max_by(f"_v_{t}", present).alias(f"_last_{t}"),
+                 F.max(f"_n_{t}").alias(f"_runs_{t}")]
+    blocks = rows.groupBy(group, "_block").agg(*aggs)
     # A block that opens with the value the previous one closed with continues its run.
-    blocks = blocks.withColumn(
-        "_joined",
-        (F.lag("_last").over(across).eqNullSafe(F.col("_first")) & (F.row_number().over(across) > 1))
-        .cast("long"),
-    ).withColumn(
-        "_offset",
-        F.coalesce(F.sum("_runs").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        - F.sum("_joined").over(across),
-    )
-    return (
-        rows.join(blocks.select(group, "_block", "_offset"), [group, "_block"])
-        .withColumn(out, F.col("_offset") + F.col("_local"))
-        .drop("_change", "_local", "_offset", "_block")
+    blocks = blocks.withColumns({
+        f"_joined_{t}": (
+            F.col(f"_first_{t}").isNotNull()
+            & F.last(f"_last_{t}", ignorenulls=True).over(across.rowsBetween(*earlier))
+            .eqNullSafe(F.col(f"_first_{t}"))
+        ).cast("long")
+        for t in tracks
+    })
+    offsets = [
+        (F.coalesce(F.sum(f"_runs_{t}").over(across.rowsBetween(*earlier)), F.lit(0))
+         - F.sum(f"_joined_{t}").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias(f"_offset_{t}")
+        for t in tracks
+    ]
+    numbered = rows.join(blocks.select(group, "_block", *offsets), [group, "_block"])
+    return numbered.select(
+        *df.columns,
+        *[F.when(F.col(f"_v_{t}").isNotNull(), F.col(f"_offset_{t}") + F.col(f"_n_{t}")).alias(t) for t in tracks],
     )
 
 

@@ -13,6 +13,17 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The same layout rules, one element and one heading level at a time.
+LAYOUT = [(r"(?s)<!--.*?-->", "")]
+LAYOUT += [(rf"(?is)<{e}\b.*?</{e}\s*>", "") for e in ("head", "script", "style", "nav", "footer", "noscript")]
+LAYOUT += [(rf"(?i)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+LAYOUT += [
+    (r"(?i)</?(p|div|article|section|main|header|ul|ol|table|tr|blockquote|h[1-6]|body|html)\b[^>]*>", "\n\n"),
+    (r"(?i)<(br|li)\b[^>]*>", "\n"), (r"(?s)<[^>]*>", ""),
+]
+SPACES = [(r"[ \t\r]+", " "), (r" ?\n ?", "\n"), (r"\n\n\n+", "\n\n"), (r"^\s+|\s+$", "")]
+
+
 def _regex_chain(expr: str, steps: list[tuple[str, str]]) -> str:
     for pattern, new in steps:
         expr = f"regexp_replace({expr}, {_quoted(pattern)}, {_quoted(new)}, 'g')"
@@ -28,7 +39,7 @@ def _entity_chain(expr: str) -> str:
 @query("parse_documents", f"""
 SELECT page_id, url,
   trim({_entity_chain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) AS title,
-  {_regex_chain(_entity_chain(_regex_chain('html', docs.layout_steps())), docs.SPACE_STEPS)} AS content
+  {_regex_chain(_entity_chain(_regex_chain('html', LAYOUT)), SPACES)} AS content
 FROM pages""")
 def _parse(spark, d):
     return docs.parse_documents(b.table(spark, d, "pages")).drop("html")

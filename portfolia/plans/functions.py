@@ -40,7 +40,7 @@ def _date(spark, d):
     text = scalar.format_time(ts)
     return b.table(spark, d, "events").select(
         "event_id", text.alias("as_text"), scalar.minutes_before(ts, 5).alias("five_before"),
-        F.to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")).alias("parsed"), ts.cast("date").alias("day"),
+        F.to_timestamp(text, "yyyy-MM-dd HH:mm:ss").alias("parsed"), ts.cast("date").alias("day"),
     )
 
 

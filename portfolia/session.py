@@ -25,6 +25,7 @@ def get_spark(app_name: str = "portfolia", cores: str | None = None) -> SparkSes
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
