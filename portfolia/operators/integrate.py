@@ -269,6 +269,26 @@ def risk_dashboard(
     return score_rows(has_claim_fill(joined, F.col("_claim").isNotNull())).select(*DASHBOARD_COLUMNS)
 
 
+def dashboard_from(integrated: DataFrame, exact: bool = False) -> DataFrame:
+    """Level 2 from a stored level 1, as the refresh chain computes it."""
+    rows = integrated.where(F.col("broker_id").isNotNull())
+    amount = F.sum("claim_amount_filled").cast("double")
+    stats = rows.groupBy("broker_id").agg(
+        F.count(F.lit(1)).alias("broker_customer_count"),
+        (amount / F.count(F.lit(1))).alias("broker_avg_claim"),
+    )
+    return with_broker_stats(score_rows(integrated), stats, exact).select(*DASHBOARD_COLUMNS)
+
+
+def matrix_from_dashboard(dashboard: DataFrame, exact: bool = False) -> DataFrame:
+    """Level 3 from a stored level 2, whose rows count once each."""
+    stats = dashboard.groupBy("broker_id").agg(
+        F.max("broker_customer_count").alias("broker_customer_count"),
+        F.max("broker_avg_claim").alias("broker_avg_claim"),
+    )
+    return broker_matrix(dashboard.withColumn("weight", F.lit(1).cast("long")), stats, exact)
+
+
 def broker_matrix(
     portfolio: DataFrame, stats: DataFrame, exact: bool = False, count_mode: str = "rows"
 ) -> DataFrame:

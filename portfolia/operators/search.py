@@ -115,19 +115,24 @@ def label_centroids(embeddings: DataFrame, vector: str = "embedding", label: str
     )
 
 
-def tokens(text: str) -> F.Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
-
-
-def _term_counts(words: pa.ListArray, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the vocabulary's terms per document, and document lengths."""
-    lengths = np.diff(words.offsets.to_numpy())
-    codes = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy()
-    row = np.repeat(np.arange(len(words)), lengths)
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Lower-case runs of letters and digits, cut by Arrow for a whole batch."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    return pc.split_pattern_regex(pc.utf8_lower(texts), pattern=TOKEN_SPLIT)
+
+
+def _term_counts(texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the vocabulary's terms per document, and document lengths in words."""
+    words = _words(texts)
+    row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    flat = words.flatten()
+    blank = pc.equal(flat, "").to_numpy(zero_copy_only=False)
+    lengths = np.bincount(row[~blank], minlength=len(words)).astype(np.float64)
+    codes = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy()
     known = codes >= 0
     cell = row[known] * len(vocabulary) + codes[known]
     counts = np.bincount(cell, minlength=len(words) * len(vocabulary))
-    return counts.reshape(len(words), len(vocabulary)).astype(np.float64), lengths.astype(np.float64)
+    return counts.reshape(len(words), len(vocabulary)).astype(np.float64), lengths
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -141,16 +146,17 @@ def search_chunks(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     """BM25 top-k. Docs: ``doc_id, text`` and metadata; queries: ``query_id, text``.
 
     Two passes over the corpus: document counts of the query terms with corpus size and
-    length, then scoring. Spark cuts the whole texts into words; the tasks count the
-    query terms in Arrow batches and give one row per term, or k rows per query.
+    length, then scoring. Whole texts are cut into words and counted in Arrow batches;
+    a task gives one row per term in the first pass and k rows per query in the second.
     """
     _check_k(k)
     spark = docs.sparkSession
-    words = docs.select("doc_id", tokens("text").alias("words"))
+    corpus = docs.select("doc_id", "text")
     parts = []
     for block in _blocks(queries, "query_id", max_queries):
-        rows = block.select("query_id", tokens("text").alias("words")).orderBy("query_id").collect()
-        vocab = sorted({t for r in rows for t in r.words})
+        rows = block.select("query_id", "text").orderBy("query_id").collect()
+        asked = [Counter(ws) for ws in _words(pa.array([r.text for r in rows], pa.string())).to_pylist()]
+        vocab = sorted({t for ws in asked for t in ws if t})
         if not vocab:
             continue
         terms = spark.sparkContext.broadcast(vocab)
@@ -159,13 +165,13 @@ def search_chunks(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
             vocabulary = pa.array(terms.value, pa.string())
             n, total, df = 0, 0, np.zeros(len(vocabulary), dtype=np.int64)
             for batch in _slices(batches):
-                tf, lengths = _term_counts(batch.column("words"), vocabulary)
+                tf, lengths = _term_counts(batch.column("text"), vocabulary)
                 n, total, df = n + len(lengths), total + int(lengths.sum()), df + (tf > 0).sum(axis=0)
             # The last two entries are the number of documents and their total length.
             values = np.append(df, [n, total])
             yield pa.RecordBatch.from_pydict({"entry": np.arange(len(values)), "value": values})
 
-        sums = words.mapInArrow(count, "entry long, value long").groupBy("entry").agg(F.sum("value").alias("v"))
+        sums = corpus.mapInArrow(count, "entry long, value long").groupBy("entry").agg(F.sum("value").alias("v"))
         counted = np.zeros(len(vocab) + 2)
         for r in sums.collect():  # one row per query term
             counted[r.entry] = r.v
@@ -175,9 +181,10 @@ def search_chunks(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         weights = np.zeros((len(vocab), len(rows)))
         position = {t: i for i, t in enumerate(vocab)}
-        for j, r in enumerate(rows):
-            for t, qtf in Counter(r.words).items():
-                weights[position[t], j] = qtf * idf[position[t]]
+        for j, ws in enumerate(asked):
+            for t, qtf in ws.items():
+                if t:
+                    weights[position[t], j] = qtf * idf[position[t]]
         ids = np.array([r.query_id for r in rows], dtype=np.int64)
         sent = spark.sparkContext.broadcast((ids, weights, total_len / n_docs))
 
@@ -186,14 +193,14 @@ def search_chunks(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
             ids, weights, avg_len = sent.value
             best = _Best(ids, k)
             for batch in _slices(batches):
-                tf, lengths = _term_counts(batch.column("words"), vocabulary)
+                tf, lengths = _term_counts(batch.column("text"), vocabulary)
                 norm = K1 * (1 - B + B * lengths[:, None] / avg_len)
                 gain = np.divide(tf * (K1 + 1), tf + norm, out=np.zeros_like(tf), where=tf > 0)
                 best.add(batch.column("doc_id").to_numpy(), gain @ weights)
             out = best.frame()
             yield pa.RecordBatch.from_pandas(out[out["score"] > 0], preserve_index=False)
 
-        parts.append(words.mapInArrow(score, RESULT))
+        parts.append(corpus.mapInArrow(score, RESULT))
     if not parts:
         return spark.createDataFrame([], RESULT + ", rank int")
     return _merge(reduce(DataFrame.unionByName, parts), k)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from portfolia import bindings as b, schemas
 from portfolia.operators import quality
 from portfolia.plans.registry import CTE, query, sql
-from portfolia.plans.risk import flat
+from portfolia.plans.risk import L2_ROWS, flat
 from portfolia.plans.sources import RAW_CLAIMS, claim_files
 from portfolia.session import scratch_dir
 from portfolia.streaming import jobs
@@ -52,6 +52,14 @@ def _refresh(spark, d):
     return flat(spark.read.parquet(f"{target}/broker_matrix").drop("bucket"))
 
 
+@query("refresh_chain_dashboard", sql(L2_ROWS, "l2", "analysis"))
+def _refresh_dashboard(spark, d):
+    target = scratch_dir(spark, "refresh")
+    jobs.refresh_chain(arriving_claims(spark, d, 2), b.policies(spark, d), b.brokers(spark, d), target,
+                       scratch_dir(spark, "ckpt"), n_buckets=4)
+    return flat(spark.read.parquet(f"{target}/risk_dashboard").drop("bucket"))
+
+
 @query("scheduled_metrics", f"""WITH policies AS ({CTE['policies']}), claims AS ({CTE['claims']}),
 measured AS ({CTE['measured']})
 SELECT metric_name, metric_value FROM measured WHERE table_name = 'CLAIMS_RAW'""")

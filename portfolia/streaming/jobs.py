@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from portfolia.operators import integrate, quality
 from portfolia.sources import files
@@ -51,45 +51,50 @@ def stream_ingest_to_raw(stream: DataFrame, schema: T.StructType, raw: str, chec
     run_available(stream, checkpoint, load)
 
 
-def bucket_of(broker_id, n_buckets: int):
-    return F.pmod(F.xxhash64(broker_id), F.lit(n_buckets)).cast("int")
+def bucket_of(n_buckets: int, *keys: str) -> Column:
+    """Bucket by the first key that is set: the broker, or the policy where it has none."""
+    return F.pmod(F.xxhash64(F.coalesce(*keys)), F.lit(n_buckets)).cast("int")
 
 
 def refresh_chain(claim_stream: DataFrame, policies: DataFrame, brokers: DataFrame, target: str,
                   checkpoint: str, n_buckets: int = 256) -> None:
-    """Item 123: keep the risk dashboard and the broker matrix current as claims arrive.
+    """Item 123: keep the three levels current as claims arrive.
 
     A claim changes its policy's rows and, through the broker's count and average, all
-    rows of that broker. Tables are partitioned by a hash of the broker id, so a batch
-    recomputes the buckets of the brokers it touches and overwrites just those. The
-    list of touched buckets is at most ``n_buckets`` numbers.
+    rows of that broker. The tables are partitioned by a hash of the broker id, so a
+    batch recomputes the buckets of the brokers it touches and overwrites just those:
+    level 1 from the raw tables, level 2 from level 1, level 3 from level 2. The list of
+    touched buckets is at most ``n_buckets`` numbers. A batch that is run again after a
+    failure writes the same partitions again.
     """
     spark = policies.sparkSession
-    bucketed = policies.withColumn("bucket", bucket_of(F.col("broker_id"), n_buckets))
+    bucketed = policies.withColumn("bucket", bucket_of(n_buckets, "broker_id", "policy_number"))
+
+    def store(table: DataFrame, name: str, buckets: list[int]) -> DataFrame:
+        keys = [c for c in ("broker_id", "policy_number") if c in table.columns]
+        (
+            table.withColumn("bucket", bucket_of(n_buckets, *keys))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket").parquet(f"{target}/{name}")
+        )
+        return spark.read.parquet(f"{target}/{name}").where(F.col("bucket").isin(buckets)).drop("bucket")
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, f"{target}/claims", batch_id)
-        new = spark.read.parquet(f"{target}/claims/batch_id={batch_id}")
-        first = batch_id == 0
-        if first:
+        claims = spark.read.parquet(f"{target}/claims")
+        if batch_id == 0:
             buckets = list(range(n_buckets))
         else:
-            keys = new.select("policy_number").where("policy_number IS NOT NULL").distinct()
-            touched = bucketed.join(keys, "policy_number", "left_semi").select("bucket").distinct()
-            buckets = [r.bucket for r in touched.where("bucket IS NOT NULL").collect()]
+            new = claims.where((F.col("batch_id") == batch_id) & F.col("policy_number").isNotNull())
+            touched = bucketed.join(new.select("policy_number").distinct(), "policy_number", "left_semi")
+            buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())
         if not buckets:
             return
-        claims = spark.read.parquet(f"{target}/claims").drop("batch_id")
-        part = bucketed.where(F.col("bucket").isin(buckets) & F.col("broker_id").isNotNull()).drop("bucket")
-        for name, table in (
-            ("risk_dashboard", integrate.risk_dashboard(part, brokers, claims)),
-            ("broker_matrix", integrate.matrix_from(part, brokers, claims)),
-        ):
-            (
-                table.withColumn("bucket", bucket_of(F.col("broker_id"), n_buckets))
-                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                .partitionBy("bucket").parquet(f"{target}/{name}")
-            )
+        part = bucketed.where(F.col("bucket").isin(buckets)).drop("bucket")
+        arrived = claims.where(F.col("batch_id") <= batch_id).drop("batch_id")
+        level1 = store(integrate.integrate_entities(part, brokers, arrived), "integrated", buckets)
+        level2 = store(integrate.dashboard_from(level1), "risk_dashboard", buckets)
+        store(integrate.matrix_from_dashboard(level2), "broker_matrix", buckets)
 
     run_available(claim_stream, checkpoint, refresh)
 
