@@ -168,30 +168,29 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
             )).alias("text"),
         )
     )
+    tools = live.where(F.col("kind") == "tool_results").groupBy("stream_id").agg(
+        F.max_by("body", at).alias("tool_result")
+    )
+    records = heads.select("stream_id", "status", "error_body").join(tools, "stream_id", "left")
+    # Parts and the stream's own fields meet on slim rows, one per stream and slot, so
+    # no join or window on the stream id alone carries texts.
     before = Window.partitionBy("stream_id").orderBy("_slot")
-    sizes = per_slot.select("stream_id", "_slot", "n").withColumn(
-        "part", part_of(F.sum("n").over(before) - F.col("n"), events_per_part)
+    slots = (
+        per_slot.select("stream_id", "_slot", "n")
+        .withColumn("part", part_of(F.sum("n").over(before) - F.col("n"), events_per_part))
+        .drop("n").join(records, "stream_id")
     )
     # A row without text per stream, so that streams without texts keep their record.
-    stubs = heads.select("stream_id", F.lit(0).alias("part"), F.lit(-1).cast("long").alias("_slot"),
-                         F.lit(0).cast("long").alias("n"), F.lit("").alias("text"))
+    stubs = records.withColumns({
+        "part": F.lit(0), "_slot": F.lit(-1).cast("long"), "n": F.lit(0).cast("long"), "text": F.lit("")
+    })
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("_slot", "text"))), lambda p: p["text"])
     texts = (
-        per_slot.join(sizes.select("stream_id", "_slot", "part"), ["stream_id", "_slot"])
-        .unionByName(stubs)
-        .groupBy("stream_id", "part")
-        .agg(
-            F.sum("n").alias("n_texts"),
-            F.concat_ws("", F.transform(
-                F.array_sort(F.collect_list(F.struct("_slot", "text"))), lambda p: p["text"]
-            )).alias("text"),
-        )
-    )
-    tools = live.where(F.col("kind") == "tool_results").groupBy("stream_id").agg(
-        F.max_by("body", at).alias("tool_result")
+        per_slot.join(slots, ["stream_id", "_slot"]).unionByName(stubs)
+        .groupBy("stream_id", "part", "status", "error_body", "tool_result")
+        .agg(F.sum("n").alias("n_texts"), F.concat_ws("", in_order).alias("text"))
     )
-    records = heads.select("stream_id", "status", "error_body").join(tools, "stream_id", "left")
     failed_text = F.when(F.col("status") == "error", F.col("error_body")).otherwise(F.col("text"))
-    # Text parts are the left side, so a stream with many parts can be split.
-    return texts.join(records, "stream_id", "left").select(
+    return texts.select(
         "stream_id", "part", "status", "n_texts", F.trim(failed_text).alias("text"), "tool_result"
     )

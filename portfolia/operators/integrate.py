@@ -73,24 +73,29 @@ def has_claim_fill(joined: DataFrame, matched: Column) -> DataFrame:
 
 
 def integrate_entities(
-    policies: DataFrame, brokers: DataFrame, claims: DataFrame, round_satisfaction: bool = True
+    policies: DataFrame,
+    brokers: DataFrame,
+    claims: DataFrame,
+    round_satisfaction: bool = True,
+    also_on: tuple[str, ...] = (),
 ) -> DataFrame:
     """Item 29 (level 1): policy, its broker and its claims; one row per policy and claim.
 
     The claim join salts hot policy numbers of either side. The broker join carries
     no hint: Catalyst broadcasts the broker table while it is under the broadcast
-    limit and adaptive skew handling splits a hot broker beyond it.
+    limit and adaptive skew handling splits a hot broker beyond it. ``also_on`` names
+    columns, present in policies and claims, that must be equal besides the number.
     """
     dim = nested_extract(brokers, round_satisfaction)
     joined = salted_join(
-        policies.select(*POLICY_PART),
-        claims.select("policy_number", *CLAIM_PART, F.lit(1).alias("_claim")),
-        "policy_number",
+        policies.select(*POLICY_PART, *also_on),
+        claims.select("policy_number", *also_on, *CLAIM_PART, F.lit(1).alias("_claim")),
+        ["policy_number", *also_on],
     ).join(dim, "broker_id", "left")
     out = has_claim_fill(joined, F.col("_claim").isNotNull())
     return out.select(
         *POLICY_PART, *BROKER_PART, *CLAIM_PART,
-        "has_claim", "claim_amount_filled", "fraud_reported_filled",
+        "has_claim", "claim_amount_filled", "fraud_reported_filled", *also_on,
     )
 
 
@@ -157,12 +162,8 @@ def scored_portfolio(
     ).drop("n_claims", "claim_sum", "band", "fraud")
 
 
-def broker_window_stats(policies: DataFrame, claims: DataFrame) -> DataFrame:
-    """Item 70: level-2 rows and average filled claim per broker.
-
-    The value a whole-partition window repeats on every row is computed once per
-    broker, from per-policy sums: a window would send a hot broker to one task.
-    """
+def broker_totals(policies: DataFrame, claims: DataFrame) -> DataFrame:
+    """Per broker: policies, level-2 rows and the sum of filled claims, from per-policy sums."""
     per_policy = (
         claims.where(F.col("policy_number").isNotNull()).groupBy("policy_number")
         .agg(
@@ -178,32 +179,41 @@ def broker_window_stats(policies: DataFrame, claims: DataFrame) -> DataFrame:
     return (
         copies.join(per_policy, "policy_number", "left")
         .groupBy("broker_id")
-        .agg(F.sum(F.col("m") * n).alias("broker_customer_count"), F.sum(F.col("m") * s).alias("_sum"))
-        .select(
-            "broker_id",
-            "broker_customer_count",
-            (F.col("_sum").cast("double") / F.col("broker_customer_count")).alias("broker_avg_claim"),
-        )
+        .agg(F.sum("m").alias("n_policies"), F.sum(F.col("m") * n).alias("n_rows"),
+             F.sum(F.col("m") * s).alias("claim_sum"))
+    )
+
+
+def _stats(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        "broker_id",
+        F.col("n_rows").alias("broker_customer_count"),
+        (F.col("claim_sum").cast("double") / F.col("n_rows")).alias("broker_avg_claim"),
     )
 
 
-def with_broker_stats(rows: DataFrame, stats: DataFrame, exact: bool = False) -> DataFrame:
-    """Join the per-broker numbers and the analysis computed from them.
+def broker_window_stats(policies: DataFrame, claims: DataFrame) -> DataFrame:
+    """Item 70: level-2 rows and average filled claim per broker.
 
-    The analysis depends on the broker alone, so it is evaluated per broker here
-    and not per policy.
+    The value a whole-partition window repeats on every row is computed once per
+    broker: a window would send a hot broker to one task.
     """
-    profile = rows.select(
-        "broker_id", "broker_satisfaction", "broker_experience", "broker_training"
-    ).distinct()
-    profile = profile.join(stats, "broker_id").select(
-        "broker_id", "broker_customer_count", "broker_avg_claim",
+    return _stats(broker_totals(policies, claims))
+
+
+def broker_profile(dim: DataFrame, stats: DataFrame, exact: bool = False) -> DataFrame:
+    """Everything level 2 says about a broker, one row per broker id in use.
+
+    The analysis depends on the broker alone, so it is evaluated per broker here and
+    not per policy.
+    """
+    return stats.join(dim, "broker_id", "left").withColumn(
+        "broker_performance_analysis",
         risk.broker_performance(
             F.col("broker_satisfaction"), F.col("broker_experience"), F.col("broker_training"),
             F.col("broker_customer_count"), F.col("broker_avg_claim"), exact,
-        ).alias("broker_performance_analysis"),
+        ),
     )
-    return rows.join(profile, "broker_id")
 
 
 DASHBOARD_COLUMNS = [
@@ -248,19 +258,13 @@ def risk_dashboard(
     Broker numbers are attached to the policies before the claim join, where there
     are fewest rows, as one per-broker profile.
     """
-    dim = nested_extract(brokers, round_satisfaction)
-    stats = broker_window_stats(policies, claims)
-    profile = (
-        stats.join(dim, "broker_id", "left")
-        .withColumn(
-            "broker_performance_analysis",
-            risk.broker_performance(
-                F.col("broker_satisfaction"), F.col("broker_experience"), F.col("broker_training"),
-                F.col("broker_customer_count"), F.col("broker_avg_claim"), exact,
-            ),
-        )
+    totals = broker_totals(policies, claims)
+    left = salted_join(
+        policies.where(F.col("broker_id").isNotNull()),
+        broker_profile(nested_extract(brokers, round_satisfaction), _stats(totals), exact),
+        "broker_id", "inner",
+        left_counts=totals.select("broker_id", F.col("n_policies").alias("_n")), right_unique=True,
     )
-    left = policies.where(F.col("broker_id").isNotNull()).join(profile, "broker_id")
     joined = salted_join(
         left,
         claims.select("policy_number", "claim_amount", "fraud_reported", F.lit(1).alias("_claim")),
@@ -271,13 +275,18 @@ def risk_dashboard(
 
 def dashboard_from(integrated: DataFrame, exact: bool = False) -> DataFrame:
     """Level 2 from a stored level 1, as the refresh chain computes it."""
-    rows = integrated.where(F.col("broker_id").isNotNull())
-    amount = F.sum("claim_amount_filled").cast("double")
-    stats = rows.groupBy("broker_id").agg(
-        F.count(F.lit(1)).alias("broker_customer_count"),
-        (amount / F.count(F.lit(1))).alias("broker_avg_claim"),
+    rows = score_rows(integrated)
+    totals = rows.groupBy("broker_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("claim_amount_filled").alias("claim_sum"),
+        *[F.max(c).alias(c) for c in ("broker_satisfaction", "broker_experience", "broker_training")],
     )
-    return with_broker_stats(score_rows(integrated), stats, exact).select(*DASHBOARD_COLUMNS)
+    traits = totals.drop("n_rows", "claim_sum")
+    profile = broker_profile(traits, _stats(totals), exact).drop(*traits.columns[1:])
+    counts = totals.select("broker_id", F.col("n_rows").alias("_n"))
+    return salted_join(
+        rows, profile, "broker_id", "inner", left_counts=counts, right_unique=True
+    ).select(*DASHBOARD_COLUMNS)
 
 
 def matrix_from_dashboard(dashboard: DataFrame, exact: bool = False) -> DataFrame:

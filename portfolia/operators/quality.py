@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from portfolia.functions import bands
 from portfolia.operators.integrate import round_half_up
+from portfolia.operators.skew import key_counts, salted_join
 
 # The limits and the id pattern the metrics check.
 AGE_RANGE = (18, 85)
@@ -163,7 +164,10 @@ def metric_scan(df: DataFrame, metric: Metric | None) -> DataFrame:
         return df
     if not metric.per_value:
         return df.where(metric.predicate())
-    return df.join(duplicated_values(df, metric.columns[0]), metric.columns[0], "left_semi")
+    key = metric.columns[0]
+    counts = key_counts(df, key)
+    repeated = counts.where(F.col("_n") > 1).select(key)
+    return salted_join(df, repeated, key, "inner", left_counts=counts, right_unique=True).select(*df.columns)
 
 
 def drill_down(df: DataFrame, table: str, metric: str, order: Sequence[Column], limit: int = 50,
@@ -172,13 +176,6 @@ def drill_down(df: DataFrame, table: str, metric: str, order: Sequence[Column],
     return metric_scan(df, registry.find(table, metric)).orderBy(*order).limit(limit)
 
 
-def duplicated_values(df: DataFrame, key: str) -> DataFrame:
-    return (
-        df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > 1).select(key)
-    )
-
-
 def age_distribution(policies: DataFrame) -> DataFrame:
     """Item 43."""
     low, high = AGE_RANGE

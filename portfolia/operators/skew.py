@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,14 +28,20 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName() not in ("map", "variant")]
 
 
-def key_counts(df: DataFrame, key: str) -> DataFrame:
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+def key_counts(df: DataFrame, *keys: str) -> DataFrame:
+    return _with_keys(df, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
 
 
 def salted_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     how: str = "left",
     rows_per_salt: int = ROWS_PER_SALT,
     left_counts: DataFrame | None = None,
@@ -48,29 +55,31 @@ def salted_join(
     and the matching rows of the other side are repeated once per salt, so each
     pair of rows still meets exactly once. ``how`` is ``inner`` or ``left``.
 
-    ``left_counts`` (``key, _n``) saves a pass when the counts are at hand, as does
-    ``right_unique`` for a right side with one row per key.
+    ``left_counts`` (key columns and ``_n``) saves a pass when the counts are at hand,
+    as does ``right_unique`` for a right side with few rows per key.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
+    keys = [key] if isinstance(key, str) else list(key)
 
     def hot(counts: DataFrame, name: str) -> DataFrame:
         return counts.where(F.col("_n") >= rows_per_salt).select(
-            key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(name)
+            *keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(name)
         )
 
     # One row per hot key: how many salts its left rows and its right rows take.
-    fans = hot(key_counts(left, key) if left_counts is None else left_counts, "_fan_l")
+    fans = hot(key_counts(left, *keys) if left_counts is None else left_counts, "_fan_l")
     if not right_unique:
-        fans = fans.unionByName(hot(key_counts(right, key), "_fan_r"), allowMissingColumns=True)
-        fans = fans.groupBy(key).agg(F.max("_fan_l").alias("_fan_l"), F.max("_fan_r").alias("_fan_r"))
+        fans = fans.unionByName(hot(key_counts(right, *keys), "_fan_r"), allowMissingColumns=True)
+        fans = fans.groupBy(*keys).agg(F.max("_fan_l").alias("_fan_l"), F.max("_fan_r").alias("_fan_r"))
     else:
         fans = fans.withColumn("_fan_r", F.lit(1))
     fans = F.broadcast(fans)
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
 
     def spread(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
-        out = df.withColumn("_row", row_salt(df, F.lit(1 << 30))).join(fans, key, "left")
-        own_n = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce(F.col(own), F.lit(1)))
+        out = df.withColumn("_row", row_salt(df, F.lit(1 << 30))).join(fans, keys, "left")
+        own_n = F.when(no_key, NULL_SALTS).otherwise(F.coalesce(F.col(own), F.lit(1)))
         return (
             out.withColumn(own_salt, F.pmod(F.col("_row"), own_n).cast("int"))
             .withColumn("_copies", F.coalesce(F.col(other), F.lit(1)))
@@ -79,9 +88,9 @@ def salted_join(
         )
 
     lhs = spread(left, "_fan_l", "_fan_r", "_salt_l", "_salt_r")
-    rhs = spread(right.where(F.col(key).isNotNull()), "_fan_r", "_fan_l", "_salt_r", "_salt_l")
+    rhs = spread(_with_keys(right, keys), "_fan_r", "_fan_l", "_salt_r", "_salt_l")
     rhs = rhs.drop("_copies").withColumn("_hit", F.lit(True))
-    out = lhs.join(rhs, [key, "_salt_l", "_salt_r"], how)
+    out = lhs.join(rhs, [*keys, "_salt_l", "_salt_r"], how)
     if how == "left":
         # A repeated left row has a hot partner key, so at least one copy matches;
         # the copies whose salt met nothing are not rows of the result.
@@ -167,17 +176,20 @@ def exact_quantiles(
     )
     cuts = counts.groupBy(group).agg(
         F.sum("c").alias("n"),
+        F.count(F.lit(1)).alias("_n"),
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"),
     )
     bucket = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    binned = counts.join(cuts, group).withColumn("_bucket", bucket).drop("_cuts")
+    binned = salted_join(counts, cuts.drop("_n"), group, "inner",
+                         left_counts=cuts.select(group, "_n"), right_unique=True)
+    binned = binned.withColumn("_bucket", bucket).drop("_cuts")
 
     upto = Window.partitionBy(group).orderBy("_bucket")  # at most ``buckets`` rows per group
     per_bucket = (
-        binned.groupBy(group, "_bucket").agg(F.sum("c").alias("_in"), F.first("n").alias("_n"))
+        binned.groupBy(group, "_bucket").agg(F.sum("c").alias("_in"), F.first("n").alias("_total"))
         .withColumn("_start", F.sum("_in").over(upto) - F.col("_in"))
         .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_rank", F.col("prob") * (F.col("_n") - 1))
+        .withColumn("_rank", F.col("prob") * (F.col("_total") - 1))
     )
 
     def holds(rank: Column) -> Column:

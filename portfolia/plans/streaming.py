@@ -15,7 +15,7 @@ from portfolia.streaming import jobs
 CLAIM_HEADER = [c.split(" AS ")[-1] for c in RAW_CLAIMS]
 
 
-def arriving_claims(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+def arriving_claims(spark: SparkSession, d: str, batches: int = 2) -> DataFrame:
     """Bound claims as a stream: one file per batch."""
     landing = scratch_dir(spark, "landing")
     orders = b.table(spark, d, "orders")
@@ -55,7 +55,7 @@ def _refresh(spark, d):
 @query("refresh_chain_dashboard", sql(L2_ROWS, "l2", "analysis"))
 def _refresh_dashboard(spark, d):
     target = scratch_dir(spark, "refresh")
-    jobs.refresh_chain(arriving_claims(spark, d, 2), b.policies(spark, d), b.brokers(spark, d), target,
+    jobs.refresh_chain(arriving_claims(spark, d), b.policies(spark, d), b.brokers(spark, d), target,
                        scratch_dir(spark, "ckpt"), n_buckets=4)
     return flat(spark.read.parquet(f"{target}/risk_dashboard").drop("bucket"))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from portfolia.operators import integrate, quality
+from portfolia.operators.skew import salted_join
 from portfolia.sources import files
 
 
@@ -61,38 +62,48 @@ def refresh_chain(claim_stream: DataFrame, policies: DataFrame, brokers: DataFra
     """Item 123: keep the three levels current as claims arrive.
 
     A claim changes its policy's rows and, through the broker's count and average, all
-    rows of that broker. The tables are partitioned by a hash of the broker id, so a
-    batch recomputes the buckets of the brokers it touches and overwrites just those:
-    level 1 from the raw tables, level 2 from level 1, level 3 from level 2. The list of
-    touched buckets is at most ``n_buckets`` numbers. A batch that is run again after a
-    failure writes the same partitions again.
+    rows of that broker. All tables are partitioned by a hash of the broker id. An
+    arriving claim is stored in the buckets of its policy (-1 for an orphan), so a batch
+    reads, recomputes and overwrites just the buckets it touches: level 1 from policies
+    and claims, level 2 from level 1, level 3 from level 2. The list of touched buckets
+    is at most ``n_buckets`` numbers. A batch that is run again after a failure writes
+    the same partitions again.
     """
     spark = policies.sparkSession
     bucketed = policies.withColumn("bucket", bucket_of(n_buckets, "broker_id", "policy_number"))
+    homes = bucketed.select("policy_number", "bucket").distinct()
 
     def store(table: DataFrame, name: str, buckets: list[int]) -> DataFrame:
-        keys = [c for c in ("broker_id", "policy_number") if c in table.columns]
+        if "bucket" not in table.columns:
+            table = table.withColumn("bucket", bucket_of(n_buckets, "broker_id"))
         (
-            table.withColumn("bucket", bucket_of(n_buckets, *keys))
+            # Few files per small bucket, several tasks for a large one.
+            table.hint("rebalance", "bucket")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket").parquet(f"{target}/{name}")
         )
-        return spark.read.parquet(f"{target}/{name}").where(F.col("bucket").isin(buckets)).drop("bucket")
+        return spark.read.parquet(f"{target}/{name}").where(F.col("bucket").isin(buckets))
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{target}/claims", batch_id)
-        claims = spark.read.parquet(f"{target}/claims")
-        if batch_id == 0:
-            buckets = list(range(n_buckets))
-        else:
-            new = claims.where((F.col("batch_id") == batch_id) & F.col("policy_number").isNotNull())
-            touched = bucketed.join(new.select("policy_number").distinct(), "policy_number", "left_semi")
-            buckets = sorted(r.bucket for r in touched.select("bucket").distinct().collect())
+        arrived = salted_join(batch, homes, "policy_number", right_unique=True)
+        (
+            arrived.withColumn("bucket", F.coalesce("bucket", F.lit(-1)))
+            .hint("rebalance", "bucket")
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/claims/batch_id={batch_id}")
+        )
+        claims = spark.read.parquet(f"{target}/claims").where(F.col("batch_id") <= batch_id)
+        new = claims.where((F.col("batch_id") == batch_id) & (F.col("bucket") >= 0))
+        buckets = (
+            list(range(n_buckets)) if batch_id == 0
+            else sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        )
         if not buckets:
             return
-        part = bucketed.where(F.col("bucket").isin(buckets)).drop("bucket")
-        arrived = claims.where(F.col("batch_id") <= batch_id).drop("batch_id")
-        level1 = store(integrate.integrate_entities(part, brokers, arrived), "integrated", buckets)
+        here = F.col("bucket").isin(buckets)
+        level1 = integrate.integrate_entities(
+            bucketed.where(here), brokers, claims.where(here), also_on=("bucket",)
+        )
+        level1 = store(level1, "integrated", buckets)
         level2 = store(integrate.dashboard_from(level1), "risk_dashboard", buckets)
         store(integrate.matrix_from_dashboard(level2), "broker_matrix", buckets)
 
