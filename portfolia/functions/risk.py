@@ -37,6 +37,9 @@ LOWEST_LEVEL = "LOW"
 BROKER_TIERS = [("PLATINUM", 4.8, 10, 40), ("GOLD", 4.5, 5, 30), ("SILVER", 4.2, 3, 20)]
 LOWEST_TIER = "BRONZE"
 
+LEVEL_NAMES = [*(name for name, _ in RISK_LEVELS), LOWEST_LEVEL]
+TIER_NAMES = [*(name for name, *_ in BROKER_TIERS), LOWEST_TIER]
+
 # Performance tier and the total it starts at.
 PERFORMANCE_TIERS = [("ELITE", 250), ("SUPERIOR", 200), ("PROFICIENT", 150)]
 LOWEST_PERFORMANCE = "DEVELOPING"

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from portfolia.sources.files import record_counts
+
 
 @dataclass(frozen=True)
 class MissingTableRule:
@@ -24,13 +26,14 @@ class MissingTableRule:
 
 
 def evaluate_alerts(spark: SparkSession, rules: Sequence[MissingTableRule], now: str) -> DataFrame:
-    """Item 95: one row per rule; the message is set when the rule fires."""
+    """Item 95: one row per rule with its table's row count; the message is set when it fires."""
     rows = []
     for rule in rules:
         missing = not spark.catalog.tableExists(rule.table)
-        rows.append((rule.name, missing, rule.message(now) if missing else None))
-    out = spark.createDataFrame(rows, "alert string, triggered boolean, message string")
-    return out.withColumn("alert_time", F.lit(now).cast("timestamp"))
+        rows.append((rule.name, rule.table, missing, rule.message(now) if missing else None))
+    out = spark.createDataFrame(rows, "alert string, table_name string, triggered boolean, message string")
+    counts = record_counts(spark, sorted({r.table for r in rules}))
+    return out.join(counts, "table_name", "left").withColumn("alert_time", F.lit(now).cast("timestamp"))
 
 
 def alert_history(alerts: DataFrame, now, minutes: int = 5, time: str = "alert_time") -> DataFrame:

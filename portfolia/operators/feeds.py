@@ -163,9 +163,10 @@ def component_means(matrix: DataFrame, components: Sequence[str]) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, weight: str | None = None,
+              groups: Sequence[str] | None = None) -> DataFrame:
     """Item 63: quartiles, range and 1.5 x IQR fences per group, exact."""
-    q = exact_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], weight)
+    q = exact_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], weight, groups=groups)
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))

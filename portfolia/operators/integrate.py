@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from portfolia.functions import risk
-from portfolia.operators.skew import salted_join
+from portfolia.operators.skew import lookup_join, salted_join
 
 
 def mean(value: Column, weight: Column | None = None) -> Column:
@@ -81,17 +81,16 @@ def integrate_entities(
 ) -> DataFrame:
     """Item 29 (level 1): policy, its broker and its claims; one row per policy and claim.
 
-    The claim join salts hot policy numbers of either side. The broker join carries
-    no hint: Catalyst broadcasts the broker table while it is under the broadcast
-    limit and adaptive skew handling splits a hot broker beyond it. ``also_on`` names
+    The claim join salts hot policy numbers of either side. The broker table is
+    broadcast within a checked size and joined with salts beyond it. ``also_on`` names
     columns, present in policies and claims, that must be equal besides the number.
     """
     dim = nested_extract(brokers, round_satisfaction)
     joined = salted_join(
-        policies.select(*POLICY_PART, *also_on),
+        lookup_join(policies.select(*POLICY_PART, *also_on), dim, "broker_id"),
         claims.select("policy_number", *also_on, *CLAIM_PART, F.lit(1).alias("_claim")),
         ["policy_number", *also_on],
-    ).join(dim, "broker_id", "left")
+    )
     out = has_claim_fill(joined, F.col("_claim").isNotNull())
     return out.select(
         *POLICY_PART, *BROKER_PART, *CLAIM_PART,
@@ -133,10 +132,8 @@ def scored_portfolio(
     dim = nested_extract(brokers, round_satisfaction).drop(
         "broker_email", "broker_specializations", "broker_territory", "broker_active"
     )
-    rows = (
-        policies.where(F.col("broker_id").isNotNull())
-        .join(claim_profile(claims), "policy_number", "left")
-        .join(dim, "broker_id", "left")
+    rows = lookup_join(policies.where(F.col("broker_id").isNotNull()), dim, "broker_id").join(
+        claim_profile(claims), "policy_number", "left"
     )
     rows = rows.withColumns(
         {
@@ -259,11 +256,12 @@ def risk_dashboard(
     are fewest rows, as one per-broker profile.
     """
     totals = broker_totals(policies, claims)
-    left = salted_join(
+    left = lookup_join(
         policies.where(F.col("broker_id").isNotNull()),
         broker_profile(nested_extract(brokers, round_satisfaction), _stats(totals), exact),
         "broker_id", "inner",
-        left_counts=totals.select("broker_id", F.col("n_policies").alias("_n")), right_unique=True,
+        bound=policies.select("broker_id").distinct(),
+        left_counts=totals.select("broker_id", F.col("n_policies").alias("_n")),
     )
     joined = salted_join(
         left,
@@ -284,8 +282,8 @@ def dashboard_from(integrated: DataFrame, exact: bool = False) -> DataFrame:
     traits = totals.drop("n_rows", "claim_sum")
     profile = broker_profile(traits, _stats(totals), exact).drop(*traits.columns[1:])
     counts = totals.select("broker_id", F.col("n_rows").alias("_n"))
-    return salted_join(
-        rows, profile, "broker_id", "inner", left_counts=counts, right_unique=True
+    return lookup_join(
+        rows, profile, "broker_id", "inner", bound=rows.select("broker_id").distinct(), left_counts=counts
     ).select(*DASHBOARD_COLUMNS)
 
 

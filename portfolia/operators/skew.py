@@ -98,6 +98,32 @@ def salted_join(
     return out.drop("_salt_l", "_salt_r", "_copies", "_hit")
 
 
+#: Rows of a lookup table that may be broadcast; a row of ours is well under 1 kB.
+MAX_LOOKUP_ROWS = 100_000
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "left",
+    bound: DataFrame | None = None,
+    left_counts: DataFrame | None = None,
+    max_rows: int = MAX_LOOKUP_ROWS,
+) -> DataFrame:
+    """Join with a table that has one row per key and is small as a rule.
+
+    Its rows are counted, up to the limit, when the job is built. Within the limit the
+    table is broadcast and the big side is not shuffled; beyond it hot keys are salted.
+    ``bound`` is counted instead of a lookup table that is itself costly to compute; it
+    must have at least as many rows.
+    """
+    counted = lookup.select(key) if bound is None else bound
+    if counted.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(lookup), key, how)
+    return salted_join(rows, lookup, key, how, left_counts=left_counts, right_unique=True)
+
+
 def number_runs(
     df: DataFrame, group: str, order: str, tracks: dict[str, Column], block: int = BLOCK
 ) -> DataFrame:
@@ -156,7 +182,7 @@ def number_runs(
 
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probs: Sequence[float],
-    weight: str | None = None, buckets: int = 256,
+    weight: str | None = None, buckets: int = 256, groups: Sequence[str] | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, with bounded state per task.
 
@@ -165,8 +191,12 @@ def exact_quantiles(
     equal size, and only the buckets that hold a wanted rank are ordered. The sketch
     affects the balance alone: any cut gives the same result.
 
-    A row counts ``weight`` times. Output: group, ``n``, ``prob``, ``quantile``.
+    A row counts ``weight`` times. ``groups`` lists the group values where they are a
+    fixed set; the cuts then have that many rows at most and are broadcast. Output:
+    group, ``n``, ``prob``, ``quantile``.
     """
+    if groups is not None:
+        df = df.where(F.col(group).isin(*groups))
     w = F.col(weight) if weight else F.lit(1).cast("long")
     counts = (
         df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
@@ -180,8 +210,11 @@ def exact_quantiles(
         F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"),
     )
     bucket = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    binned = salted_join(counts, cuts.drop("_n"), group, "inner",
-                         left_counts=cuts.select(group, "_n"), right_unique=True)
+    if groups is None:
+        binned = salted_join(counts, cuts.drop("_n"), group, "inner",
+                             left_counts=cuts.select(group, "_n"), right_unique=True)
+    else:
+        binned = counts.join(F.broadcast(cuts.drop("_n")), group)
     binned = binned.withColumn("_bucket", bucket).drop("_cuts")
 
     upto = Window.partitionBy(group).orderBy("_bucket")  # at most ``buckets`` rows per group

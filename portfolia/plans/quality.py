@@ -305,9 +305,9 @@ def _literal(spark, d):
 
 @query("alert_history", """
 SELECT event_id, ts AS alert_time, user_id FROM events WHERE event_type = 'error'
-  AND ts >= (SELECT max(ts) FROM events) - INTERVAL 5 MINUTE ORDER BY ts DESC""")
+  AND ts >= (SELECT max(ts) FROM events) - INTERVAL 1440 MINUTE ORDER BY ts DESC""")
 def _alert_history(spark, d):
     events = b.table(spark, d, "events")
     rows = events.where("event_type = 'error'").select(
         "event_id", F.col("ts").alias("alert_time"), "user_id")
-    return alerts.alert_history(rows, events.agg(F.max("ts")).scalar())
+    return alerts.alert_history(rows, events.agg(F.max("ts")).scalar(), minutes=24 * 60)

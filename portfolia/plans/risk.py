@@ -329,7 +329,7 @@ def _rounded_box(df: DataFrame) -> DataFrame:
 @query("box_stats", sql(_box_sql("final_risk_level", "policy_annual_premium", "scored"), "scored"))
 def _box(spark, d):
     return _rounded_box(feeds.box_stats(
-        portfolio(spark, d), "final_risk_level", "policy_annual_premium", "weight"))
+        portfolio(spark, d), "final_risk_level", "policy_annual_premium", "weight", risk.LEVEL_NAMES))
 
 
 @query("box_stats_by_tier", sql(
@@ -338,7 +338,7 @@ def _box(spark, d):
   AS portfolio_risk_score FROM scored GROUP BY 1, 2"""))
 def _box_tier(spark, d):
     per_broker = feeds.broker_correlation(portfolio(spark, d), stats(spark, d))
-    return _rounded_box(feeds.box_stats(per_broker, "broker_tier", "portfolio_risk_score"))
+    return _rounded_box(feeds.box_stats(per_broker, "broker_tier", "portfolio_risk_score", groups=risk.TIER_NAMES))
 
 
 @query("histogram_bins", sql(

@@ -77,7 +77,7 @@ def _infer(spark, d):
     return files.describe_schema(spark, files.infer_entity_schema(spark, claim_files(spark, d)))
 
 
-@query("create_from_template")
+@query("create_from_template", "SELECT count(*) AS n_rows FROM orders")
 def _template(spark, d):
     schema = files.infer_entity_schema(spark, claim_files(spark, d))
     empty = files.create_from_template(spark, schema)
@@ -167,22 +167,36 @@ def _views(spark: SparkSession, d: str) -> None:
     b.claims(spark, d).createOrReplaceTempView("claims_raw")
 
 
-@query("metadata_checks")
+@query("metadata_checks", sql(
+    """SELECT 'customers_raw' AS table_name, true AS table_exists, 10 AS n_columns, 'adjuster' AS missing_columns,
+  count(*) AS record_count FROM policies
+UNION ALL SELECT 'claims_raw', true, 12, '', count(*) FROM claims
+UNION ALL SELECT 'no_such_table', false, 0, 'x', NULL""", "policies", "claims"))
 def _metadata(spark, d):
     _views(spark, d)
-    return files.metadata_checks(
-        spark, {"customers_raw": ["policy_number", "adjuster"], "claims_raw": ["claim_amount"], "no_such": ["x"]})
+    required = {"customers_raw": ["policy_number", "adjuster"], "claims_raw": ["claim_amount"],
+                "no_such_table": ["x"]}
+    return files.metadata_checks(spark, required).withColumn(
+        "missing_columns", F.array_join("missing_columns", ","))
 
 
-@query("exists_probe")
+@query("exists_probe", sql(
+    """SELECT 'customers_raw' AS table_name, false AS table_missing, count(*) AS record_count FROM policies""",
+    "policies"))
 def _probe(spark, d):
     _views(spark, d)
     return files.exists_probe(spark, "customers_raw")
 
 
-@query("alert_missing_table")
+@query("alert_missing_table", sql(
+    """SELECT 'CUSTOMERS_MONITOR' AS alert, 'customers_raw' AS table_name, false AS triggered,
+  TIMESTAMP '2024-03-01 12:00:00' AS alert_time, count(*) AS record_count, 0 AS message_lines FROM policies
+UNION ALL SELECT 'RISK_DASHBOARD_MONITOR', 'no_such_table', true, TIMESTAMP '2024-03-01 12:00:00', NULL, 7""",
+    "policies"))
 def _alerts(spark, d):
     _views(spark, d)
     rules = [alerts.MissingTableRule("CUSTOMERS_MONITOR", "customers_raw"),
-             alerts.MissingTableRule("RISK_DASHBOARD_MONITOR", "risk_intelligence_dashboard")]
-    return alerts.evaluate_alerts(spark, rules, "2024-03-01 12:00:00")
+             alerts.MissingTableRule("RISK_DASHBOARD_MONITOR", "no_such_table")]
+    rows = alerts.evaluate_alerts(spark, rules, "2024-03-01 12:00:00")
+    lines = F.when(F.col("message").isNull(), 0).otherwise(F.size(F.split("message", "\n")))
+    return rows.withColumn("message_lines", lines).drop("message")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -210,19 +211,31 @@ def or_else(feed: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def metadata_checks(spark: SparkSession, required: dict[str, Sequence[str]]) -> DataFrame:
-    """Item 97: which required tables and columns exist."""
+    """Item 97: which required tables and columns exist, and how many rows they hold."""
     rows = []
     for name, columns in required.items():
         exists = spark.catalog.tableExists(name)
         have = {c.name.lower() for c in spark.catalog.listColumns(name)} if exists else set()
         missing = [c for c in columns if c.lower() not in have]
         rows.append((name, exists, len(have), missing))
-    return spark.createDataFrame(
+    found = spark.createDataFrame(
         rows, "table_name string, table_exists boolean, n_columns int, missing_columns array<string>"
     )
+    return found.join(record_counts(spark, list(required)), "table_name", "left")
+
+
+def record_counts(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """Rows of each table that exists, one row per table."""
+    parts = [
+        spark.table(n).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("record_count"))
+        for n in names if spark.catalog.tableExists(n)
+    ]
+    empty = spark.createDataFrame([], "table_name string, record_count long")
+    return reduce(DataFrame.unionByName, parts, empty)
 
 
 def exists_probe(spark: SparkSession, name: str) -> DataFrame:
-    """Item 36: one row that tells whether the table is missing."""
-    return spark.createDataFrame([(name, not spark.catalog.tableExists(name))],
-                                 "table_name string, table_missing boolean")
+    """Item 36: one row that tells whether the table is missing, and its row count if not."""
+    probe = spark.createDataFrame([(name, not spark.catalog.tableExists(name))],
+                                  "table_name string, table_missing boolean")
+    return probe.join(record_counts(spark, [name]), "table_name", "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from portfolia.operators.skew import exact_quantiles, number_runs, salted_join
+from portfolia.operators.skew import exact_quantiles, lookup_join, number_runs, salted_join
 
 
 def _pairs(spark, seed, n, hot):
@@ -73,14 +73,15 @@ def test_number_runs(spark, block):
             assert got[g, t] == (run, odd_run if v != "s" else None)
 
 
+@pytest.mark.parametrize("groups", [None, ["a", "b", "c"]])
 @pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_exact_quantiles(spark, buckets):
+def test_exact_quantiles(spark, buckets, groups):
     rng = np.random.default_rng(5)
     data = {"a": rng.normal(size=501).round(2), "b": np.array([3.0] * 200 + [1.0, 9.0]), "c": np.array([7.5])}
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "g", "v", probs, buckets=buckets).collect()}
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "g", "v", probs, buckets=buckets, groups=groups).collect()}
     assert len(got) == 3 * len(probs)
     for g, vs in data.items():
         for p in probs:
@@ -93,3 +94,14 @@ def test_weighted_quantiles(spark):
     spread = [v for _, v, w in rows for _ in range(w)]
     for r in exact_quantiles(df, "g", "v", [0.0, 0.3, 0.5, 1.0], "w").collect():
         assert r.n == 10 and r.quantile == pytest.approx(np.quantile(spread, r.prob))
+
+
+@pytest.mark.parametrize("max_rows", [2, 100])
+def test_lookup_join_either_way(spark, max_rows):
+    rows = _pairs(spark, 7, 150, "x").withColumnRenamed("v", "l")
+    lookup = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3), ("z", 4)], "k string, r int")
+    got = lookup_join(rows, lookup, "k", max_rows=max_rows).select("k", "l", "r")
+    want = rows.join(lookup, "k", "left").select("k", "l", "r")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("_salt_l" in plan) == (max_rows == 2)
