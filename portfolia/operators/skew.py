@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -102,6 +103,20 @@ def salted_join(
 MAX_LOOKUP_ROWS = 100_000
 
 
+#: Seconds for which the outcome of a size check is kept.
+CHECK_SECONDS = 60
+_checked: dict[tuple[int, int], tuple[float, bool]] = {}
+
+
+def _fits(df: DataFrame, max_rows: int) -> bool:
+    """Whether a result has at most so many rows; asked once a minute per query plan."""
+    key = (df.semanticHash(), max_rows)
+    now = time.monotonic()
+    if key not in _checked or now - _checked[key][0] > CHECK_SECONDS:
+        _checked[key] = (now, df.limit(max_rows + 1).count() <= max_rows)
+    return _checked[key][1]
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -118,8 +133,7 @@ def lookup_join(
     ``bound`` is counted instead of a lookup table that is itself costly to compute; it
     must have at least as many rows.
     """
-    counted = lookup.select(key) if bound is None else bound
-    if counted.limit(max_rows + 1).count() <= max_rows:
+    if _fits(lookup.select(key) if bound is None else bound, max_rows):
         return rows.join(F.broadcast(lookup), key, how)
     return salted_join(rows, lookup, key, how, left_counts=left_counts, right_unique=True)
 
@@ -182,7 +196,7 @@ def number_runs(
 
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probs: Sequence[float],
-    weight: str | None = None, buckets: int = 256, groups: Sequence[str] | None = None,
+    weight: str | None = None, buckets: int = 64, groups: Sequence[str] | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, with bounded state per task.
 
