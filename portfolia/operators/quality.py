@@ -365,12 +365,8 @@ def not_in_keepset(df: DataFrame, key: str, row_id: str, *newest_first: Column)
 
     ``row_id`` is unique, so the anti join is not skewed by a hot key.
     """
-    keep = dedup_keep_latest(df.select(key, row_id, *_order_columns(df, key, row_id)), key, *newest_first)
-    return df.join(keep.select(row_id), row_id, "left_anti")
-
-
-def _order_columns(df: DataFrame, *taken: str) -> list[str]:
-    return [c for c in df.columns if c not in taken]
+    keep = dedup_keep_latest(df, key, *newest_first).select(row_id)
+    return df.join(keep, row_id, "left_anti")
 
 
 #: Prefix and range of a generated policy number.

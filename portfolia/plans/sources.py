@@ -59,19 +59,34 @@ def _quarantine(spark, d):
     return bad.select("policy_number", F.array_join("_bad", ",").alias("bad_column"))
 
 
+def broker_files(spark: SparkSession, d: str) -> str:
+    """Bound brokers as JSON files that hold an array each."""
+    path = scratch_dir(spark, "broker_json")
+    rows = b.brokers(spark, d)
+    array = F.concat(F.lit("["), F.to_json(F.struct(*rows.columns)), F.lit("]"))
+    rows.select(array.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query("read_json_entity", sql(
     """SELECT broker_id, first_name, satisfaction AS customer_satisfaction, training AS training_hours_completed,
   array_to_string(specializations, '|') AS specializations, active FROM brokers""", "brokers"))
 def _json(spark, d):
-    path = scratch_dir(spark, "broker_json")
-    b.brokers(spark, d).write.json(path)
-    rows = files.read_json_lines(spark, path, schemas.BROKERS)
+    rows = files.read_json_entity(spark, broker_files(spark, d), schemas.BROKERS)
     return rows.select(
         "broker_id", "first_name", "performance_metrics.customer_satisfaction",
         "performance_metrics.training_hours_completed",
         F.array_join("specializations", "|").alias("specializations"), "active")
 
 
+@query("sample_raw_json", sql(
+    "SELECT broker_id, office_location FROM brokers ORDER BY active, broker_id LIMIT 10", "brokers"))
+def _sample(spark, d):
+    records = files.sample_raw_json(spark, broker_files(spark, d), 10)
+    return records.select(*[
+        F.variant_get("record", f"$.{c}", "string").alias(c) for c in ("broker_id", "office_location")])
+
+
 @query("infer_entity_schema")
 def _infer(spark, d):
     return files.describe_schema(spark, files.infer_entity_schema(spark, claim_files(spark, d)))

@@ -67,10 +67,10 @@ def create_from_template(spark: SparkSession, schema: T.StructType) -> DataFrame
 
 
 def sample_raw_json(spark: SparkSession, path: str, n: int = 10) -> DataFrame:
-    """Item 5: the first records as one variant column."""
+    """Item 5: the first records as one variant column; equal positions go by their text."""
     raw = spark.read.option("multiLine", True).option("singleVariantColumn", "raw").json(path)
     rows = raw.lateralJoin(spark.tvf.variant_explode(F.col("raw").outer()))
-    return rows.orderBy("pos").limit(n).select(F.col("value").alias("record"))
+    return rows.orderBy("pos", F.to_json("value")).limit(n).select(F.col("value").alias("record"))
 
 
 # Typed loading ---------------------------------------------------------------------------
