@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat
+from portfolia.llm import bpe, chat, quality
 from portfolia.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +67,9 @@ def op7_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded, as digests."""
     return bpe.encode_texts(
         read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests_only=True)
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt outside the held-out third."""
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
