@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat, quality
+from portfolia.llm import bpe, chat, quality, toxicity
 from portfolia.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,9 @@ def op7_bpe_forced_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt outside the held-out third."""
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the held-out fifth."""
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
