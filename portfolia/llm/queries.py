@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat, quality, toxicity
+from portfolia.llm import bpe, chat, packing, quality, toxicity
 from portfolia.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,9 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt outside the held-out fifth."""
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(packing.pieces_of(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
