@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat, minhash, packing, quality, toxicity
-from portfolia.llm.common import read
+from portfolia.llm import bpe, chat, lm, minhash, packing, quality, toxicity
+from portfolia.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,3 +91,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their four-word shingles."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, learnt outside the held-out fifth."""
+    return lm.score(read(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
