@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat, lm, minhash, packing, quality, toxicity
+from portfolia.llm import bpe, chat, lm, minhash, packing, quality, toxicity, vectors
 from portfolia.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,15 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document, learnt outside the held-out fifth."""
     return lm.score(read(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+
+
+@query("op5_embedding_near_dedup")
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of equal label at a cosine of 0.93 or more."""
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op6_nearest_neighbours")
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return vectors.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
