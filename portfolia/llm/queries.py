@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from portfolia.llm import bpe, chat, lm, minhash, packing, quality, toxicity, vectors
+from portfolia.llm import bpe, chat, license, lm, minhash, packing, quality, toxicity, vectors
 from portfolia.llm.common import read, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,9 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every vector whose id is divisible by 20."""
     return vectors.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text."""
+    return license.scan_texts(read(spark, sf_dir, "documents"))
