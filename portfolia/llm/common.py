@@ -111,3 +111,19 @@ def word_hashes(texts: pa.Array, piece_bytes: int = 4 << 20) -> tuple[np.ndarray
                 counts[row:last] = np.diff(np.searchsorted(at, ends[row : last + 1] - ends[row]))
         row = last
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+
+
+def rows_where(df: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows, with all their columns, whose text ``keep`` accepts.
+
+    ``keep`` is called once per task and returns a function from the texts of a batch to a mask; null text
+    counts as empty.
+    """
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        accepts = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(accepts([t.as_py() or "" for t in batch.column(at)]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

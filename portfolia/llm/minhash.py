@@ -282,3 +282,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
         (component == F.col("id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that are the smallest of their component.
+
+    Of rows that repeat an id one stays, the smallest in the order of all columns; rows without an id stay.
+    """
+    found = near_duplicates(docs, k, percent, id_col, text_col)
+    gone = found.where("not kept").select(id_col)
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(id_col)
+    sole = docs.join(gone.unionByName(again), id_col, "left_anti")
+    first = docs.join(again.join(gone, id_col, "left_anti"), id_col, "left_semi").groupBy(id_col).agg(
+        F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return sole.select(docs.columns).unionByName(first)

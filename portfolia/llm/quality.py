@@ -152,6 +152,23 @@ def training_rows(labels: DataFrame, label: str, keep: Column, id_col: str = "do
             .drop("most"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that a model learnt from them predicts to be of label 1."""
+    rows = training_rows(labels, label, common.remainder(id_col, folds) != held, id_col)
+    model = fit(with_statistics(docs, id_col, text_col).join(rows, id_col))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep():
+        def accepts(texts: list[str]) -> np.ndarray:
+            if not texts:
+                return np.zeros(0, bool)
+            return sent.value.scores(np.array([statistics(t) for t in texts])) >= 0.5
+        return accepts
+
+    return common.rows_where(docs, text_col, keep)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held: int = 1,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document; rows whose crc32 remainder is ``held`` lend no label."""

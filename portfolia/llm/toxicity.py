@@ -31,7 +31,7 @@ WINDOW, STRIDE = 32, 26
 TRAIN_DOCS, TRAIN_CHARS = {0: 5000, 1: 2500}, 8000
 SIZE, HIDDEN, ATTEND = 12, 8, 8
 GRAM_BUCKETS, VOCABULARY, LEAST_DOCS = 1 << 15, 8000, 4
-EPOCHS, BATCH, RATE = 6, 256, 0.01
+STEPS, BATCH, RATE = 330, 256, 0.01
 KNOWN_WORDS = 200_000
 BLOCK = 4096
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -258,7 +258,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     doc_start = np.searchsorted(owner, np.arange(len(rows)))
-    for _ in range(EPOCHS):
+    while step < STEPS:
         gates = net.gates(net.inputs(row, grams, ends))
         found = np.concatenate([net.forward(gates, ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)])
         order = np.lexsort((-found, owner))
@@ -366,12 +366,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
 def scores_of(model, state: dict):
     """A function from texts to scores; the network's word table lives as long as the task."""
     if isinstance(model, float):
-        return lambda texts: np.full(sum(1 for _ in texts), model)
+        return lambda texts: np.array([model for _ in texts])
     if "scorer" not in state:
         state["scorer"] = Scorer(model)
     return state["scorer"].score
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that a network learnt from them scores below one half."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held, id_col, text_col))
+
+    def keep():
+        state: dict = {}
+        return lambda texts: scores_of(sent.value, state)(texts) < 0.5
+
+    return common.rows_where(docs, text_col, keep)
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score every document; rows whose crc32 remainder is ``held`` lend no label."""
