@@ -31,7 +31,7 @@ WINDOW, STRIDE = 32, 26
 TRAIN_DOCS, TRAIN_CHARS = {0: 5000, 1: 2500}, 8000
 SIZE, HIDDEN, ATTEND = 12, 8, 8
 GRAM_BUCKETS, VOCABULARY, LEAST_DOCS = 1 << 15, 8000, 4
-STEPS, BATCH, RATE = 330, 256, 0.01
+STEPS, BATCH, RATE, DROPPED = 160, 256, 0.01, 0.5
 KNOWN_WORDS = 200_000
 BLOCK = 4096
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -51,8 +51,9 @@ def gram_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for k in range(3):
         three += np.roll(raw, -k) * common._POWERS[k + 1]
     four = three + np.roll(raw, -3) * common._POWERS[7]
-    both = np.stack([common.mix(three), common.mix(four)], axis=1) % np.uint64(GRAM_BUCKETS)
-    keep = np.stack([left >= 3, left >= 4], axis=1)
+    five = four + np.roll(raw, -4) * common._POWERS[11]
+    both = np.stack([common.mix(three), common.mix(four), common.mix(five)], axis=1) % np.uint64(GRAM_BUCKETS)
+    keep = np.stack([left >= 3, left >= 4, left >= 5], axis=1)
     keep[ends - size, 0] |= size < 3
     counts = np.add.reduceat(keep.sum(axis=1), ends - size) if len(words) else np.zeros(0, np.int64)
     return both[keep].astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
@@ -274,7 +275,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             g_at = np.concatenate(spans)
             sizes = per_word[used]
             mean = np.add.reduceat(net.p["gram"][grams[g_at]], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
-            x = net.p["word"][row[used]] + mean
+            by_word = (rng.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
+            x = net.p["word"][row[used]] * by_word + mean
             x[used == 0] = 0
             trace: dict = {}
             number = np.where(ids[pick] > 0, local + 1, 0)
@@ -290,7 +292,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             grad["bias_f"], grad["bias_b"] = d_word[:, :h3].sum(axis=0), d_word[:, h3:].sum(axis=0)
             d_x = d_word[:, :h3] @ net.p["in_f"].T + d_word[:, h3:] @ net.p["in_b"].T
             d_x[used == 0] = 0
-            sparse = {"word": (row[used], d_x), "gram": (grams[g_at], np.repeat(d_x / sizes[:, None], sizes, axis=0))}
+            sparse = {"word": (row[used], d_x * by_word), "gram": (grams[g_at], np.repeat(d_x / sizes[:, None], sizes, axis=0))}
             step += 1
             net.update(grad, sparse, moments, step)
     return net
