@@ -97,7 +97,7 @@ class Automaton:
 
 
 def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
-    bounds = (np.arange(1, parts, dtype=np.uint64) * np.uint64(2**64 // parts))
+    bounds = np.arange(1, parts, dtype=np.uint64) * np.uint64((2**64 - 1) // parts)
     return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
