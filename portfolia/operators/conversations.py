@@ -1,8 +1,10 @@
 """Message runs, role alternation and event folding (items 72, 73, 109).
 
 A conversation or stream may hold a third of all rows, so none of these gathers a
-whole group. Texts that would exceed one row's bound come out in numbered parts; part
-0 is the only one below the bound, and the parts in order are the whole text.
+whole group. Every text comes out in numbered parts, of which most have one; the parts
+of a text, put together in order without anything between them, are the whole text. A
+row without a role makes a run of its own kind; rows without a conversation or a turn
+belong to no conversation and are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,11 @@ SECONDS_PER_BLOCK = 60
 BLANK_LINE = "\n\n"
 
 
+def _present(role: str):
+    """A role as a value that is never NULL, so that rows without one still open and close runs."""
+    return F.coalesce(F.concat(F.lit("="), F.col(role)), F.lit("none"))
+
+
 def _joined(order: str, text: str, separator: str):
     """Texts of a bounded group in order, empty ones skipped."""
     pieces = F.collect_list(F.when(F.length(text) > 0, F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
@@ -32,25 +39,37 @@ def coalesce_turns(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     The first message's type is kept. Output: conversation, first turn, part, role,
     type, number of messages, text.
     """
-    runs = number_runs(messages, "conv_id", "turn", {"run": F.col("role")}, block)
+    runs = number_runs(messages, "conv_id", "turn", {"run": _present("role")}, block)
     runs = runs.withColumn("_block", F.floor(F.col("turn") / block))
     spots = ["conv_id", "run", "_block"]
     # The part numbers come from one row per run and block, without texts.
     slots = runs.groupBy(*spots).agg(
-        F.min("turn").alias("_turn"), F.min_by("type", "turn").alias("_type"), F.first("role").alias("role")
+        F.min("turn").alias("_turn"), F.min_by("type", "turn").alias("_type"), F.first("role").alias("role"),
+        F.max(F.length("text") > 0).alias("_filled"),
     )
     heads = slots.groupBy("conv_id", "run").agg(
-        F.min("_turn").alias("first_turn"), F.min_by("_type", "_turn").alias("type")
+        F.min("_turn").alias("first_turn"), F.min_by("_type", "_turn").alias("type"),
+        F.min(F.when(F.col("_filled"), F.col("_block"))).alias("_opens"),
     )
-    span = F.col("_block") - F.floor(F.col("first_turn") / block)
-    slots = slots.join(heads, ["conv_id", "run"]).withColumn("part", part_of(span, BLOCKS_PER_PART))
+
+    def numbered(at):
+        return part_of(at - F.floor(F.col("first_turn") / block), BLOCKS_PER_PART)
+
+    # A part behind the first text of its run starts with the line between texts.
+    slots = slots.join(heads, ["conv_id", "run"]).withColumns({
+        "part": numbered(F.col("_block")),
+        "_behind": F.coalesce(numbered(F.col("_block")) > numbered(F.col("_opens")), F.lit(False)),
+    })
     pieces = runs.groupBy(*spots).agg(
         F.count(F.lit(1)).alias("n"), _joined("turn", "text", BLANK_LINE).alias("text")
     )
     return (
-        pieces.join(slots.drop("_turn", "_type"), spots)
-        .groupBy("conv_id", "first_turn", "part", "role", "type")
+        pieces.join(slots.drop("_turn", "_type", "_filled", "_opens"), spots)
+        .groupBy("conv_id", "first_turn", "part", "role", "type", "_behind")
         .agg(F.sum("n").alias("n_messages"), _joined("_block", "text", BLANK_LINE).alias("text"))
+        .withColumn("text", F.when(F.col("_behind") & (F.col("text") != ""), F.concat(F.lit(BLANK_LINE), "text"))
+                    .otherwise(F.col("text")))
+        .drop("_behind")
     )
 
 
@@ -64,7 +83,7 @@ def alternate_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     taking_part = F.when(F.col("role").isin("user", "assistant"), F.col("role"))
     runs = number_runs(
-        messages, "conv_id", "turn", {"_raw_run": F.col("role"), "run": taking_part}, block
+        messages, "conv_id", "turn", {"_raw_run": _present("role"), "run": taking_part}, block
     ).where(F.col("run").isNotNull())
     runs = runs.withColumn("_block", F.floor(F.col("turn") / block))
     spots = ["conv_id", "run", "_raw_run", "_block"]
@@ -99,10 +118,14 @@ def alternate_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
                 F.col("head.turn").alias("first_turn"))
     )
     span = F.col("_block") - F.floor(F.col("first_turn") / block)
+    part = part_of(span, BLOCKS_PER_PART)
+    opens = slots.where("n > 0").groupBy("conv_id", "run", "_raw_run").agg(F.min("_block").alias("_opens"))
+    behind = part > part_of(F.col("_opens") - F.floor(F.col("first_turn") / block), BLOCKS_PER_PART)
     chosen = (
-        slots.join(kept, ["conv_id", "run", "_raw_run"])
+        slots.join(kept.join(opens, ["conv_id", "run", "_raw_run"], "left"), ["conv_id", "run", "_raw_run"])
         .where((F.col("role") == "assistant") | (span == 0))
-        .select(*spots, "first_turn", part_of(span, BLOCKS_PER_PART).alias("part"))
+        .select(*spots, "first_turn", part.alias("part"),
+                ((F.col("role") == "assistant") & F.coalesce(behind, F.lit(False))).alias("_behind"))
     )
     texts = F.collect_list(F.when(is_text, F.struct("turn", "text")))
     pieces = runs.groupBy(*spots, "role").agg(
@@ -115,8 +138,11 @@ def alternate_roles(messages: DataFrame, block: int = BLOCK) -> DataFrame:
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("_block", "_texts"))), lambda p: p["_texts"])
     return (
         pieces.join(chosen, spots)
-        .groupBy("conv_id", "first_turn", "part", "role")
-        .agg(F.concat_ws(BLANK_LINE, F.flatten(in_order)).alias("content"))
+        .groupBy("conv_id", "first_turn", "part", "role", "_behind")
+        .agg(F.flatten(in_order).alias("_all"))
+        .select("conv_id", "first_turn", "part", "role", F.concat(
+            F.when(F.col("_behind") & (F.size("_all") > 0), BLANK_LINE).otherwise(""),
+            F.concat_ws(BLANK_LINE, "_all")).alias("content"))
     )
 
 
@@ -175,11 +201,13 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
     # Parts and the stream's own fields meet on slim rows, one per stream and slot, so
     # no join or window on the stream id alone carries texts.
     before = Window.partitionBy("stream_id").orderBy("_slot")
-    slots = (
-        per_slot.select("stream_id", "_slot", "n")
-        .withColumn("part", part_of(F.sum("n").over(before) - F.col("n"), events_per_part))
-        .drop("n").join(records, "stream_id")
-    )
+    slots = per_slot.select("stream_id", "_slot", "n", (F.trim("text") != "").alias("filled")).withColumn(
+        "part", part_of(F.sum("n").over(before) - F.col("n"), events_per_part))
+    # The whole text is trimmed, not its parts: only what stands before or behind all of it goes.
+    in_text = F.when(F.col("filled"), F.col("part"))
+    records = records.join(
+        slots.groupBy("stream_id").agg(F.min(in_text).alias("_from"), F.max(in_text).alias("_to")), "stream_id", "left")
+    slots = slots.select("stream_id", "_slot", "part").join(records, "stream_id")
     # A row without text per stream, so that streams without texts keep their record.
     stubs = records.withColumns({
         "part": F.lit(0), "_slot": F.lit(-1).cast("long"), "n": F.lit(0).cast("long"), "text": F.lit("")
@@ -187,10 +215,10 @@ def assemble_events(events: DataFrame, events_per_part: int = EVENTS_PER_PART,
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("_slot", "text"))), lambda p: p["text"])
     texts = (
         per_slot.join(slots, ["stream_id", "_slot"]).unionByName(stubs)
-        .groupBy("stream_id", "part", "status", "error_body", "tool_result")
+        .groupBy("stream_id", "part", "status", "error_body", "tool_result", "_from", "_to")
         .agg(F.sum("n").alias("n_texts"), F.concat_ws("", in_order).alias("text"))
     )
-    failed_text = F.when(F.col("status") == "error", F.col("error_body")).otherwise(F.col("text"))
-    return texts.select(
-        "stream_id", "part", "status", "n_texts", F.trim(failed_text).alias("text"), "tool_result"
-    )
+    text = F.when(F.coalesce(F.col("part") <= F.col("_from"), F.lit(True)), F.ltrim("text")).otherwise(F.col("text"))
+    text = F.when(F.coalesce(F.col("part") >= F.col("_to"), F.lit(True)), F.rtrim(text)).otherwise(text)
+    text = F.when(F.col("status") == "error", F.trim("error_body")).otherwise(text)
+    return texts.select("stream_id", "part", "status", "n_texts", text.alias("text"), "tool_result")

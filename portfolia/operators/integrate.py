@@ -16,7 +16,8 @@ def mean(value: Column, weight: Column | None = None) -> Column:
 
 
 def round_half_up(value: Column, digits: int) -> Column:
-    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+    """Rounding half up of the decimal digits; values too large for six decimals have none to round."""
+    return F.coalesce(F.round(value.try_cast("decimal(38,6)"), digits).cast("double"), value.cast("double"))
 
 
 def nested_extract(brokers: DataFrame, round_satisfaction: bool = True) -> DataFrame:
@@ -81,8 +82,8 @@ def integrate_entities(
 ) -> DataFrame:
     """Item 29 (level 1): policy, its broker and its claims; one row per policy and claim.
 
-    The claim join salts hot policy numbers of either side. The broker table is
-    broadcast within a checked size and joined with salts beyond it. ``also_on`` names
+    The claim join salts hot policy numbers of either side. Spark broadcasts the broker
+    table where its size allows. ``also_on`` names
     columns, present in policies and claims, that must be equal besides the number.
     """
     dim = nested_extract(brokers, round_satisfaction)
@@ -260,8 +261,6 @@ def risk_dashboard(
         policies.where(F.col("broker_id").isNotNull()),
         broker_profile(nested_extract(brokers, round_satisfaction), _stats(totals), exact),
         "broker_id", "inner",
-        bound=policies.select("broker_id").distinct(),
-        left_counts=totals.select("broker_id", F.col("n_policies").alias("_n")),
     )
     joined = salted_join(
         left,
@@ -281,10 +280,7 @@ def dashboard_from(integrated: DataFrame, exact: bool = False) -> DataFrame:
     )
     traits = totals.drop("n_rows", "claim_sum")
     profile = broker_profile(traits, _stats(totals), exact).drop(*traits.columns[1:])
-    counts = totals.select("broker_id", F.col("n_rows").alias("_n"))
-    return lookup_join(
-        rows, profile, "broker_id", "inner", bound=rows.select("broker_id").distinct(), left_counts=counts
-    ).select(*DASHBOARD_COLUMNS)
+    return lookup_join(rows, profile, "broker_id", "inner").select(*DASHBOARD_COLUMNS)
 
 
 def matrix_from_dashboard(dashboard: DataFrame, exact: bool = False) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,8 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of one key that a single task is asked to take in a join.
 ROWS_PER_SALT = 2_000_000
-#: Salts used for rows whose key is NULL: they match nothing and only need spreading.
-NULL_SALTS = 4096
 #: Order units per block when one group is numbered in pieces.
 BLOCK = 65_536
 
@@ -76,11 +73,15 @@ def salted_join(
     else:
         fans = fans.withColumn("_fan_r", F.lit(1))
     fans = F.broadcast(fans)
-    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    hot_keys = F.broadcast(fans.select(*keys))
+    # Rows of ordinary keys, and those without a key, take a plain join that Catalyst prunes and filters through
+    # and that adaptive execution may split; only hot keys are salted. Without hot keys that branch is empty.
+    plain = left.join(hot_keys, keys, "left_anti").join(_with_keys(right, keys), keys, how)
+    left, right = (df.join(hot_keys, keys, "left_semi") for df in (left, right))
 
     def spread(df: DataFrame, own: str, other: str, own_salt: str, other_salt: str) -> DataFrame:
         out = df.withColumn("_row", row_salt(df, F.lit(1 << 30))).join(fans, keys, "left")
-        own_n = F.when(no_key, NULL_SALTS).otherwise(F.coalesce(F.col(own), F.lit(1)))
+        own_n = F.coalesce(F.col(own), F.lit(1))
         return (
             out.withColumn(own_salt, F.pmod(F.col("_row"), own_n).cast("int"))
             .withColumn("_copies", F.coalesce(F.col(other), F.lit(1)))
@@ -89,53 +90,23 @@ def salted_join(
         )
 
     lhs = spread(left, "_fan_l", "_fan_r", "_salt_l", "_salt_r")
-    rhs = spread(_with_keys(right, keys), "_fan_r", "_fan_l", "_salt_r", "_salt_l")
+    rhs = spread(right, "_fan_r", "_fan_l", "_salt_r", "_salt_l")
     rhs = rhs.drop("_copies").withColumn("_hit", F.lit(True))
     out = lhs.join(rhs, [*keys, "_salt_l", "_salt_r"], how)
     if how == "left":
         # A repeated left row has a hot partner key, so at least one copy matches;
         # the copies whose salt met nothing are not rows of the result.
         out = out.where(F.col("_hit").isNotNull() | (F.col("_copies") == 1))
-    return out.drop("_salt_l", "_salt_r", "_copies", "_hit")
+    return plain.unionByName(out.drop("_salt_l", "_salt_r", "_copies", "_hit"))
 
 
-#: Rows of a lookup table that may be broadcast; a row of ours is well under 1 kB.
-MAX_LOOKUP_ROWS = 100_000
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join with a table that has one row per key.
 
-
-#: Seconds for which the outcome of a size check is kept.
-CHECK_SECONDS = 60
-_checked: dict[tuple[int, int], tuple[float, bool]] = {}
-
-
-def _fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a result has at most so many rows; asked once a minute per query plan."""
-    key = (df.semanticHash(), max_rows)
-    now = time.monotonic()
-    if key not in _checked or now - _checked[key][0] > CHECK_SECONDS:
-        _checked[key] = (now, df.limit(max_rows + 1).count() <= max_rows)
-    return _checked[key][1]
-
-
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    how: str = "left",
-    bound: DataFrame | None = None,
-    left_counts: DataFrame | None = None,
-    max_rows: int = MAX_LOOKUP_ROWS,
-) -> DataFrame:
-    """Join with a table that has one row per key and is small as a rule.
-
-    Its rows are counted, up to the limit, when the job is built. Within the limit the
-    table is broadcast and the big side is not shuffled; beyond it hot keys are salted.
-    ``bound`` is counted instead of a lookup table that is itself costly to compute; it
-    must have at least as many rows.
+    A plain join: Spark broadcasts the table where its size in bytes allows, and splits hot keys of the big side
+    otherwise. Nothing is counted while the plan is built.
     """
-    if _fits(lookup.select(key) if bound is None else bound, max_rows):
-        return rows.join(F.broadcast(lookup), key, how)
-    return salted_join(rows, lookup, key, how, left_counts=left_counts, right_unique=True)
+    return rows.join(lookup, key, how)
 
 
 def number_runs(
@@ -187,7 +158,9 @@ def number_runs(
          - F.sum(f"_joined_{t}").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias(f"_offset_{t}")
         for t in tracks
     ]
-    numbered = rows.join(blocks.select(group, "_block", *offsets), [group, "_block"])
+    offsets = blocks.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), *offsets)
+    numbered = rows.join(
+        offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_b")))
     return numbered.select(
         *df.columns,
         *[F.when(F.col(f"_v_{t}").isNotNull(), F.col(f"_offset_{t}") + F.col(f"_n_{t}")).alias(t) for t in tracks],

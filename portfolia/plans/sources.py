@@ -31,7 +31,11 @@ def claim_files(spark: SparkSession, d: str, bad: bool = False) -> str:
         rows = rows.withColumn(
             "CLAIM_AMOUNT", F.when(amount % 10 == 3, F.concat(F.lit("x"), amount.cast("string")))
             .otherwise(amount.cast("string")))
-    files.export_records_csv(rows, path)
+    # Two kinds of files: the second has its columns in reverse order and its header in capitals.
+    other = F.pmod(F.xxhash64("incident_type", "witnesses"), F.lit(2)) == 1
+    files.export_records_csv(rows.where(~other), path)
+    turned = rows.where(other).select(*[F.col(c).alias(c.upper()) for c in reversed(rows.columns)])
+    turned.write.mode("append").options(header=True, dateFormat=files.DATE_FORMAT).csv(path)
     return path
 
 
@@ -46,6 +50,21 @@ def _copy(spark, d):
     return files.copy_into_by_name(spark, claim_files(spark, d), schema)
 
 
+@query("copy_keeps_raw_key", sql(
+    """SELECT policy_number, CASE WHEN policy_number IS NOT NULL THEN concat(policy_number, '.0') END
+  AS policy_number_raw, count(*) AS n FROM claims GROUP BY 1""", "claims"))
+def _copy_raw(spark, d):
+    rows = files.copy_into_by_name(spark, claim_files(spark, d), schemas.CLAIMS, raw_keys=True)
+    return rows.groupBy("policy_number", "policy_number_raw").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("copy_json_by_name", sql("SELECT broker_id, first_name, office_location, active FROM brokers", "brokers"))
+def _copy_json(spark, d):
+    wanted = ("broker_id", "first_name", "office_location", "active")
+    schema = T.StructType([f for f in schemas.BROKERS if f.name in wanted])
+    return files.copy_into_by_name(spark, broker_files(spark, d), schema, "json")
+
+
 @query("load_skip_bad_rows", sql(
     """SELECT * FROM claims WHERE claim_amount IS NULL OR claim_amount % 10 <> 3""", "claims"))
 def _skip(spark, d):
@@ -63,8 +82,11 @@ def broker_files(spark: SparkSession, d: str) -> str:
     """Bound brokers as JSON files that hold an array each."""
     path = scratch_dir(spark, "broker_json")
     rows = b.brokers(spark, d)
-    array = F.concat(F.lit("["), F.to_json(F.struct(*rows.columns)), F.lit("]"))
-    rows.select(array.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    # A few files, each with an outer array of several elements.
+    arrays = rows.groupBy(F.pmod(F.xxhash64("broker_id"), F.lit(5)).alias("file")).agg(
+        F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",").alias("elements"))
+    arrays.select(F.concat(F.lit("["), "elements", F.lit("]")).alias("value")).write.option(
+        "maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -80,9 +102,10 @@ def _json(spark, d):
 
 
 @query("sample_raw_json", sql(
-    "SELECT broker_id, office_location FROM brokers ORDER BY active, broker_id LIMIT 10", "brokers"))
+    "SELECT broker_id, office_location FROM brokers", "brokers"))
 def _sample(spark, d):
-    records = files.sample_raw_json(spark, broker_files(spark, d), 10)
+    # The bound brokers are fewer than the limit, so the sample is all of them.
+    records = files.sample_raw_json(spark, broker_files(spark, d), 1000)
     return records.select(*[
         F.variant_get("record", f"$.{c}", "string").alias(c) for c in ("broker_id", "office_location")])
 
@@ -102,7 +125,7 @@ def _template(spark, d):
 
 @query("select_files")
 def _listing(spark, d):
-    return files.select_files(spark, claim_files(spark, d), suffixes=(".csv",))
+    return files.select_files(spark, claim_files(spark, d), suffixes=(".csv",)).select("file_name", "length")
 
 
 @query("limit_by_storage")

@@ -8,13 +8,10 @@ from portfolia import bindings as b, schemas
 from portfolia.operators import quality
 from portfolia.plans.registry import CTE, query, sql
 from portfolia.plans.risk import L2_ROWS, flat
-from portfolia.plans.sources import RAW_CLAIMS, claim_files
+from portfolia.plans.sources import claim_files
 from portfolia.session import scratch_dir
 from portfolia.streaming import jobs
 
-CLAIM_HEADER = [c.split(" AS ")[-1] for c in RAW_CLAIMS]
-
-
 def arriving_claims(spark: SparkSession, d: str, batches: int = 2) -> DataFrame:
     """Bound claims as a stream: one file per batch."""
     landing = scratch_dir(spark, "landing")
@@ -27,7 +24,7 @@ def arriving_claims(spark: SparkSession, d: str, batches: int = 2) -> DataFrame:
 @query("ingest_stream", sql("SELECT * FROM claims", "claims"))
 def _ingest(spark, d):
     raw = scratch_dir(spark, "raw")
-    stream = jobs.ingest_stream(spark, claim_files(spark, d), "*.csv", CLAIM_HEADER)
+    stream = jobs.ingest_stream(spark, claim_files(spark, d), "*.csv")
     jobs.stream_ingest_to_raw(stream, schemas.CLAIMS, raw, scratch_dir(spark, "ckpt"))
     return spark.read.parquet(f"{raw}/good").drop("batch_id")
 
@@ -37,7 +34,7 @@ def _ingest(spark, d):
 FROM claims GROUP BY 1""", "claims"))
 def _to_raw(spark, d):
     raw = scratch_dir(spark, "raw")
-    stream = jobs.ingest_stream(spark, claim_files(spark, d, bad=True), "*.csv", CLAIM_HEADER, 4)
+    stream = jobs.ingest_stream(spark, claim_files(spark, d, bad=True), "*.csv", 4)
     jobs.stream_ingest_to_raw(stream, schemas.CLAIMS, raw, scratch_dir(spark, "ckpt"))
     good = spark.read.parquet(f"{raw}/good").select(F.lit(False).alias("quarantined"))
     bad = spark.read.parquet(f"{raw}/quarantine").select(F.lit(True).alias("quarantined"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -23,10 +24,48 @@ CSV_OPTIONS = {
 }
 
 
-def read_csv_entity(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Item 1. With a schema, columns are matched to it by name; without, all are text."""
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    return raw if schema is None else conform(raw, schema, strict=False)
+def header_groups(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """Files grouped by their header line; the driver gets one path per file, as it does when files are listed."""
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("no"))
+    firsts = (
+        lines.where((F.col("start") == 0) & (F.trim("value") != ""))
+        .groupBy("file").agg(F.min_by("value", "no").alias("header"))
+    )
+    groups = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r.files for r in groups.orderBy("header").collect()]
+
+
+def read_csv_entity(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """Item 1. With a schema, columns are matched to it by name; without, all are text.
+
+    Every file is read by its own header line: files whose headers differ in order, case or number of columns
+    are read apart, and their columns meet by name in any case.
+    """
+    def read(files: Sequence[str]) -> DataFrame:
+        raw = spark.read.options(**CSV_OPTIONS).csv([file_path(f) for f in files])
+        return raw if schema is None else conform(raw, schema, strict=False)
+
+    return by_header(spark, path, read)
+
+
+def file_path(url: str) -> str:
+    """A path as readers take it, from the escaped form that file metadata has."""
+    return unquote(url)
+
+
+def by_header(spark: SparkSession, path: str | Sequence[str], read: Callable[[Sequence[str]], DataFrame]) -> DataFrame:
+    """The union by name of what ``read`` makes of each group of files with one header."""
+    groups = header_groups(spark, path)
+    if len(groups) <= 1:
+        return read(groups[0] if groups else ([path] if isinstance(path, str) else list(path)))
+    parts, names = [], {}
+    for files in groups:
+        part = read(files)
+        parts.append(part.toDF(*[names.setdefault(c.lower(), c) for c in part.columns]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_json_entity(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -88,9 +127,9 @@ def parse(value: Column, to: T.DataType) -> Column:
     return value.try_cast(to)
 
 
-def normalise_key(value: Column) -> Column:
-    """A policy number written as 900085.0 or 900085 becomes the text 900085."""
-    return F.coalesce(value.try_cast("decimal(38,0)").cast("string"), F.nullif(F.trim(value), F.lit("")))
+def normalise_key(value: Column | str) -> Column:
+    """A number written as 900085.0 becomes the text 900085; any other text stays as it is, blank is NULL."""
+    return F.nullif(F.regexp_replace(F.trim(value), r"^(-?[0-9]+)\.0+$", "$1"), F.lit(""))
 
 
 def _by_name(df: DataFrame, schema: T.StructType) -> list[tuple[T.StructField, Column]]:
@@ -106,10 +145,11 @@ def _by_name(df: DataFrame, schema: T.StructType) -> list[tuple[T.StructField, C
 
 
 def conform(df: DataFrame, schema: T.StructType, strict: bool = True,
-            keys: Sequence[str] = ("policy_number",)) -> DataFrame:
+            keys: Sequence[str] = ("policy_number",), raw_keys: bool = False) -> DataFrame:
     """Item 6: match columns by name in any case, cast them, fill missing ones with NULL.
 
-    ``strict`` raises on a non-empty value that does not parse.
+    ``strict`` raises on a non-empty value that does not parse. ``raw_keys`` adds the untouched text of each
+    key as ``<key>_raw``.
     """
     out = []
     for f, value in _by_name(df, schema):
@@ -120,14 +160,18 @@ def conform(df: DataFrame, schema: T.StructType, strict: bool = True,
             message = F.concat(F.lit(f"cannot load {f.name}: "), value.cast("string"))
             typed = F.when(bad, F.raise_error(message)).otherwise(typed)
         if f.name in keys:
-            typed = normalise_key(typed.cast("string"))
+            if raw_keys:
+                out.append(value.cast("string").alias(f"{f.name}_raw"))
+            typed = normalise_key(value.cast("string"))
         out.append(typed.alias(f.name))
     return df.select(*out)
 
 
-def copy_into_by_name(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Item 6: bulk load of CSV files that stops at the first bad value."""
-    return conform(read_csv_entity(spark, path), schema, strict=True)
+def copy_into_by_name(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "csv",
+                      raw_keys: bool = False) -> DataFrame:
+    """Item 6: bulk load of CSV or JSON files by name that stops at the first bad value."""
+    raw = read_csv_entity(spark, path) if file_format == "csv" else read_json_entity(spark, path)
+    return conform(raw, schema, strict=True, raw_keys=raw_keys)
 
 
 def split_bad_rows(raw: DataFrame, schema: T.StructType) -> DataFrame:
@@ -169,7 +213,7 @@ def select_files(spark: SparkSession, folder: str, pattern: str | None = None,
     if max_bytes is not None:
         files = files.where(F.col("length") < max_bytes)
     name = F.split_part("path", F.lit("/"), F.lit(-1)).alias("file_name")
-    return files.select(name, "length").distinct().orderBy("file_name")
+    return files.select(name, "path", "length").orderBy("file_name", "path")
 
 
 def largest_file(spark: SparkSession, folder: str, n: int = 1) -> DataFrame:

@@ -16,16 +16,15 @@ from portfolia.operators.skew import salted_join
 from portfolia.sources import files
 
 
-def ingest_stream(spark: SparkSession, folder: str, pattern: str, columns: Sequence[str],
-                  files_per_batch: int | None = None) -> DataFrame:
-    """Item 8: CSV files whose name fits the pattern, as a stream of text columns."""
+def ingest_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
+    """Item 8: CSV files whose name fits the pattern, as a stream of their paths; contents are read per batch."""
     reader = (
-        spark.readStream.options(**files.CSV_OPTIONS).option("pathGlobFilter", pattern)
-        .schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+        spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+        .schema("path string, modificationTime timestamp, length long, content binary")
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder)
+    return reader.load(folder).select("path")
 
 
 def run_available(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None],
@@ -43,9 +42,13 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 
 def stream_ingest_to_raw(stream: DataFrame, schema: T.StructType, raw: str, checkpoint: str) -> None:
-    """Item 122: append each batch to the raw table by column name; bad rows go aside."""
+    """Item 122: append each batch to the raw table by column name; bad rows go aside.
+
+    Each file is read by its own header. The driver holds the paths of one batch, as the file source does.
+    """
     def load(batch: DataFrame, batch_id: int) -> None:
-        rows = files.split_bad_rows(batch, schema)
+        paths = sorted(r.path for r in batch.distinct().collect())
+        rows = files.split_bad_rows(files.read_csv_entity(batch.sparkSession, paths), schema)
         write_batch(rows.where(F.size("_bad") == 0).drop("_bad"), f"{raw}/good", batch_id)
         write_batch(rows.where(F.size("_bad") > 0), f"{raw}/quarantine", batch_id)
 

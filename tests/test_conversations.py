@@ -37,10 +37,16 @@ def test_coalesce_turns(spark, block):
             parts = got.pop((g, run[0][1]))
             assert parts[0].role == role and parts[0].type == run[0][3]
             assert sum(p.n_messages for p in parts) == len(run)
-            assert "\n\n".join(p.text for p in parts if p.text) == "\n\n".join(m[4] for m in run if m[4])
+            assert "".join(p.text for p in parts) == "\n\n".join(m[4] for m in run if m[4])
     assert not got
 
 
+def test_message_without_role_is_kept(spark):
+    rows = [(1, 0, "user", "text", "a"), (1, 1, None, "text", "LOST"), (1, 2, "user", "text", "c")]
+    out = c.coalesce_turns(spark.createDataFrame(rows, SCHEMA)).orderBy("first_turn").collect()
+    assert [(r.role, r.text) for r in out] == [("user", "a"), (None, "LOST"), ("user", "c")]
+
+
 def _alternate(ms):
     """The turn-by-turn rule: expect user first; keep the last of equal neighbours."""
     out, expected = [], "user"
@@ -65,7 +71,7 @@ def test_alternate_roles(spark, roles, block):
     for r in out.orderBy("conv_id", "first_turn", "part").collect():
         got.setdefault(r.conv_id, {}).setdefault((r.first_turn, r.role), []).append(r.content)
     for g, ms in _by_conv(rows).items():
-        have = [(role, "\n\n".join(parts)) for (_, role), parts in sorted(got.get(g, {}).items())]
+        have = [(role, "".join(parts)) for (_, role), parts in sorted(got.get(g, {}).items())]
         assert have == [(role, "\n\n".join(t for t in texts)) for role, texts in _alternate(ms)]
 
 
@@ -93,7 +99,7 @@ def test_assemble_events(spark, size, seconds):
                 tool = body
         parts = got.pop(s)
         assert {p.status for p in parts} == {status} and {p.tool_result for p in parts} == {tool}
-        assert " ".join(p.text for p in parts) == "".join(text).strip()
+        assert "".join(p.text for p in parts) == "".join(text).strip(" ")
         if size == 3 and status != "error":
             assert sum(p.n_texts for p in parts) == len(text)
     assert not got

@@ -27,6 +27,21 @@ def test_lenient_csv(spark, sample):
     assert [(r.b, r._bad) for r in bad.collect()] == [(7, ["A"])]
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("A,B\n1,2\n")
+    (tmp_path / "2.csv").write_text("b,a\n20,10\n")
+    (tmp_path / "3 x.csv").write_text("B\n200\n")
+    rows = files.read_csv_entity(spark, str(tmp_path), AB).collect()
+    assert sorted((r.A or 0, r.b) for r in rows) == [(0, 200), (1, 2), (10, 20)]
+    assert files.copy_into_by_name(spark, str(tmp_path), AB).count() == 3
+
+
+def test_keys_keep_their_identity(spark):
+    rows = [(v,) for v in ("007", "7", "1e3", "900085.0", " 900086.00 ", "900085.6", "", None)]
+    got = spark.createDataFrame(rows, "k string").select(files.normalise_key("k").alias("k"))
+    assert [r.k for r in got.collect()] == ["007", "7", "1e3", "900085", "900086", "900085.6", None, None]
+
+
 def test_strict_load_stops(spark, sample):
     with pytest.raises(Exception, match="cannot load A"):
         files.copy_into_by_name(spark, sample, AB).collect()
@@ -68,6 +83,10 @@ def test_listing_and_scan(spark, tmp_path):
     out = files.select_files(spark, str(tmp_path), suffixes=(".yaml", ".yml"), max_bytes=1000).collect()
     assert [(r.file_name, r.length) for r in out] == [("a.yaml", 10), ("b.YML", 20)]
     assert files.select_files(spark, str(tmp_path), pattern=r".*/c\.txt$").count() == 1
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "m.yaml").write_text("same")
+    assert files.select_files(spark, str(tmp_path), pattern="m[.]yaml$").count() == 2
     assert files.largest_file(spark, str(tmp_path)).first().file_name == "d.yaml"
     assert len(files.document_scan(spark, str(tmp_path), "*.txt").first().raw_text) == 30
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from portfolia.plans import ORACLES, QUERIES
 from tools.check import connect, rows_of
 
-ORACLES = oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    df = queries()[name](spark, sf_dir)
+    df = QUERIES[name](spark, sf_dir)
     got = rows_of(df.columns, df.collect())
     assert len(set(df.columns)) == len(df.columns)
     if name not in ORACLES:
@@ -35,4 +34,5 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(queries())
+    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) <= set(queries())

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import queries
 from portfolia import bindings as b
-from portfolia.operators import quality
+from portfolia.operators import integrate, quality
+from portfolia.plans import QUERIES
 from tests.conftest import plan_of
 
 STREAMED = ("ingest_stream", "stream_ingest", "refresh_chain", "scheduled_metrics", "change_totals")
 PYTHON = ("broker_performance_exact", "chunk_", "build_chunk_table", "search_")
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if not n.startswith(STREAMED)])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(STREAMED)])
 def test_no_pairing_of_all_rows_and_no_row_python(spark, sf_dir, name):
-    plan = plan_of(queries()[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "SinglePartition, REPARTITION"):
         assert bad not in plan
     if not name.startswith(PYTHON):
@@ -23,7 +23,7 @@ def test_no_pairing_of_all_rows_and_no_row_python(spark, sf_dir, name):
 
 
 def test_scan_reads_only_needed_columns(spark, sf_dir):
-    plan = queries()["risk_profiles"](spark, sf_dir)._jdf.queryExecution().toString()
+    plan = QUERIES["risk_profiles"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "c_name" not in plan.split("== Physical Plan ==")[1]
     assert "o_orderpriority" not in plan.split("== Physical Plan ==")[1]
 
@@ -35,9 +35,10 @@ def test_one_scan_per_table_for_all_metrics(spark, sf_dir):
 
 
 def test_top_k_and_first_row_per_key(spark, sf_dir):
-    assert "TakeOrderedAndProject" in plan_of(queries()["top_brokers"](spark, sf_dir))
-    assert "WindowGroupLimit" in plan_of(queries()["dedup_keep_latest"](spark, sf_dir))
+    assert "TakeOrderedAndProject" in plan_of(QUERIES["top_brokers"](spark, sf_dir))
+    assert "WindowGroupLimit" in plan_of(QUERIES["dedup_keep_latest"](spark, sf_dir))
 
 
 def test_level_two_has_no_window_over_brokers(spark, sf_dir):
-    assert "Window" not in plan_of(queries()["risk_dashboard"](spark, sf_dir))
+    assert "Window" not in plan_of(QUERIES["risk_dashboard"](spark, sf_dir))
+
