@@ -173,7 +173,7 @@ def _performance_batches(
 
 
 def register_sql_functions(spark) -> None:
-    """Items 86 and 87 for SQL callers, as temporary SQL functions."""
+    """Items 86 to 88 for SQL callers, as temporary SQL functions."""
     ages = " ".join(
         f"WHEN {'TRUE' if below is None else f'age < {below}'} THEN IF(claim > {limit}, {hi}, {lo})"
         for below, limit, hi, lo in AGE_BANDS
@@ -192,3 +192,20 @@ def register_sql_functions(spark) -> None:
         "CREATE OR REPLACE TEMPORARY FUNCTION broker_tier(satisfaction DOUBLE, experience BIGINT,"
         f" training BIGINT) RETURNS STRING RETURN CASE {tiers} ELSE '{LOWEST_TIER}' END"
     )
+    parts = {
+        "satisfaction_component": "least(coalesce(satisfaction, 0) * 20, 100D)",
+        "experience_component": "least(coalesce(experience, 0) * 8D, 80D)",
+        "training_component": "least(coalesce(training, 0) * 2D, 60D)",
+        "portfolio_component": "IF(customers > 0, least(ln(customers) * 15, 50D), 0D)",
+        "risk_management_component": "IF(avg_claim > 0, greatest(50 - avg_claim / 2000, 0D), 0D)",
+    }
+    total = " + ".join(parts.values())
+    ranks = " ".join(f"WHEN {total} >= {limit} THEN '{name}'" for name, limit in PERFORMANCE_TIERS)
+    fields = ", ".join(f"'{name}', bround({part}, 1)" for name, part in parts.items())
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION broker_performance(satisfaction DOUBLE, experience BIGINT,"
+        " training BIGINT, customers BIGINT, avg_claim DOUBLE) RETURNS STRUCT<total_score: DOUBLE,"
+        f" performance_tier: STRING, {', '.join(f'{name}: DOUBLE' for name in parts)}>"
+        f" RETURN named_struct('total_score', bround({total}, 1), 'performance_tier',"
+        f" CASE {ranks} ELSE '{LOWEST_PERFORMANCE}' END, {fields})"
+    )

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from portfolia.functions import risk
 from portfolia.operators.integrate import mean, round_half_up
 from portfolia.operators.skew import exact_quantiles
 
@@ -53,7 +54,7 @@ def risk_profiles(portfolio: DataFrame) -> DataFrame:
 
 
 def broker_correlation(portfolio: DataFrame, stats: DataFrame) -> DataFrame:
-    """Item 54. Tier, count and average are constant per broker, so brokers group alone."""
+    """Item 54. Tier, count, average and analysis are constant per broker, so brokers group alone."""
     per_broker = portfolio.groupBy("broker_id", "broker_tier").agg(
         count_rows().alias("managed_customers"),
         mean(F.col("customer_risk_score"), weight()).alias("portfolio_risk_score"),
@@ -61,8 +62,18 @@ def broker_correlation(portfolio: DataFrame, stats: DataFrame) -> DataFrame:
         mean(F.col("policy_annual_premium"), weight()).alias("avg_portfolio_premium"),
         F.sum("claim_total").alias("total_portfolio_claims"),
         F.max("customer_region").alias("primary_region"),
+        *[F.max(c).alias(c) for c in BROKER_TRAITS],
     )
-    return per_broker.join(stats, "broker_id")
+    return with_analysis(per_broker.join(stats, "broker_id")).drop(*BROKER_TRAITS)
+
+
+BROKER_TRAITS = ["broker_satisfaction", "broker_experience", "broker_training"]
+
+
+def with_analysis(rows: DataFrame) -> DataFrame:
+    """Rows that carry a broker's traits, count and average, with its performance analysis."""
+    columns = [F.col(c) for c in (*BROKER_TRAITS, "broker_customer_count", "broker_avg_claim")]
+    return rows.withColumn("broker_performance_analysis", risk.broker_performance(*columns))
 
 
 def geographic_risk(portfolio: DataFrame) -> DataFrame:

@@ -365,8 +365,8 @@ def check_claim_link(policies: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def relationship_quality(policies: DataFrame, claims: DataFrame) -> DataFrame:
-    """Item 32: distinct policies, those with a claim, and the share in percent."""
+def relationship_quality(policies: DataFrame, claims: DataFrame, measured_at: str | None = None) -> DataFrame:
+    """Item 32: distinct policies, those with a claim, and the share in percent, at a time (now if none is given)."""
     p = policies.select("policy_number").where("policy_number IS NOT NULL").distinct()
     c = claims.select("policy_number").where("policy_number IS NOT NULL").distinct()
     counted = p.join(c.withColumn("hit", F.lit(1)), "policy_number", "left").agg(
@@ -379,4 +379,5 @@ def relationship_quality(policies: DataFrame, claims: DataFrame) -> DataFrame:
         "valid_relationships",
         (F.col("total_customers") - F.col("valid_relationships")).alias("missing_relationships"),
         round_half_up(share, 2).alias("integrity_percentage"),
+        (F.current_timestamp() if measured_at is None else F.lit(measured_at).cast("timestamp")).alias("measured_at"),
     )

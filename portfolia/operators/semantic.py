@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from portfolia.operators.feeds import count_rows, level_count, weight
+from portfolia.operators.feeds import count_rows, level_count, weight, with_analysis
 from portfolia.operators.integrate import mean, round_half_up
 
 
@@ -152,6 +152,11 @@ ALIASES = {
 HIGH_RISK_SCORE = 50
 
 
+def model_table(portfolio: DataFrame, stats: DataFrame) -> DataFrame:
+    """The summed portfolio with its brokers' count, average and analysis: all names of the model resolve on it."""
+    return with_analysis(portfolio.join(stats, "broker_id"))
+
+
 def semantic_filter() -> Column:
     """Item 27: high score, or fraud reported."""
     return (F.col("customer_risk_score") >= HIGH_RISK_SCORE) | F.col("fraud_reported_filled")

@@ -32,7 +32,7 @@ RELATION = """
 SELECT 'CUSTOMER_CLAIMS_INTEGRITY' AS relationship_type, total_customers, valid_relationships,
   total_customers - valid_relationships AS missing_relationships,
   CAST(round(CAST(valid_relationships * 100.0 / total_customers AS DECIMAL(18,6)), 2) AS DOUBLE)
-    AS integrity_percentage
+    AS integrity_percentage, TIMESTAMP '2024-03-01 12:00:00' AS measured_at
 FROM (SELECT count(DISTINCT p.policy_number) AS total_customers,
   count(DISTINCT c.policy_number) AS valid_relationships
   FROM policies p LEFT JOIN claims c ON p.policy_number = c.policy_number) x"""
@@ -40,7 +40,7 @@ FROM (SELECT count(DISTINCT p.policy_number) AS total_customers,
 
 @query("relationship_quality", sql(RELATION, "policies", "claims"))
 def _relationship(spark, d):
-    return integrate.relationship_quality(b.policies(spark, d), b.claims(spark, d))
+    return integrate.relationship_quality(b.policies(spark, d), b.claims(spark, d), "2024-03-01 12:00:00")
 
 
 COUNTS = """

@@ -28,6 +28,10 @@ def matrix(spark: SparkSession, d: str, **kw) -> DataFrame:
     return integrate.matrix_from(b.policies(spark, d), b.brokers(spark, d), b.claims(spark, d), **kw)
 
 
+ANALYSIS_FIELDS = ["total_score", "performance_tier", "satisfaction_component", "experience_component",
+                   "training_component", "portfolio_component", "risk_management_component"]
+
+
 def flat(df: DataFrame) -> DataFrame:
     """The analysis struct as columns, so that rows compare by value."""
     return df.select(*[c for c in df.columns if c != ANALYSIS], f"{ANALYSIS}.*")
@@ -164,22 +168,26 @@ def _risk_score(spark, d):
 
 
 @query("risk_score_sql_function", sql(
-    "SELECT customer_risk_score, broker_tier, count(*) AS n FROM scored WHERE has_claim = 0 GROUP BY 1, 2",
-    "scored"))
+    "SELECT customer_risk_score, broker_tier, count(*) AS n FROM scored GROUP BY 1, 2", "scored"))
 def _risk_score_sql(spark, d):
     risk.register_sql_functions(spark)
-    dim = integrate.nested_extract(b.brokers(spark, d))
-    rows = (
-        b.policies(spark, d).where("broker_id IS NOT NULL")
-        .join(b.claims(spark, d).select("policy_number").distinct(), "policy_number", "left_anti")
-        .join(dim, "broker_id", "left")
-    )
-    return rows.groupBy(
-        F.expr("risk_score(age, policy_annual_premium, 0L)").alias("customer_risk_score"),
+    rows = integrate.integrate_entities(b.policies(spark, d), b.brokers(spark, d), b.claims(spark, d))
+    return rows.where("broker_id IS NOT NULL").groupBy(
+        F.expr("risk_score(age, policy_annual_premium, claim_amount_filled)").alias("customer_risk_score"),
         F.expr("broker_tier(broker_satisfaction, broker_experience, broker_training)").alias("broker_tier"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("broker_performance_sql_function", sql("SELECT * FROM analysis", "analysis"))
+def _performance_sql(spark, d):
+    risk.register_sql_functions(spark)
+    dim = integrate.nested_extract(b.brokers(spark, d))
+    held = stats(spark, d).join(dim, "broker_id", "left")
+    analysis = F.expr("broker_performance(broker_satisfaction, broker_experience, broker_training,"
+                      " broker_customer_count, broker_avg_claim)")
+    return flat(held.select("broker_id", analysis.alias(ANALYSIS)))
+
+
 @query("broker_tier", sql(
     """SELECT broker_id, CASE WHEN satisfaction >= 4.8 AND experience >= 10 AND training >= 40 THEN 'PLATINUM'
   WHEN satisfaction >= 4.5 AND experience >= 5 AND training >= 30 THEN 'GOLD'
@@ -218,10 +226,12 @@ def _matrix_distinct(spark, d):
   count(*) AS managed_customers, CAST(sum(customer_risk_score) AS DOUBLE) / count(*) AS portfolio_risk_score,
   count(*) FILTER (final_risk_level = 'HIGH') AS high_risk_customers,
   CAST(sum(policy_annual_premium) AS DOUBLE) / count(policy_annual_premium) AS avg_portfolio_premium,
-  CAST(sum(claim_amount_filled) AS BIGINT) AS total_portfolio_claims, max(customer_region) AS primary_region
-FROM l2 GROUP BY 1, 2, 3, 4""", "l2"))
+  CAST(sum(claim_amount_filled) AS BIGINT) AS total_portfolio_claims, max(customer_region) AS primary_region,
+  any_value(a) AS a
+FROM l2 JOIN analysis a USING (broker_id) GROUP BY 1, 2, 3, 4""".replace("any_value(a) AS a", ", ".join(
+        f"any_value(a.{c}) AS {c}" for c in ANALYSIS_FIELDS)), "l2", "analysis"))
 def _broker_correlation(spark, d):
-    return feeds.broker_correlation(portfolio(spark, d), stats(spark, d))
+    return flat(feeds.broker_correlation(portfolio(spark, d), stats(spark, d)))
 
 
 @query("geographic_risk", sql(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from portfolia.operators import semantic as s
 from portfolia.operators.feeds import count_rows
+from portfolia.operators.integrate import round_half_up
 from portfolia.plans.registry import query, sql
-from portfolia.plans.risk import portfolio, stats
+from portfolia.plans.risk import ANALYSIS_FIELDS, flat, portfolio, stats
 
 HIGH = "(customer_risk_score >= 50 OR fraud_reported_filled)"
 RATIO = """CAST(round(CAST(sum(claim_amount_filled / nullif(CAST(policy_annual_premium AS DOUBLE), 0))
@@ -39,6 +42,18 @@ def _model(spark, d):
         ["risky_policies"])
 
 
+@query("semantic_analysis_dimension", sql(
+    f"""SELECT {", ".join(ANALYSIS_FIELDS)}, count(*) AS row_count,
+  CAST(sum(broker_customer_count) AS DOUBLE) / count(*) AS avg_broker_customer_count,
+  CAST(round(CAST(sum(broker_avg_claim) / count(*) AS DECIMAL(38,6)), 2) AS DOUBLE) AS avg_broker_avg_claim
+FROM l2 JOIN analysis USING (broker_id) GROUP BY ALL""", "l2", "analysis"))
+def _analysis_dimension(spark, d):
+    rows = s.model_table(portfolio(spark, d), stats(spark, d))
+    out = s.RISK_MODEL.query(
+        rows, ["broker_success_evaluation"], ["count", "avg:broker_portfolio_size", "avg:mean_claim_per_broker"])
+    return flat(out.withColumn("avg_broker_avg_claim", round_half_up(F.col("avg_broker_avg_claim"), 2)))
+
+
 @query("m_claim_to_premium", sql(f"SELECT {RATIO} AS claim_to_premium_ratio, count(*) AS row_count FROM scored", "scored"))
 def _metric(spark, d):
     return s.RISK_MODEL.query(portfolio(spark, d), metrics=["claim_to_premium_ratio", "count"])

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from portfolia.operators import semantic as s
-from portfolia.plans.risk import portfolio
+from portfolia.plans.risk import portfolio, stats
 
 
 def test_synonyms():
@@ -28,3 +28,8 @@ def test_query(spark, sf_dir):
     assert r.avg_claim_amount_filled == r.sum_claim_amount_filled / r.row_count
     with pytest.raises(ValueError):
         s.RISK_MODEL.query(rows, [], ["max:age"])
+
+
+def test_all_names_resolve_on_the_model_table(spark, sf_dir):
+    rows = s.model_table(portfolio(spark, sf_dir), stats(spark, sf_dir))
+    assert {*s.RISK_MODEL.dimensions, *s.RISK_MODEL.facts} <= set(rows.columns)
