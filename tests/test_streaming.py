@@ -91,3 +91,26 @@ def test_scheduled_metrics_and_totals(spark, sf_dir, tmp_path):
     batch = claims.where("policy_number IS NOT NULL").groupBy("policy_number").agg(
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("claim_amount"), F.lit(0)).alias("total"))
     assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_refresh_chain_equals_batch_for_any_order_of_arrival(spark, sf_dir, tmp_path):
+    landing, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    os.mkdir(landing)
+    claims, brokers = b.claims(spark, sf_dir), b.brokers(spark, sf_dir)
+    everyone = b.policies(spark, sf_dir).where("policy_number is not null")
+    late = F.pmod(F.xxhash64("policy_number"), F.lit(3)) == 0
+    half = F.pmod(F.xxhash64("incident_date", "claim_amount"), F.lit(2))
+    moved = everyone.withColumn("broker_id", F.when(late, "BRK001").otherwise(F.col("broker_id")))
+    other = brokers.withColumn("office_location", F.lit("London"))
+    seen = None
+    for no, (policies, now) in enumerate([(everyone.where(~late), brokers), (everyone, brokers), (moved, other)]):
+        if no < 2:
+            rows = claims.where(half == no)
+            rows.write.parquet(f"{landing}/{no}")
+            seen = rows if seen is None else seen.unionByName(rows)
+        stream = spark.readStream.schema(claims.schema).parquet(f"{landing}/*")
+        jobs.refresh_chain(stream, policies, now, target, ckpt, n_buckets=3)
+        want = integrate.risk_dashboard(policies, now, seen)
+        got = spark.read.parquet(f"{target}/risk_dashboard").select(want.columns)
+        assert got.count() == want.count()
+        assert got.exceptAll(want).count() == 0
