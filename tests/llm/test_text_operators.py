@@ -89,7 +89,7 @@ def test_bpe_odd_rows(odd_docs, no_docs, word_bpe):
 
 
 @settings(max_examples=80, deadline=None)
-@given(text=st.text(alphabet=st.sampled_from(list("aB1é#漢'.\t ") + [" ", " ", "\n", "'s", " x"]), max_size=30))
+@given(text=st.lists(st.sampled_from([*"aB1é#漢'. ", "\t", " ", "\n", "'s", " x", " y"]), max_size=30).map("".join))
 def test_chunk_tokenizer_equals_library(byte_bpe, text):
     own, library = byte_bpe
     assert np.frombuffer(own.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
