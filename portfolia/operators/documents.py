@@ -113,7 +113,13 @@ CHUNK_SIZE, CHUNK_OVERLAP, SEPARATORS = 4000, 400, ("\n\n", " ")
 
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """Cut a text into chunks of at most ``size`` characters.
+    """The chunks of :func:`split_spans` without their places."""
+    return [chunk for _, chunk in split_spans(text, size, overlap, separators)]
+
+
+def split_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+                separators: Sequence[str] = SEPARATORS) -> list[tuple[int, str]]:
+    """Cut a text into chunks of at most ``size`` characters, each with the place where it starts.
 
     A chunk ends after the last occurrence of the first separator that occurs in its
     window, or at the window's end if none does. The next chunk starts inside the
@@ -128,7 +134,7 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                 if at > start + overlap:
                     stop = at + len(sep) if at + len(sep) <= start + size else at
                     break
-        chunks.append(text[start:stop])
+        chunks.append((start, text[start:stop]))
         if stop == len(text):
             break
         back = max(stop - overlap, start + 1)
@@ -146,7 +152,7 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
 
 def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
                overlap: int = CHUNK_OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
-    """Items 84 and 106: one row per chunk, with its position.
+    """Items 84 and 106: one row per chunk, with its number and the character where it starts.
 
     The input is plain text, not a serialised parse result, so blank lines are real
     line breaks and the first separator can match.
@@ -154,15 +160,16 @@ def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<start:int,chunk:string>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: split_text(t, size, overlap, separators) if t else [])
+            yield s.map(lambda t: [
+                {"start": at, "chunk": c} for at, c in split_spans(t, size, overlap, separators)] if t else [])
 
     kept = [c for c in docs.columns if c != text]
     return docs.withColumn("_chunks", split(F.col(text))).select(
-        *kept, F.posexplode("_chunks").alias("chunk_no", "chunk")
-    )
+        *kept, F.posexplode("_chunks").alias("chunk_no", "_chunk")
+    ).select(*kept, "chunk_no", F.col("_chunk.start").alias("start"), F.col("_chunk.chunk").alias("chunk"))
 
 
 def build_chunk_table(docs: DataFrame, fields: DataFrame, **chunking) -> DataFrame:

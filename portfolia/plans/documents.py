@@ -100,18 +100,28 @@ def _chunk_table(spark, d):
 
 
 @query("chunk_coverage", """
-SELECT doc_id, length(text) AS text_length, length(text) AS covered_to, true AS all_within_size
+SELECT doc_id, CAST(length(text) AS BIGINT) AS covered, true AS all_in_place, true AS all_within_size,
+  true AS no_gap, length(text) <= 4000 AS one_chunk
 FROM documents WHERE length(text) > 0""")
 def _coverage(spark, d):
-    """Each chunk is found at its place in the text, and the last one ends it."""
-    rows = b.documents(spark, d)
-    chunks = docs.chunk_text(rows.select("doc_id", "raw_text"))
-    per_doc = chunks.groupBy("doc_id").agg(
-        F.max(F.length("chunk")).alias("longest"), F.max_by("chunk", "chunk_no").alias("last"))
-    return per_doc.join(rows, "doc_id").select(
-        "doc_id", F.length("raw_text").cast("long").alias("text_length"),
-        F.when(F.endswith("raw_text", F.col("last")), F.length("raw_text").cast("long")).alias("covered_to"),
-        (F.col("longest") <= docs.CHUNK_SIZE).alias("all_within_size"))
+    """Every chunk is what stands at its place in the text, and the chunks cover the text without a gap."""
+    rows = b.documents(spark, d).select("doc_id", "raw_text")
+    chunks = docs.chunk_text(rows.withColumn("whole", F.col("raw_text")))
+    size = F.length("chunk")
+    checked = chunks.select(
+        "doc_id", "chunk_no", "start", size.alias("size"),
+        (F.substring("whole", F.col("start") + 1, size) == F.col("chunk")).alias("in_place"),
+        F.length("whole").alias("length"))
+    per_doc = checked.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("start", "size"))).alias("spans"),
+        F.min("in_place").alias("all_in_place"), (F.max("size") <= docs.CHUNK_SIZE).alias("all_within_size"),
+        F.max("length").alias("length"))
+    reach = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(True).alias("whole")), lambda acc, s: F.struct(
+        F.greatest(acc["end"], s["start"] + s["size"]).alias("end"),
+        (acc["whole"] & (s["start"] <= acc["end"])).alias("whole")))
+    return per_doc.select(
+        "doc_id", reach["end"].cast("long").alias("covered"), "all_in_place", "all_within_size",
+        reach["whole"].alias("no_gap"), (F.size("spans") == 1).alias("one_chunk"))
 
 
 @query("fn_flatten", """
