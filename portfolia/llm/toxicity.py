@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written in numpy.
 
 Input of a place: the embedding of its word (lower case, outer signs stripped; words outside the learnt
-vocabulary have none) plus the mean embedding of its character 3- and 4-grams, which are hashed. Two gated
+vocabulary have none) plus the mean embedding of its character 3- to 5-grams, which are hashed. Two gated
 recurrent passes run over a window of ``WINDOW`` words, attention pools their states, and one output unit
 gives the window's log-odds. Windows start every ``STRIDE`` words until the last word is covered, so all of a
 text is scored; the text's score is that of its highest window.
@@ -42,7 +42,7 @@ def spelling(word: str) -> str:
 
 
 def gram_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character 3- and 4-grams (bytes, with word bounds) of many words, and their n + 1 offsets."""
+    """Hashed character 3- to 5-grams (bytes, with word bounds) of many words, and their n + 1 offsets."""
     raw = np.frombuffer(b"".join(b"<" + w.encode() + b">" for w in words), np.uint8).astype(np.uint64)
     size = np.array([len(w.encode()) + 2 for w in words], np.int64)
     ends = np.cumsum(size)
@@ -241,11 +241,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     """Fit by Adam on the windows that answer for their documents, chosen anew in each epoch."""
     rng, words, label = np.random.default_rng(seed), Words(), np.array(labels, np.float32)
     rows = [window_rows(words.ids(t)) for t in texts]
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n_docs = len(rows)
+    owner = np.repeat(np.arange(n_docs), [len(r) for r in rows])
     ids = np.concatenate(rows)
     spelt, kinds = np.unique(words.number.spelt, return_inverse=True)
     ids = (kinds + 1).astype(np.int32)[ids] * (ids > 0)  # one number per spelling
     spelt = ["", *spelt.tolist()]
+    del words, rows[:]
     of_doc = [np.unique(r) for r in np.split(ids, np.flatnonzero(np.diff(owner)) + 1)]
     in_docs = np.bincount(np.concatenate(of_doc), minlength=len(spelt))
     often = [i for i in np.argsort(-in_docs, kind="stable")[: VOCABULARY + 1] if in_docs[i] >= LEAST_DOCS and spelt[i]]
@@ -253,35 +255,44 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
     net.p["word"][1:, 0] += _log_odds(of_doc, label, len(spelt))[often]
     row, grams, ends = net.features(spelt)
     per_word = np.diff(ends)
-    in_doc = [np.unique(np.concatenate([grams[ends[w] : ends[w + 1]] for w in own])) for own in of_doc]
+    in_doc = (np.unique(np.concatenate([grams[ends[w] : ends[w + 1]] for w in own])) for own in of_doc)
     net.p["gram"][:, 1] += 2 * _log_odds(in_doc, label, GRAM_BUCKETS)
     del in_doc, of_doc
+
+    def inputs_of(pick: np.ndarray) -> tuple:
+        """What a set of windows reads: its words, their grams, their numbers in the set, and mean gram vectors."""
+        used, local = np.unique(ids[pick], return_inverse=True)
+        at = np.concatenate([np.arange(ends[w], ends[w + 1]) for w in used])
+        sizes = per_word[used]
+        mean = np.add.reduceat(net.p["gram"][grams[at]], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        number = np.where(ids[pick] > 0, local.reshape(len(pick), WINDOW) + 1, 0)
+        return used, at, sizes, number, mean
+
+    def table_of(x: np.ndarray) -> np.ndarray:
+        return net.gates(np.concatenate([np.zeros((1, SIZE), np.float32), x]).astype(np.float32))
+
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    doc_start = np.searchsorted(owner, np.arange(len(rows)))
+    doc_start = np.searchsorted(owner, np.arange(n_docs))
     while step < STEPS:
-        gates = net.gates(net.inputs(row, grams, ends))
-        found = np.concatenate([net.forward(gates, ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)])
+        found = []
+        for i in range(0, len(ids), BLOCK):
+            used, _, _, number, mean = inputs_of(np.arange(i, min(i + BLOCK, len(ids))))
+            found.append(net.forward(table_of(net.p["word"][row[used]] + mean), number))
+        found = np.concatenate(found)
         order = np.lexsort((-found, owner))
         best = order[doc_start]
-        extra = rng.integers(0, len(ids), len(rows))
+        extra = rng.integers(0, len(ids), n_docs)
         chosen = np.concatenate([best, extra[label[owner[extra]] == 0]])
         chosen = chosen[rng.permutation(len(chosen))]
         for i in range(0, len(chosen), BATCH):
             pick = chosen[i : i + BATCH]
-            used, local = np.unique(ids[pick], return_inverse=True)
-            local = local.reshape(len(pick), WINDOW)
-            spans = [np.arange(ends[w], ends[w + 1]) for w in used]
-            g_at = np.concatenate(spans)
-            sizes = per_word[used]
-            mean = np.add.reduceat(net.p["gram"][grams[g_at]], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            used, g_at, sizes, number, mean = inputs_of(pick)
             by_word = (rng.random(len(used)) >= DROPPED).astype(np.float32)[:, None]
             x = net.p["word"][row[used]] * by_word + mean
             x[used == 0] = 0
             trace: dict = {}
-            number = np.where(ids[pick] > 0, local + 1, 0)
-            table = net.gates(np.concatenate([np.zeros((1, SIZE), np.float32), x]))
-            z = net.forward(table, number, trace)
+            z = net.forward(table_of(x), number, trace)
             y = label[owner[pick]]
             d = ((_sigmoid(z) - y) / len(pick)).astype(np.float32)
             grad, d_gates = net.backward(d, trace)
@@ -292,7 +303,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
             grad["bias_f"], grad["bias_b"] = d_word[:, :h3].sum(axis=0), d_word[:, h3:].sum(axis=0)
             d_x = d_word[:, :h3] @ net.p["in_f"].T + d_word[:, h3:] @ net.p["in_b"].T
             d_x[used == 0] = 0
-            sparse = {"word": (row[used], d_x * by_word), "gram": (grams[g_at], np.repeat(d_x / sizes[:, None], sizes, axis=0))}
+            d_gram = np.repeat(d_x / sizes[:, None], sizes, axis=0)
+            sparse = {"word": (row[used], d_x * by_word), "gram": (grams[g_at], d_gram)}
             step += 1
             net.update(grad, sparse, moments, step)
     return net
