@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, written in numpy.
 
 Input of a place: the embedding of its word (lower case, outer signs stripped; words outside the learnt
-vocabulary have none) plus the mean embedding of its character 3- to 5-grams, which are hashed. Two gated
-recurrent passes run over a window of ``WINDOW`` words, attention pools their states, and one output unit
+vocabulary have none) plus the mean embedding of its character 3- to 5-grams, which are hashed. A run of more
+than ``LONGEST`` characters without white space is no single place: its parts between signs, where it has any,
+and pieces of ``PIECE`` characters of all of it, one every ``STEP``, are places of their own. Two gated recurrent passes run over a window of ``WINDOW`` words, attention pools their states, and one output unit
 gives the window's log-odds. Windows start every ``STRIDE`` words until the last word is covered, so all of a
 text is scored; the text's score is that of its highest window.
 
@@ -17,6 +18,7 @@ label 1 (0.5 without labels). Other columns are unread.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +36,21 @@ GRAM_BUCKETS, VOCABULARY, LEAST_DOCS = 1 << 15, 8000, 4
 STEPS, BATCH, RATE, DROPPED = 160, 256, 0.01, 0.5
 KNOWN_WORDS = 200_000
 BLOCK = 4096
+LONGEST, PIECE, STEP = 64, 8, 2
 _SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+_BETWEEN = re.compile(r"[\W_]+")
 
 
 def spelling(word: str) -> str:
     return word.strip(_SIGNS) or word
 
 
+def places_of(run: str) -> list[str]:
+    """The places of a run longer than ``LONGEST``; every ``PIECE - STEP + 1`` neighbouring characters share one."""
+    parts = [p for p in _BETWEEN.split(run) if 0 < len(p) <= LONGEST]
+    return parts + [run[i : i + PIECE] for i in range(0, len(run) - PIECE + STEP, STEP)]
+
+
 def gram_lists(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character 3- to 5-grams (bytes, with word bounds) of many words, and their n + 1 offsets."""
     raw = np.frombuffer(b"".join(b"<" + w.encode() + b">" for w in words), np.uint8).astype(np.uint64)
@@ -73,19 +83,29 @@ class Words:
         self.number = _Numbers()
 
     def ids(self, text: str) -> list[int]:
-        return [*map(self.number.__getitem__, text.lower().split())]
+        words = text.lower().split()
+        ids = [*map(self.number.__getitem__, words)]
+        if _TOO_LONG in ids:
+            places = (places_of(w) if n == _TOO_LONG else [w] for w, n in zip(words, ids, strict=True))
+            ids = [self.number[p] for own in places for p in own]
+        return ids
+
+
+_TOO_LONG = -1
 
 
 class _Numbers(dict):
-    """Number 0 stands for no word. ``spelt`` lists the spelling of each number."""
+    """Number 0 stands for no word. ``spelt`` lists the spelling of each number; longer runs have none."""
 
     def __init__(self):
         super().__init__()
         self.spelt = [""]
 
     def __missing__(self, word: str) -> int:
+        if len(word) > LONGEST:
+            return _TOO_LONG
         self[word] = n = len(self.spelt)
-        self.spelt.append(spelling(word)[:64] if len(word) > 64 else spelling(word))
+        self.spelt.append(spelling(word))
         return n
 
 

@@ -261,6 +261,26 @@ def test_network_scores_odd_texts(odd_docs):
     assert np.allclose(both, [scorer.score([t])[0] for t in texts], atol=1e-5)
 
 
+@pytest.mark.parametrize("sign", ["", "_", "/", "\u3002"])
+def test_toxic_word_late_in_a_run_without_spaces(toxic_corpus, monkeypatch, sign):
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rows = toxic_corpus[0].join(toxic_corpus[1], "doc_id").orderBy("doc_id").collect()
+    scorer = toxicity.Scorer(toxicity.train([r["text"] for r in rows], [r["toxic"] for r in rows]))
+    calm = ["aneron", "therli", "onanth", "lilian", "ererth", "thonan"] * 4
+    for at in (2, 14, 23):
+        harsh = [*calm[:at], "zorgla3", *calm[at + 1 :]]
+        low, high = scorer.score([sign.join(calm), sign.join(harsh)])
+        assert low < 0.5 < high, (sign, at, low, high)
+
+
+def test_every_character_of_a_long_run_is_in_a_place():
+    for n in (65, 71, 72, 73, 500):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        places = toxicity.places_of(run)
+        assert set("".join(places)) == set(run) and max(map(len, places)) <= toxicity.LONGEST
+        assert len(toxicity.Words().ids(f"a {run} b")) == len(places) + 2
+
+
 # --- pipeline ---
 
 
