@@ -128,13 +128,17 @@ CATEGORIES = [
     ("OCCUPATION", ("occupation",), r"^[A-Za-z -]+$"),
     ("POLICY_ID", ("policy_number",), r"^[0-9]{6,}$"),
 ]
+#: Patterns that many harmless values match too; these need a name hint.
+AMBIGUOUS = ("NAME", "AGE", "OCCUPATION")
 MIN_MATCH_RATE = 0.8
 
 
 def classify_columns(df: DataFrame, table: str, min_rate: float = MIN_MATCH_RATE) -> DataFrame:
-    """Item 103: sensitive columns, found by name hint and by the share of matching values.
+    """Item 103: sensitive columns, found by the share of matching values and by name hint.
 
-    The whole table is scanned, in one aggregation for all columns and categories.
+    Every string or numeric column is tested for every category, ``AMBIGUOUS`` ones only where the name hints at
+    them. A column is reported for the categories that its name hints at, whatever the rate, and for the others
+    that its values reach ``min_rate`` of. The whole table is scanned, in one aggregation for all of them.
     """
     simple = (T.StringType, T.NumericType)
     checks = []
@@ -142,21 +146,24 @@ def classify_columns(df: DataFrame, table: str, min_rate: float = MIN_MATCH_RATE
         if not isinstance(f.dataType, simple):
             continue
         for category, hints, pattern in CATEGORIES:
-            if any(f.name == h or f.name.endswith(f"_{h}") for h in hints):
-                checks.append((f.name, category, pattern))
+            hinted = any(f.name == h or f.name.endswith(f"_{h}") for h in hints)
+            if hinted or category not in AMBIGUOUS:
+                checks.append((f.name, category, pattern, hinted))
     if not checks:
         return df.sparkSession.createDataFrame(
             [], "column_name string, category string, n_values long, n_matching long, table_name string, "
                 "match_rate double, sensitive boolean")
     aggs = []
-    for i, (column, _, pattern) in enumerate(checks):
-        text = F.col(column).cast("string")
-        aggs += [F.count(column).alias(f"n{i}"), F.count_if(text.rlike(pattern)).alias(f"k{i}")]
+    for i, (column, _, pattern, _) in enumerate(checks):
+        value = F.col("`" + column.replace("`", "``") + "`")
+        text = value.cast("string")
+        aggs += [F.count(value).alias(f"n{i}"), F.count_if(text.rlike(pattern)).alias(f"k{i}")]
     rows = F.array(
         *[
             F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("category"),
-                     F.col(f"n{i}").alias("n_values"), F.col(f"k{i}").alias("n_matching"))
-            for i, (c, k, _) in enumerate(checks)
+                     F.col(f"n{i}").alias("n_values"), F.col(f"k{i}").alias("n_matching"),
+                     F.lit(hinted).alias("_hinted"))
+            for i, (c, k, _, hinted) in enumerate(checks)
         ]
     )
     rate = F.try_divide(F.col("n_matching").cast("double"), F.col("n_values"))
@@ -165,6 +172,7 @@ def classify_columns(df: DataFrame, table: str, min_rate: float = MIN_MATCH_RATE
         .withColumns({"table_name": F.lit(table),
                       "match_rate": F.round(rate.cast("decimal(18,6)"), 4).cast("double"),
                       "sensitive": F.coalesce(rate >= min_rate, F.lit(False))})
+        .where(F.col("_hinted") | F.col("sensitive")).drop("_hinted")
     )
 
 

@@ -61,3 +61,12 @@ def test_classification_and_tags(spark):
     tagged = g.tag_columns(df, {"email": "EMAIL"})
     assert tagged.schema["email"].metadata == {"category": "EMAIL"}
     assert tagged.select(F.col("email")).schema["email"].metadata == {"category": "EMAIL"}
+
+
+def test_classification_by_values(spark):
+    rows = [("a@b.com", "123456", 1234567, "Male", "Quiet Words", 30), ("c@d.org", "7654321", 7654321, "f", "More", 41),
+            (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "contact string, ref string, code long, kind string, `a.note` string, n int")
+    found = {(r.column_name, r.category): r for r in g.classify_columns(df, "T").collect()}
+    assert set(found) == {("contact", "EMAIL"), ("ref", "POLICY_ID"), ("code", "POLICY_ID"), ("kind", "GENDER")}
+    assert all(r.sensitive and r.match_rate == 1.0 and r.n_values == 2 for r in found.values())
