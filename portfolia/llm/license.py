@@ -10,8 +10,10 @@ a notice of the wanted coverage must hold one of them, so no notice is passed ov
 lengths to both sides, whatever the length of the text, and do not reach back into a notice already found.
 
 Rows: every row of the input gives one row per notice found, or one with a null license and coverage 0. Null text
-counts as empty; repeated rows are scanned alike; overlapping notices are settled for the higher coverage, then
-for more words, then for the earlier name. Other columns are unread.
+counts as empty; repeated rows are scanned alike; overlapping notices are settled for the one with most aligned
+less missing words, so that an altered BSD-3 text is not taken for the BSD-2 text within it, then for the higher
+coverage, then for the earlier name. "All rights reserved." beside a longer notice is part of its copyright line
+and gives no row. Other columns are unread.
 """
 
 from __future__ import annotations
@@ -41,6 +43,73 @@ TEMPLATES = {
     "proprietary": "All rights reserved.",
 }
 
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution. ")
+_BSD_3 = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+          "promote products derived from this software without specific prior written permission. ")
+_BSD_WARRANTY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+
+
+def _gnu(kind: str, version: str, only: bool) -> str:
+    """The file header of a GNU license; ``only`` without later versions."""
+    which = (f"version {version} of the License." if only else
+             f"either version {version} of the License, or (at your option) any later version.")
+    return ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+            f"{kind} Public License as published by the Free Software Foundation, {which} This program is distributed "
+            "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+            "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            f"{kind} Public License for more details.")
+
+
+# Whole texts and file headers of common licenses.
+TEMPLATES |= {
+    "MIT-full": TEMPLATES["MIT-text"].replace("files, to", "files (the \"Software\"), to").replace(
+        "so.", "so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. ") +
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+        "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+        "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+        "OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": _BSD + _BSD_WARRANTY,
+    "BSD-3-Clause": _BSD + _BSD_3 + _BSD_WARRANTY,
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+           "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+           "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+           "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+           "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF "
+           "USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
+           "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Apache-2.0-header":
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+               "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights "
+               "to this work.",
+    "GPL-2.0-only": _gnu("General", "2", True), "GPL-2.0-or-later": _gnu("General", "2", False),
+    "GPL-3.0-only": _gnu("General", "3", True), "GPL-3.0-or-later": _gnu("General", "3", False),
+    "LGPL-2.1-or-later": _gnu("Lesser General", "2.1", False), "LGPL-3.0-or-later": _gnu("Lesser General", "3", False),
+    "AGPL-3.0-or-later": _gnu("Affero General", "3", False),
+}
+#: A notice of so many words or more settles the license of "All rights reserved." up to NEAR words before or behind.
+LONG, NEAR = 20, 16
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -115,6 +184,11 @@ def _prepared(template: str, coverage: float) -> tuple[list[str], frozenset[str]
     return words, frozenset(words[i] for i in order[: spare + 1]), needed
 
 
+def _enough(bag: Counter, have: Counter, needed: int) -> bool:
+    """Whether so many words of a template can be aligned at all, whatever their order."""
+    return sum(min(n, have[w]) for w, n in bag.items()) >= needed
+
+
 def scan(text: str, templates: dict[str, str], coverage: float = COVERAGE) -> list[tuple]:
     """Notices of a text: (license, start, end, matched words, coverage); places are characters."""
     low, hits = text.lower(), []
@@ -126,22 +200,29 @@ def scan(text: str, templates: dict[str, str], coverage: float = COVERAGE) -> li
     length = [len(w) for w in words]
     telling = set().union(*(p[1] for p in wanted.values()))
     places = [i for i, w in enumerate(words) if w in telling]
+    have = Counter(words)
     for name, (own, tells, needed) in wanted.items():
-        done = 0
+        done, bag = 0, Counter(own)
+        if not _enough(bag, have, needed):
+            continue
         for i in places:
             if i < done or words[i] not in tells:
                 continue
-            begin = max(done, i - 2 * len(own))
-            aligned = _tight(own, words, begin, min(len(words), i + 2 * len(own) + 1))
+            begin, end = max(done, i - 2 * len(own)), min(len(words), i + 2 * len(own) + 1)
+            if not _enough(bag, Counter(words[begin:end]), needed):
+                continue
+            aligned = _tight(own, words, begin, end)
             if len(aligned) >= needed:
                 first, last = aligned[0][1], aligned[-1][1]
-                hits.append((-len(aligned) / len(own), -len(aligned), name, first, last))
+                hits.append((len(own) - 2 * len(aligned), -len(aligned) / len(own), name, first, last, len(aligned)))
                 done = last + 1
+    grants = [(first, last) for _, _, name, first, last, matched in hits if name != "proprietary" and matched >= LONG]
+    hits = [h for h in hits if h[2] != "proprietary" or all(h[4] + NEAR < x or h[3] > y + NEAR for x, y in grants)]
     out, taken = [], []
-    for share, matched, name, first, last in sorted(hits):
+    for _, share, name, first, last, matched in sorted(hits):
         if all(last < x or first > y for x, y in taken):
             taken.append((first, last))
-            out.append((name, at[first], at[last] + length[last], -matched, -share))
+            out.append((name, at[first], at[last] + length[last], matched, -share))
     return sorted(out, key=lambda r: r[1])
 
 

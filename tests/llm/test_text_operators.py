@@ -187,6 +187,20 @@ def test_license_scan_odd_rows(spark, odd_docs, no_docs):
     assert next(r for r in rows if r["doc_id"] == 0)["coverage"] == 1
 
 
+def test_license_scan_knows_common_texts():
+    head = "Copyright (c) 2019, Jane Doe.\nAll rights reserved.\n\n"
+    for name, text in license.TEMPLATES.items():
+        if len(license.words_of(text)[0]) >= license.LONG:
+            found = license.scan("word " * 300 + head + text + " word" * 300, license.TEMPLATES)
+            assert [(h[0], h[4]) for h in found] == [(name, 1.0)]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-3.0-only"):
+        altered = license.TEMPLATES[name].replace("the copyright holder nor", "Acme Inc nor").replace(
+            "HOLDER OR", "OWNER OR").replace("This program is free", "Acme is free")
+        assert [h[0] for h in license.scan(head + altered, license.TEMPLATES)] == [name]
+    far = "All rights reserved." + " word" * 50 + license.TEMPLATES["ISC"]
+    assert [h[0] for h in license.scan(far, license.TEMPLATES)] == ["proprietary", "ISC"]
+
+
 # --- language model ---
 
 
