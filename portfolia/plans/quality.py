@@ -168,7 +168,7 @@ def _report(spark, d):
     "policies", "claims", rel=RELATION))
 def _integrity(spark, d):
     return quality.dq_integrity_report(
-        integrate.relationship_quality(b.policies(spark, d), b.claims(spark, d)))
+        integrate.relationship_quality(b.policies(spark, d), b.claims(spark, d), MEASURED_AT[0]))
 
 
 ISSUES = """
