@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +77,30 @@ def _text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, piece_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def slices(batch: pa.RecordBatch, at: int, piece_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch as runs of rows of about ``piece_bytes`` in text column ``at``; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, row = np.concatenate([[0], np.cumsum(size)]), 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + piece_bytes, "right")) - 1)
+        yield batch.slice(row, last - row)
+        row = last
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return memory that a task has freed to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def word_hashes(texts: pa.Array, piece_bytes: int = 256 << 10) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of every text, A-Z lowered, and the n + 1 offsets of the texts' words.
 
     Words are maximal runs of bytes other than space and 0x09-0x0D. Work goes in pieces of about
@@ -124,6 +150,9 @@ def rows_where(df: DataFrame, text_col: str, keep) -> DataFrame:
     def run(batches):
         accepts = keep()
         for batch in batches:
-            yield batch.filter(pa.array(accepts([t.as_py() or "" for t in batch.column(at)]), pa.bool_()))
+            for rows in slices(batch, at):
+                yield rows.filter(pa.array(accepts([t.as_py() or "" for t in rows.column(at)]), pa.bool_()))
+        del accepts
+        give_back()
 
     return df.mapInArrow(run, df.schema)

@@ -25,14 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from portfolia.llm.common import mix, stored, word_hashes
+from portfolia.llm.common import give_back, mix, slices, stored, word_hashes
 from portfolia.llm.components import components
 
 BINS, BANDS = 128, 32
-BLOCK, AGREE = 1500, 78
+BLOCK, AGREE, TINY = 1500, 78, 10
+SPREAD = 64
 PART_SHINGLES, BLOCK_SHINGLES = 400_000, 1_500_000
 _PROBES = 64
 _SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -43,8 +44,8 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     words, ends = word_hashes(texts)
     n_words = np.diff(ends)
     mixed = np.zeros(len(words), np.uint64)
-    for j in range(k):
-        mixed[: len(words) - j] += words[j:] * _SEEDS[j] if j else words * _SEEDS[0]
+    for j in range(min(k, len(words))):
+        mixed[: len(words) - j] += words[j:] * _SEEDS[j]
     sets, sizes = [], np.zeros(len(n_words), np.int64)
     mixed = mix(mixed)
     for i in np.flatnonzero(n_words):
@@ -97,7 +98,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
         rows = BINS // BANDS
         weights = _SEEDS[:rows]
         band_no = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in (rows for whole in batches for rows in slices(whole, 1)):
             sets, ends = shingle_sets(batch.column(1), k)
             n = batch.num_rows
             d1, d2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -114,6 +115,7 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 [batch.column(0), pa.array(np.diff(ends)), pa.array(d1), pa.array(d2),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
                 names=["id", "n", "d1", "d2", "bands", "bins"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(
         run, "id long, n long, d1 long, d2 long, bands array<long>, bins binary")
@@ -246,14 +248,29 @@ def across(rows: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str,
         search, "a long, b long").distinct()
 
 
+def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (id, rep) from equal sets to the smallest id that has them, and one row per different set.
+
+    Copies of one set are first dealt by their id to ``SPREAD`` parts, each with a smallest id of its own, and
+    those meet in a second step, so that no task gets all copies of a set.
+    """
+    key = ["d1", "d2", "n"]
+    part = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+    first = stored(sets.select("id", *key).withColumn(
+        "rep", F.min("id").over(Window.partitionBy(*key, part))), "equal")
+    best = stored(first.where("id = rep").select("id", *key).distinct().withColumn(
+        "rep", F.min("id").over(Window.partitionBy(*key))), "best")
+    reps = sets.join(best.where("id = rep").select("id", "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+    return (first.where("id != rep").select("id", "rep").unionByName(best.select("id", "rep")),
+            reps.dropDuplicates(["id", "d1", "d2"]))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per document: its id, n_shingles, component_id and kept (the smallest id of its component)."""
     all_sets = stored(sketch(docs, k, id_col, text_col), "sketch")
     sets = all_sets.where("n > 0 and id is not null")
-    same = sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    same = stored(sets.select("id", "d1", "d2", "n").join(same, ["d1", "d2", "n"]).select("id", "rep"), "same")
-    reps = sets.join(same.where("id = rep").select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "d1", "d2"])
+    same, reps = representatives(sets)
     keyed = reps.select("id", "n", F.explode("bands").alias("key"))
     centre = (keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("size"))
               .where("size > 1").select("key", F.col("c.id").alias("c"), F.col("c.n").alias("c_n")))

@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,25 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert len(links) > 100
 
 
+def test_batches_of_few_words(spark):
+    """All texts of a batch together hold fewer words than a shingle, or hardly more."""
+    for k in (4, 5):
+        for n in range(7):
+            for texts in ([" ".join("abcdef"[:n])], [" ".join("abcdef"[:n]), None, ""], ["", "x", " ".join("abcdef"[:n])]):
+                sets, ends = minhash.shingle_sets(pa.array(texts, pa.string()), k)
+                assert np.diff(ends).tolist() == [len(shingle_set(t, k)) for t in texts] and ends[-1] == len(sets)
+    check_near(spark.createDataFrame([(1, "a b"), (2, ""), (3, "a b")], "doc_id long, text string").coalesce(1), 5)
+
+
+def test_tiny_sets_are_not_filtered(spark, monkeypatch):
+    """Pairs of 4 and 5 shingles lie right at the threshold: each is found whatever its bins say."""
+    monkeypatch.setattr(minhash, "AGREE", minhash.BINS + 1)
+    rows = [(3 * i + j, f"a{i} b{i} c{i} d{i} e{i} f{i} g{i}" + (f" h{i}" if j == 1 else f" k{i}" if j == 2 else ""))
+            for i in range(200) for j in range(3)]
+    _, links = check_near(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert len(links) == 400
+
+
 def test_one_of_each(odd_docs):
     kept = minhash.one_of_each(odd_docs, k=4)
     assert kept.columns == odd_docs.columns
