@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from portfolia.session import scratch_dir
@@ -28,6 +28,24 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows of a stored table with column ``name``: their place, from 0, in the given order over all rows.
+
+    Rows are sorted by ranges and written once with their place in their task; a table of one row per task holds
+    what comes before it. Rows that are equal in the order are dealt by their place in the input, so that many of
+    them do not fall to one task; a task that runs again gives the same places.
+    """
+    tie, part = F.monotonically_increasing_id(), F.shiftright(F.col(name), 33)
+    clash = [c for c in df.columns if c == "_tie"]
+    rows = stored(df.drop(*clash).withColumn("_tie", tie).orderBy(*order, "_tie").withColumn(name, tie).drop("_tie"), name)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn(
+        name, here + F.col("_before")).drop("_part", "_before")
+
+
 def remainder(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % parts
