@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from portfolia.operators import integrate, quality
-from portfolia.operators.skew import salted_join
+from portfolia.operators import quality
 from portfolia.sources import files
+from portfolia.streaming.refresh import Changes, refresh_chain  # noqa: F401
 
 
 def ingest_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int | None = None) -> DataFrame:
@@ -55,115 +55,6 @@ def stream_ingest_to_raw(stream: DataFrame, schema: T.StructType, raw: str, chec
     run_available(stream, checkpoint, load)
 
 
-def bucket_of(n_buckets: int, *keys: str) -> Column:
-    """Bucket by the first key that is set: the broker, or the policy where it has none."""
-    return F.pmod(F.xxhash64(F.coalesce(*keys)), F.lit(n_buckets)).cast("int")
-
-
-def _mark(*tables: DataFrame) -> list:
-    """Row count and hash sum of each table; differs when any row does."""
-    return [str(v) for t in tables for v in t.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).first()]
-
-
-def refresh_chain(claim_stream: DataFrame, policies: DataFrame, brokers: DataFrame, target: str,
-                  checkpoint: str, n_buckets: int = 256) -> None:
-    """Item 123: keep the three levels current as claims arrive and as policies or brokers change.
-
-    A claim changes its policy's rows and, through the broker's count and average, all
-    rows of that broker. All tables are partitioned by a hash of the broker id. An
-    arriving claim is stored in the buckets of its policy (-1 for an orphan), so a batch
-    reads, recomputes and overwrites just the buckets it touches: level 1 from policies
-    and claims, level 2 from level 1, level 3 from level 2. The list of touched buckets
-    is at most ``n_buckets`` numbers. A batch that is run again after a failure writes
-    the same partitions again.
-
-    Each run first compares policies and brokers with those of the last run. Where a row
-    differs, a new generation begins: every stored claim is put in the buckets of its
-    policy as it is now, orphans included, and all buckets are computed anew. So the
-    tables equal the batch result whatever came first; the price is a full pass after a
-    change of policies or brokers.
-    """
-    spark = policies.sparkSession
-    bucketed = policies.withColumn("bucket", bucket_of(n_buckets, "broker_id", "policy_number"))
-    # A repeated policy number may have several homes; a claim is stored in each, and once as ``main``.
-    homes = bucketed.groupBy("policy_number").agg(F.sort_array(F.collect_set("bucket")).alias("homes"))
-    stored_claim = T.StructType([
-        *claim_stream.schema, T.StructField("main", T.BooleanType()), T.StructField("batch_id", T.IntegerType()),
-        T.StructField("bucket", T.IntegerType())])
-    generations = spark.createDataFrame([], "generation int, mark array<string>")
-    generations.write.mode("append").parquet(f"{target}/generations")
-
-    def claims_of(generation: int) -> DataFrame:
-        return spark.read.schema(stored_claim).parquet(f"{target}/claims/generation={generation}")
-
-    def home(claims: DataFrame) -> DataFrame:
-        found = salted_join(claims, homes, "policy_number", right_unique=True)
-        found = found.withColumn("homes", F.coalesce("homes", F.array(F.lit(-1))))
-        found = found.withColumn("bucket", F.explode("homes")).withColumn("main", F.col("bucket") == F.col("homes")[0])
-        return found.drop("homes").hint("rebalance", "bucket")
-
-    def store(table: DataFrame, name: str, buckets: list[int]) -> DataFrame:
-        if "bucket" not in table.columns:
-            table = table.withColumn("bucket", bucket_of(n_buckets, "broker_id"))
-        (
-            # Few files per small bucket, several tasks for a large one.
-            table.hint("rebalance", "bucket")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket").parquet(f"{target}/{name}")
-        )
-        return spark.read.parquet(f"{target}/{name}").where(F.col("bucket").isin(buckets))
-
-    def compute(claims: DataFrame, buckets: list[int]) -> None:
-        here = F.col("bucket").isin(buckets)
-        level1 = integrate.integrate_entities(
-            bucketed.where(here), brokers, claims.where(here), also_on=("bucket",)
-        )
-        level1 = store(level1, "integrated", buckets)
-        level2 = store(integrate.dashboard_from(level1), "risk_dashboard", buckets)
-        store(integrate.matrix_from_dashboard(level2), "broker_matrix", buckets)
-
-    def whole(name: str, table: DataFrame) -> DataFrame:
-        table.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/{name}")
-        return spark.read.schema(table.schema).parquet(f"{target}/{name}")
-
-    def compute_all(claims: DataFrame) -> None:
-        # Every partition is replaced, so that a bucket without rows any more leaves nothing behind.
-        by_broker = bucket_of(n_buckets, "broker_id")
-        level1 = integrate.integrate_entities(
-            bucketed, brokers, claims.where(F.col("bucket") >= 0).drop("batch_id"), also_on=("bucket",))
-        level1 = whole("integrated", level1.hint("rebalance", "bucket"))
-        level2 = integrate.dashboard_from(level1).withColumn("bucket", by_broker)
-        level2 = whole("risk_dashboard", level2.hint("rebalance", "bucket"))
-        matrix = integrate.matrix_from_dashboard(level2).withColumn("bucket", by_broker)
-        whole("broker_matrix", matrix.hint("rebalance", "bucket"))
-
-    mark = _mark(policies, brokers)
-    last = spark.read.schema(generations.schema).parquet(f"{target}/generations").orderBy(
-        F.desc("generation")).first()
-    generation = 0 if last is None else last.generation
-    if last is None or last.mark != mark:
-        generation = 0 if last is None else last.generation + 1
-        empty = spark.createDataFrame([], stored_claim)
-        known = empty if last is None else claims_of(last.generation)
-        home(known.where("main").drop("bucket", "main")).write.mode("overwrite").partitionBy("batch_id", "bucket").parquet(
-            f"{target}/claims/generation={generation}")
-        compute_all(claims_of(generation))
-        spark.createDataFrame([(generation, mark)], generations.schema).write.mode("append").parquet(
-            f"{target}/generations")
-
-    def refresh(batch: DataFrame, batch_id: int) -> None:
-        home(batch).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{target}/claims/generation={generation}/batch_id={batch_id}")
-        claims = claims_of(generation).where(F.col("batch_id") <= batch_id)
-        new = claims.where((F.col("batch_id") == batch_id) & (F.col("bucket") >= 0))
-        buckets = sorted(r.bucket for r in new.select("bucket").distinct().collect())
-        if buckets:
-            compute(claims.drop("batch_id"), buckets)
-
-    run_available(claim_stream, checkpoint, refresh)
-
-
 def scheduled_metrics(stream: DataFrame, table: str, metrics: Sequence[quality.Metric], target: str,
                       checkpoint: str, start: str, minutes: int = 5) -> None:
     """Item 124: measure the table after each arrival; batch n counts as schedule tick n."""

@@ -3,12 +3,13 @@ from __future__ import annotations
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from portfolia import bindings as b, schemas
 from portfolia.operators import integrate, quality
 from portfolia.plans.sources import RAW_CLAIMS
-from portfolia.streaming import jobs
+from portfolia.streaming import jobs, refresh
 
 def _drop(spark, sf_dir, folder, name, part):
     rows = b.claims(spark, sf_dir).where(F.pmod(F.xxhash64("incident_date", "claim_amount"), F.lit(2)) == part)
@@ -114,3 +115,60 @@ def test_refresh_chain_equals_batch_for_any_order_of_arrival(spark, sf_dir, tmp_
         got = spark.read.parquet(f"{target}/risk_dashboard").select(want.columns)
         assert got.count() == want.count()
         assert got.exceptAll(want).count() == 0
+
+
+def test_one_change_reads_only_its_buckets_and_survives_a_cut(spark, sf_dir, tmp_path, monkeypatch):
+    """Files of all other buckets are unreadable while one policy moves; the first attempt fails half way."""
+    landing, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    n = 5
+    claims, brokers, policies = b.claims(spark, sf_dir), b.brokers(spark, sf_dir), b.policies(spark, sf_dir)
+    claims.write.parquet(landing)
+    stream = spark.readStream.schema(claims.schema).parquet(landing)
+    refresh.refresh_chain(stream, policies, brokers, target, ckpt, n)
+
+    home = refresh.bucket_of(n, "broker_id", "policy_number")
+    sole = policies.groupBy("policy_number").agg(F.count("*").alias("k")).where("k = 1")
+    row = policies.join(sole, "policy_number").join(claims.select("policy_number").distinct(), "policy_number").where(
+        "broker_id IS NOT NULL").withColumn("x", home).orderBy("policy_number").first()
+    other = brokers.withColumn("y", refresh.bucket_of(n, "broker_id")).where(F.col("y") != row.x).orderBy("broker_id").first()
+    key = spark.createDataFrame([(row.policy_number,)], "policy_number string")
+    moved = policies.join(key, "policy_number").withColumn("broker_id", F.lit(other.broker_id)).select(policies.columns)
+    part = key.select(F.pmod(F.xxhash64("policy_number"), F.lit(n))).first()[0]
+    spoilt = 0
+    for path in glob.glob(f"{target}/**/*.parquet", recursive=True):
+        place = dict(x.split("=") for x in path.split("/") if "=" in x)
+        if place.get("bucket") not in (None, str(row.x), str(other.y)) or place.get("part") not in (None, str(part)):
+            with open(path, "wb") as f:
+                f.write(b"unreadable")
+            spoilt += 1
+    assert spoilt > 20
+
+    none = refresh.Changes(brokers.select("broker_id").limit(0), brokers.limit(0))
+    compute = refresh.Chain.compute
+    monkeypatch.setattr(refresh.Chain, "compute", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        refresh.refresh_chain(stream, refresh.Changes(key, moved), none, target, ckpt, n)
+    monkeypatch.setattr(refresh.Chain, "compute", compute)
+    nothing = refresh.Changes(key.limit(0), policies.limit(0))
+    refresh.refresh_chain(stream, nothing, none, target, ckpt, n)
+
+    now = policies.join(key, "policy_number", "left_anti").unionByName(moved)
+    touched = F.col("bucket").isin([row.x, other.y])
+    for name, want in (("risk_dashboard", integrate.risk_dashboard(now, brokers, claims)),
+                       ("broker_matrix", integrate.matrix_from(now, brokers, claims))):
+        got = spark.read.parquet(f"{target}/{name}").where(touched).select(want.columns)
+        want = want.withColumn("bucket", refresh.bucket_of(n, "broker_id")).where(touched).drop("bucket")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_buckets_that_lose_their_last_row_become_empty(spark, sf_dir, tmp_path):
+    target, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    claims, brokers, policies = b.claims(spark, sf_dir), b.brokers(spark, sf_dir), b.policies(spark, sf_dir)
+    claims.limit(0).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(claims.schema).parquet(str(tmp_path / "in"))
+    few = policies.where("broker_id IS NOT NULL").orderBy("policy_number").limit(6)
+    refresh.refresh_chain(stream, few, brokers, target, ckpt, 3)
+    gone = refresh.Changes(few.select("policy_number"), few.limit(0))
+    refresh.refresh_chain(stream, gone, brokers, target, ckpt, 3)
+    for name in ("policies", "integrated", "risk_dashboard", "broker_matrix"):
+        assert spark.read.parquet(f"{target}/{name}").count() == 0, name
