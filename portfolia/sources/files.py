@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from urllib.parse import unquote
+from typing import IO
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from portfolia.session import scratch_dir
+
 DATE_FORMAT = "yyyy-MM-dd"
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
 
@@ -24,64 +29,124 @@ CSV_OPTIONS = {
 }
 
 
-def header_groups(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
-    """Files grouped by their header line; the driver gets one path per file, as it does when files are listed."""
+#: Bound on files x (columns + 50) of a table of files that is sent to all executors: about 40 MB.
+FILE_CELLS = 10_000_000
+#: Characters that a line without content may have, as the CSV reader sees it.
+BLANK = "".join(map(chr, range(33)))
+
+
+def first_line(stream: IO[bytes], step: int = 1 << 16) -> str | None:
+    """The first line with content of a stream, of which no more is read than steps up to that line's end."""
+    held, more = b"", True
+    while more:
+        more = stream.read(step)
+        held += more
+        lines = re.split(rb"\r\n|\r|\n", held)
+        for line in lines if not more else lines[:-1]:
+            if text := line.decode("utf-8", "replace").strip(BLANK):
+                return text
+        held = lines[-1]
+    return None
+
+
+def _open(path: str) -> IO[bytes]:
+    if path.startswith("file:"):
+        return open("/" + path[5:].lstrip("/"), "rb")
+    system, own = pafs.FileSystem.from_uri(path)
+    return system.open_input_stream(own)
+
+
+def header_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """file, header: the first line with content of every file, written to the scratch folder and read back.
+
+    Tasks open the listed files themselves and read their first bytes. Only where that fails, as for a file system that
+    Spark alone knows, are all lines scanned for the first ones.
+    """
     paths = [path] if isinstance(path, str) else list(path)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for where in batch.column(1).to_pylist():
+                try:
+                    with _open(where) as stream:
+                        found.append((first_line(stream), True))
+                except (OSError, pa.ArrowException):
+                    found.append((None, False))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h for h, _ in found], pa.string()), pa.array([o for _, o in found], pa.bool_())],
+                names=["file", "header", "opened"])
+
+    target = scratch_dir(spark, "headers")
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"), "path")
+    listed.mapInArrow(heads, "file string, header string, opened boolean").write.parquet(f"{target}/heads")
+    found = spark.read.schema("file string, header string, opened boolean").parquet(f"{target}/heads")
+    if found.where("NOT opened").isEmpty():
+        return found.where("header IS NOT NULL").select("file", "header")
     lines = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("no"))
-    firsts = (
-        lines.where((F.col("start") == 0) & (F.trim("value") != ""))
-        .groupBy("file").agg(F.min_by("value", "no").alias("header"))
-    )
-    groups = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [r.files for r in groups.orderBy("header").collect()]
+    scanned = lines.where((F.col("start") == 0) & (F.btrim("value", F.lit(BLANK)) != "")).groupBy("file").agg(
+        F.min_by("value", "no").alias("header"))
+    scanned.write.parquet(f"{target}/scanned")
+    return spark.read.schema(scanned.schema).parquet(f"{target}/scanned")
 
 
 def read_csv_entity(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
     """Item 1. With a schema, columns are matched to it by name; without, all are text.
 
-    Every file is read by its own header line: files whose headers differ in order, case or number of columns
-    are read apart, and their columns meet by name in any case.
+    Every file is read by its own header line: columns meet by name in any case, whatever their order and number.
+    One scan reads all files by place; where headers differ a table of one row per file says which place each column
+    has there, so the plan is the same for any number of headers. Columns without a name are left out.
     """
-    def read(files: Sequence[str]) -> DataFrame:
-        raw = spark.read.options(**CSV_OPTIONS).csv([file_path(f) for f in files])
-        return raw if schema is None else conform(raw, schema, strict=False)
-
-    return by_header(spark, path, read)
-
-
-def file_path(url: str) -> str:
-    """A path as readers take it, from the escaped form that file metadata has."""
-    return unquote(url)
-
-
-def by_header(spark: SparkSession, path: str | Sequence[str], read: Callable[[Sequence[str]], DataFrame]) -> DataFrame:
-    """The union by name of what ``read`` makes of each group of files with one header."""
-    groups = header_groups(spark, path)
-    if len(groups) <= 1:
-        return read(groups[0] if groups else ([path] if isinstance(path, str) else list(path)))
-    parts, names = [], {}
-    for files in groups:
-        part = read(files)
-        parts.append(part.toDF(*[names.setdefault(c.lower(), c) for c in part.columns]))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    paths = [path] if isinstance(path, str) else list(path)
+    heads = header_lines(spark, paths)
+    kinds = heads.groupBy("header").agg(F.count(F.lit(1)).alias("n"))
+    commas = F.length("header") - F.length(F.replace("header", F.lit(","), F.lit("")))
+    size = kinds.agg(F.max(commas + 1).alias("width"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("files")).first()
+    if not size.kinds:
+        return spark.createDataFrame([], schema or T.StructType())
+    places = [f"_c{i}" for i in range(size.width)]
+    by_place = ", ".join(f"{c} string" for c in places)
+    cells = F.from_csv("header", by_place, {k: v for k, v in CSV_OPTIONS.items() if k not in ("header", "encoding")})
+    names = kinds.select("header", F.posexplode(F.array(*[cells[c] for c in places])).alias("at", "name")).where(
+        "name IS NOT NULL").withColumn("key", F.lower("name"))
+    twice = names.groupBy("header", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"column {twice.key} occurs twice when case is ignored in {twice.header}")
+    if schema is not None:
+        wanted = [f.name for f in schema]
+    else:  # one row per column name of all files
+        wanted = [r.name for r in names.groupBy("key").agg(
+            F.min(F.struct("header", "at", "name")).alias("first")).select("first.*").orderBy("header", "at").collect()]
+    at = names.groupBy("header").agg(F.map_from_entries(F.collect_list(F.struct("key", "at"))).alias("at")).select(
+        "header", F.array(*[F.try_element_at("at", F.lit(n.lower())) for n in wanted]).alias("at"))
+    raw = spark.read.options(**CSV_OPTIONS).schema(by_place).csv(paths)
+    if size.kinds == 1:
+        own = (at.first() or {"at": [None] * len(wanted)})["at"]
+        rows = raw.select(*[(F.lit(None).cast("string") if i is None else F.col(places[i])).alias(n)
+                            for n, i in zip(wanted, own, strict=True)])
+    else:
+        target = scratch_dir(spark, "places")
+        heads.join(at, "header", "left").select("file", "at").write.parquet(target)
+        found = spark.read.schema("file string, at array<int>").parquet(target)
+        # Rows stay where they are while the table of files is small; beyond that Spark picks the join by size.
+        found = F.broadcast(found) if size.files * (size.width + 50) < FILE_CELLS else found
+        rows = raw.select(F.col("_metadata.file_path").alias("file"), F.array(*places).alias("cells")).join(
+            found, "file").select(*[F.get("cells", F.get("at", F.lit(j))).alias(n) for j, n in enumerate(wanted)])
+    return rows if schema is None else conform(rows, schema, strict=False)
 
 
 def read_json_entity(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Item 2: a file with an outer array gives one row per element.
 
     Such a file cannot be split, so one task reads it; large inputs belong in many
-    files or in line-delimited JSON (:func:`read_json_lines`).
+    files.
     """
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return (spark.read.schema(schema) if schema else spark.read).json(path)
-
-
 def infer_entity_schema(spark: SparkSession, path: str, file_format: str = "csv",
                         ignore_case: bool = True) -> T.StructType:
     """Item 3: column names and types of staged files."""

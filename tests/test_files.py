@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import io
 import json
 
 import pytest
@@ -9,6 +10,8 @@ from portfolia.operators import alerts
 from portfolia.sources import files
 from portfolia.sources.versions import NoSuchVersion, SnapshotTable
 
+from tests.conftest import plan_of
+
 AB = T.StructType([T.StructField("A", T.IntegerType()), T.StructField("b", T.IntegerType())])
 
 
@@ -36,6 +39,43 @@ def test_files_with_other_headers(spark, tmp_path):
     assert files.copy_into_by_name(spark, str(tmp_path), AB).count() == 3
 
 
+def test_thousand_headers_in_one_plan(spark, tmp_path):
+    """Every file has a header of its own; the plan holds one scan of the data, as for one header."""
+    for i in range(1000):
+        (tmp_path / f"{i}.csv").write_text("\n".join(["", " ", f'b,"x {i}", A', f"{i},z,{2 * i}", "b,x,A", ""]))
+    df = files.read_csv_entity(spark, str(tmp_path), AB)
+    assert plan_of(df).count("Scan csv") == 1 and "Union" not in plan_of(df)
+    rows = df.where("A IS NOT NULL").collect()
+    assert sorted((r.A, r.b) for r in rows) == [(2 * i, i) for i in range(1000)]
+    assert df.count() == 2000  # a line that repeats the header is data
+
+
+def test_headers_are_read_from_the_first_bytes(spark, tmp_path, monkeypatch):
+    stream = io.BytesIO(b"\r\n \na,\xc3\xa9\r" + b"1,2\n" * 3_000_000)
+    assert files.first_line(stream) == "a,é" and stream.tell() == 1 << 16
+    assert files.first_line(io.BytesIO(b"\n\n")) is None and files.first_line(io.BytesIO(b"x" * 99), 10) == "x" * 99
+    (tmp_path / "1 x.csv").write_text("\n a,b\n1,2\n")
+    (tmp_path / "2.csv").write_text("")
+    got = [r.header for r in files.header_lines(spark, str(tmp_path)).collect()]
+
+    def refuse(path):
+        raise OSError(path)
+
+    monkeypatch.setattr(files, "_open", refuse)  # Spark alone can read the files
+    other = [r.header.strip() for r in files.header_lines(spark, str(tmp_path)).collect()]
+    assert got == other == ["a,b"]
+
+
+def test_names_without_a_schema(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("B,a\n1,2\n")
+    (tmp_path / "2.csv").write_text("A,c\n3,4\n")
+    df = files.read_csv_entity(spark, str(tmp_path))
+    assert df.columns == ["A", "c", "B"] and sorted(map(tuple, df.collect()), key=str) == [("2", None, "1"), ("3", "4", None)]
+    (tmp_path / "3.csv").write_text("a,A\n1,2\n")
+    with pytest.raises(ValueError, match="occurs twice"):
+        files.read_csv_entity(spark, str(tmp_path), AB)
+
+
 def test_keys_keep_their_identity(spark):
     rows = [(v,) for v in ("007", "7", "1e3", "900085.0", " 900086.00 ", "900085.6", "", None)]
     got = spark.createDataFrame(rows, "k string").select(files.normalise_key("k").alias("k"))
