@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portfolia import bindings as b, schemas
 from portfolia.operators import quality
-from portfolia.plans.registry import CTE, query, sql
+from portfolia.plans.registry import query, sql
 from portfolia.plans.risk import L2_ROWS, flat
 from portfolia.plans.sources import claim_files
 from portfolia.session import scratch_dir
@@ -57,17 +57,29 @@ def _refresh_dashboard(spark, d):
     return flat(spark.read.parquet(f"{target}/risk_dashboard").drop("bucket"))
 
 
-@query("scheduled_metrics", f"""WITH policies AS ({CTE['policies']}), claims AS ({CTE['claims']}),
-measured AS ({CTE['measured']})
-SELECT metric_name, metric_value FROM measured WHERE table_name = 'CLAIMS_RAW'""")
+# Claims arrive on the day of their incident, and the table is measured every 90 days.
+FIRST_DAY, EVERY = "1992-01-01", 90 * 24 * 60
+
+
+@query("scheduled_metrics", sql(
+    """SELECT 'CLAIMS_RAW' AS table_name, metric_name, metric_value, day AS measurement_time, day AS change_commit_time
+FROM (
+  SELECT tick, 'NULL_COUNT' AS metric_name, count(*) FILTER (t <= tick AND policy_number IS NULL) AS metric_value
+    FROM ticks CROSS JOIN timed GROUP BY 1
+  UNION ALL SELECT tick, 'ROW_COUNT', count(*) FILTER (t <= tick) FROM ticks CROSS JOIN timed GROUP BY 1
+  UNION ALL SELECT tick, 'DUPLICATE_COUNT', count(*) FILTER (n > 1) FROM (
+    SELECT tick, policy_number, count(*) FILTER (t <= tick) AS n FROM ticks CROSS JOIN timed
+    WHERE policy_number IS NOT NULL GROUP BY 1, 2) per_value GROUP BY 1) x
+CROSS JOIN LATERAL (SELECT TIMESTAMP '1992-01-01' + to_days(CAST(90 * tick AS INTEGER)) AS day) d""", "claims",
+    timed="""SELECT policy_number, greatest(ceil(date_diff('day', DATE '1992-01-01', incident_date) / 90.0), 0) AS t
+FROM claims""",
+    ticks="SELECT unnest(range((SELECT CAST(max(t) AS BIGINT) + 1 FROM timed))) AS tick"))
 def _scheduled(spark, d):
     target = scratch_dir(spark, "metrics")
     metrics = quality.DEFAULT_METRICS.assignments["CLAIMS_RAW"]
-    jobs.scheduled_metrics(arriving_claims(spark, d), "CLAIMS_RAW", metrics, target,
-                           scratch_dir(spark, "ckpt"), "2024-03-01 12:00:00")
-    history = spark.read.parquet(f"{target}/dq_results")
-    last = history.agg(F.max("measurement_time")).scalar()
-    return history.where(F.col("measurement_time") == last).select("metric_name", "metric_value")
+    jobs.scheduled_metrics(arriving_claims(spark, d), metrics, target, scratch_dir(spark, "ckpt"),
+                           FIRST_DAY, EVERY, F.col("incident_date"))
+    return jobs.metric_history(spark, "CLAIMS_RAW", metrics, target, FIRST_DAY, EVERY)
 
 
 @query("change_totals", sql(

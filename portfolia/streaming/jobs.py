@@ -7,9 +7,12 @@ so a batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from portfolia.operators import quality
 from portfolia.sources import files
@@ -55,33 +58,122 @@ def stream_ingest_to_raw(stream: DataFrame, schema: T.StructType, raw: str, chec
     run_available(stream, checkpoint, load)
 
 
-def scheduled_metrics(stream: DataFrame, table: str, metrics: Sequence[quality.Metric], target: str,
-                      checkpoint: str, start: str, minutes: int = 5) -> None:
-    """Item 124: measure the table after each arrival; batch n counts as schedule tick n."""
-    spark = stream.sparkSession
+def tick_of(arrived: Column, start: str, minutes: int) -> Column:
+    """Number of the first scheduled measurement that sees a row; rows without a time belong to the first one."""
+    late = F.unix_micros(arrived.cast("timestamp")) - F.unix_micros(F.lit(start).cast("timestamp"))
+    return F.greatest(F.coalesce(F.ceil(late / F.lit(minutes * 60_000_000)), F.lit(0)), F.lit(0)).cast("long")
 
-    def measure(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch, f"{target}/rows", batch_id)
-        rows = spark.read.parquet(f"{target}/rows").where(F.col("batch_id") <= batch_id)
-        out = quality.run_metrics(rows, table, metrics, start)
-        tick = F.col("measurement_time") + F.make_interval(mins=F.lit(minutes * batch_id))
-        out = out.withColumns({"measurement_time": tick, "change_commit_time": tick})
-        write_batch(out, f"{target}/dq_results", batch_id)
 
-    run_available(stream, checkpoint, measure)
+CHANGE = "metric_name string, tick long, change long"
 
 
-def change_totals(stream: DataFrame, key: str, amount: str, target: str, checkpoint: str) -> None:
-    """Item 125: running row counts and sums per key; state is two numbers per key."""
+def _two_earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of every value the two earliest ticks: all that one task has to tell about a value, however often it occurs."""
+    for rows in batches:
+        rows = rows.sort_values("tick", kind="stable")
+        yield rows[rows.groupby(["metric_name", "value"], sort=False).cumcount() < 2]
+
+
+def _second_arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A value counts as repeated from the tick of its second row on; what changes is told as +1 and -1 at ticks."""
+    before = [t for t in state.get if t >= 0] if state.exists else []
+    now = sorted(before + [int(t) for rows in batches for t in rows["tick"]])[:2]
+    state.update((now[0], now[1] if len(now) > 1 else -1))
+    if len(now) > 1 and now[1:] != before[1:]:
+        changes = [(key[0], t, -1) for t in before[1:]] + [(key[0], now[1], 1)]
+        yield pd.DataFrame(changes, columns=["metric_name", "tick", "change"])
+
+
+def scheduled_metrics(stream: DataFrame, metrics: Sequence[quality.Metric], target: str, checkpoint: str, start: str,
+                      minutes: int = 5, arrived: Column | None = None) -> None:
+    """Item 124: keep what every scheduled measurement of the table says, from arriving rows alone.
+
+    Measurements take place at ``start`` and every ``minutes`` after it; a row is seen by all from its arrival on
+    (``arrived``, or the time at which it is processed). Nothing is measured anew: counts are sums of changes per tick,
+    and repeated values are known by a state of two numbers per value, their two earliest ticks. A late row corrects
+    the measurements since its arrival. :func:`metric_history` adds the changes up.
+    """
+    tick = tick_of(F.current_timestamp() if arrived is None else arrived, start, minutes)
+    counted = [m for m in metrics if not m.per_value]
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        hits = [F.struct(F.lit(m.name).alias("metric_name"), quality._hits(m).alias("change")) for m in counted]
+        sums = batch.groupBy(tick.alias("tick")).agg(F.array(*hits).alias("hits"))
+        write_batch(sums.select("tick", F.inline("hits")).where("change != 0"), f"{target}/counted", batch_id)
+
+    if counted:
+        run_available(stream, f"{checkpoint}/counted", count)
+    values = [F.struct(F.lit(m.name).alias("metric_name"), F.col(m.columns[0]).cast("string").alias("value"))
+              for m in metrics if m.per_value]
+    if values:
+        rows = stream.select(tick.alias("tick"), F.inline(F.array(*values))).where("value IS NOT NULL")
+        changes = rows.mapInPandas(_two_earliest, rows.schema).groupBy("metric_name", "value").applyInPandasWithState(
+            _second_arrivals, CHANGE, "first long, second long", "append", GroupStateTimeout.NoTimeout)
+        run_available(changes, f"{checkpoint}/values", lambda batch, i: write_batch(
+            batch.groupBy("metric_name", "tick").agg(F.sum("change").alias("change")).where("change != 0"),
+            f"{target}/repeated", i))
+
+
+def metric_history(spark: SparkSession, table: str, metrics: Sequence[quality.Metric], target: str, start: str,
+                   minutes: int = 5, ticks: int | None = None) -> DataFrame:
+    """Item 124: one row per metric and scheduled measurement, up to the last that saw a new row (or ``ticks`` of them).
+
+    The work is one row per metric and tick that changed, whatever the size of the measured table.
+    """
+    per_value = {m.per_value for m in metrics}
+    parts = [spark.read.schema(f"{CHANGE}, batch_id int").parquet(f"{target}/{name}")
+             for name, kind in (("counted", False), ("repeated", True)) if kind in per_value]
+    changes = reduce(DataFrame.unionByName, parts).groupBy("metric_name", "tick").agg(F.sum("change").alias("change"))
+    last = F.lit(ticks - 1) if ticks else changes.agg(F.coalesce(F.max("tick"), F.lit(0))).scalar()
+    all_ticks = spark.range(1).select(F.explode(F.array(*[F.lit(m.name) for m in metrics])).alias("metric_name"),
+                                      F.sequence(F.lit(0).cast("long"), last.cast("long")).alias("ticks"))
+    so_far = Window.partitionBy("metric_name").orderBy("tick")  # one row per tick
+    at = F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + F.col("tick") * (minutes * 60_000_000))
+    return all_ticks.select("metric_name", F.explode("ticks").alias("tick")).join(
+        changes, ["metric_name", "tick"], "left").select(
+        F.lit(table).alias("table_name"), "metric_name",
+        F.sum(F.coalesce("change", F.lit(0))).over(so_far).alias("metric_value"),
+        at.alias("measurement_time"), at.alias("change_commit_time"))
+
+
+def change_totals(stream: DataFrame, key: str, amount: str, target: str, checkpoint: str, batches_per_merge: int = 8,
+                  ) -> None:
+    """Item 125: running row counts and sums per key; state is two numbers per key.
+
+    Each batch writes the new totals of the keys it changes. Every ``batches_per_merge`` batches these are merged with
+    the last merged table into a new one, so a reader meets one merged table and fewer than that many batches, and the
+    table does not grow with the number of updates.
+    """
     totals = stream.where(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(amount), F.lit(0)).alias("total")
     )
-    run_available(totals, checkpoint, lambda batch, i: write_batch(batch, target, i), mode="update")
-
 
-def latest_totals(spark: SparkSession, target: str, key: str) -> DataFrame:
-    """The current total of each key: its row in the last batch that changed it."""
-    updates = spark.read.parquet(target)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(batch, f"{target}/updates", batch_id)
+        if batch_id % batches_per_merge == batches_per_merge - 1:
+            spark = batch.sparkSession
+            merged = latest_totals(spark, target, key, batch_id)
+            merged.write.mode("overwrite").parquet(f"{target}/merged/upto={batch_id}")
+            # Only now is the new table the one to read; what it replaces is emptied, in the same order on a re-run.
+            spark.createDataFrame([(batch_id,)], "upto int").write.mode("append").parquet(f"{target}/merges")
+            empty = merged.limit(0).coalesce(1)
+            for old in range(max(batch_id - batches_per_merge + 1, 0), batch_id):
+                empty.write.mode("overwrite").parquet(f"{target}/updates/batch_id={old}")
+            if batch_id >= 2 * batches_per_merge:
+                empty.write.mode("overwrite").parquet(f"{target}/merged/upto={batch_id - batches_per_merge}")
+
+    run_available(totals, checkpoint, write, mode="update")
+
+
+def latest_totals(spark: SparkSession, target: str, key: str, upto: int | None = None) -> DataFrame:
+    """The current total of each key: its row in the last batch that changed it, or in the last merged table."""
+    spark.createDataFrame([], "upto int").write.mode("append").parquet(f"{target}/merges")
+    merges = spark.read.schema("upto int").parquet(f"{target}/merges")
+    last = (merges if upto is None else merges.where(F.col("upto") < upto)).agg(F.max("upto")).first()[0]
+    updates = spark.read.parquet(f"{target}/updates")
+    if last is not None:
+        merged = spark.read.schema(updates.drop("batch_id").schema).parquet(f"{target}/merged/upto={last}")
+        updates = updates.where(F.col("batch_id") > last).unionByName(merged.withColumn("batch_id", F.lit(last)))
     return updates.groupBy(key).agg(
         F.max_by("n_rows", "batch_id").alias("n_rows"), F.max_by("total", "batch_id").alias("total")
     )

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import datetime as dt
 import glob
 import os
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,24 +77,43 @@ def test_refresh_equals_batch_after_each_arrival(spark, sf_dir, tmp_path):
     assert len(changed) == 1
 
 
-def test_scheduled_metrics_and_totals(spark, sf_dir, tmp_path):
-    landing = str(tmp_path / "in")
-    metrics = quality.DEFAULT_METRICS.assignments["CLAIMS_RAW"]
-    for part in ("o_orderkey % 3 = 0", "o_orderkey % 3 <> 0"):
-        stream = _stream(spark, sf_dir, landing, part)
-        jobs.scheduled_metrics(stream, "CLAIMS_RAW", metrics, str(tmp_path / "m"), str(tmp_path / "c1"),
-                               "2024-01-01 00:00:00")
-        jobs.change_totals(stream, "policy_number", "claim_amount", str(tmp_path / "s"), str(tmp_path / "c2"))
-    history = spark.read.parquet(str(tmp_path / "m/dq_results"))
-    assert history.count() == 2 * len(metrics) and history.select("measurement_time").distinct().count() == 2
-    claims = b.claims(spark, sf_dir)
-    want = quality.run_metrics(claims, "CLAIMS_RAW", metrics, "2024-01-01 00:05:00")
-    last = history.where("batch_id = 1").drop("batch_id")
-    assert sorted(map(str, last.select(want.columns).collect())) == sorted(map(str, want.collect()))
-    totals = jobs.latest_totals(spark, str(tmp_path / "s"), "policy_number")
-    batch = claims.where("policy_number IS NOT NULL").groupBy("policy_number").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("claim_amount"), F.lit(0)).alias("total"))
-    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, batch.collect()))
+def test_metric_history_of_late_and_repeated_rows(spark, tmp_path):
+    """Every measurement equals a count over the rows that had arrived, whatever the batches; late rows correct it."""
+    metrics = [quality.null_count("k"), quality.duplicate_count("k"), quality.row_count()]
+    start, target, ckpt = "2024-01-01 00:00:00", str(tmp_path / "m"), str(tmp_path / "c")
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "hot", "hot", f"v{rng.randint(0, 30)}"]), rng.randint(-3, 40)) for _ in range(240)]
+    schema = "k string, minute int"
+    for i in range(3):
+        spark.createDataFrame(rows[80 * i : 80 * i + 80], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        arrived = F.lit(start).cast("timestamp") + F.make_interval(mins=F.col("minute"))
+        jobs.scheduled_metrics(stream, metrics, target, ckpt, start, 5, arrived)
+    got = {(r.metric_name, str(r.measurement_time)): r.metric_value
+           for r in jobs.metric_history(spark, "T", metrics, target, start, 5, ticks=9).collect()}
+    want = {}
+    for tick in range(9):
+        seen = [k for k, minute in rows if minute <= 5 * tick]
+        at = str(dt.datetime(2024, 1, 1) + dt.timedelta(minutes=5 * tick))
+        many = Counter(k for k in seen if k is not None)
+        want |= {("NULL_COUNT", at): seen.count(None), ("ROW_COUNT", at): len(seen),
+                 ("DUPLICATE_COUNT", at): sum(n > 1 for n in many.values())}
+    assert got == want
+
+
+def test_totals_are_merged_as_batches_come(spark, tmp_path):
+    landing, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None, f"k{i}"]), rng.choice([None, i])) for i in range(70)]
+    for i in range(7):
+        spark.createDataFrame(rows[10 * i : 10 * i + 10], "k string, v long").coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 1).parquet(landing)
+    jobs.change_totals(stream, "k", "v", target, ckpt, batches_per_merge=3)
+    got = {r.k: (r.n_rows, r.total) for r in jobs.latest_totals(spark, target, "k").collect()}
+    assert got == {k: (sum(x == k for x, _ in rows), sum(v or 0 for x, v in rows if x == k))
+                   for k in {k for k, _ in rows if k is not None}}
+    sizes = {r.batch_id for r in spark.read.parquet(f"{target}/updates").select("batch_id").distinct().collect()}
+    assert len(sizes) <= 3 and spark.read.parquet(f"{target}/merges").count() == 2
 
 
 def test_refresh_chain_equals_batch_for_any_order_of_arrival(spark, sf_dir, tmp_path):
