@@ -131,7 +131,7 @@ STREAM_EVENT_COLUMNS = [
     "ts",
     "event_id",
     "CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'done'"
-    " WHEN event_type = 'signup' THEN 'tool_results' ELSE 'text' END AS kind",
+    " WHEN event_type = 'signup' THEN 'tool_results' WHEN event_id % 11 = 4 THEN 'tool_use' ELSE 'text' END AS kind",
     "concat(event_type, ':', CAST(event_id AS STRING), ' ') AS body",
 ]
 

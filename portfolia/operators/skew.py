@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from portfolia.session import scratch_dir
+
 #: Rows of one key that a single task is asked to take in a join.
 ROWS_PER_SALT = 2_000_000
 #: Order units per block when one group is numbered in pieces.
@@ -239,6 +241,18 @@ def exact_quantiles(
     )
 
 
-def part_of(position: Column, size: int) -> Column:
-    """Number of the output part that holds the given position."""
-    return F.floor(position / size).cast("int")
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """The rows of ``df`` with their place, from 0, in the order over all rows; they are written to scratch once.
+
+    One sort by ranges; a row per task tells how many rows come before it. Rows that are equal in the order are dealt
+    by their place in the input, so many equal rows do not fall to one task, and a repeated task numbers them alike.
+    """
+    spark, own = df.sparkSession, F.monotonically_increasing_id()
+    path = scratch_dir(spark, "numbered")
+    df.withColumn("_tie", own).orderBy(*order, "_tie").withColumn(name, own).drop("_tie").write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_task", F.shiftright(name, 33))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = rows.groupBy("_task").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(tasks), "_task").withColumn(
+        name, F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_task", "_before")
