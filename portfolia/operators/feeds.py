@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from portfolia.functions import risk
 from portfolia.operators.integrate import mean, round_half_up
 from portfolia.operators.skew import exact_quantiles
+from portfolia.session import scratch_dir
 
 
 def weight() -> Column:
@@ -174,10 +175,9 @@ def component_means(matrix: DataFrame, components: Sequence[str]) -> DataFrame:
     )
 
 
-def box_stats(df: DataFrame, group: str, value: str, weight: str | None = None,
-              groups: Sequence[str] | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, weight: str | None = None) -> DataFrame:
     """Item 63: quartiles, range and 1.5 x IQR fences per group, exact."""
-    q = exact_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], weight, groups=groups)
+    q = exact_quantiles(df, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], weight)
 
     def at(p: float) -> Column:
         return F.max(F.when(F.col("prob") == p, F.col("quantile")))
@@ -196,15 +196,15 @@ def box_stats(df: DataFrame, group: str, value: str, weight: str | None = None,
 def histogram_bins(df: DataFrame, value: str, group: str, max_bins: int = 20,
                    weight: str = "weight") -> DataFrame:
     """Item 64: equal-width bins over the value's range; bins = min(max_bins, distinct values)."""
-    rows = df.where(F.col(value).isNotNull())
-    stats = rows.agg(
+    # Counts per value come first and are written once: the range and the bins are read from these few rows.
+    path = scratch_dir(df.sparkSession, "histogram")
+    df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.sum(weight).alias("n")).write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    stats = counts.agg(
         F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
         F.least(F.lit(max_bins), F.countDistinct(value)).cast("int").alias("bins"),
     )
-    spec = stats.select(F.struct("lo", "hi", "bins").alias("s")).scalar()
-    # Counts per value come first, so the bin arithmetic runs on few rows.
-    counts = rows.groupBy(group, value).agg(F.sum(weight).alias("n"))
-    counts = counts.withColumn("s", spec)
+    counts = counts.withColumn("s", stats.select(F.struct("lo", "hi", "bins").alias("s")).scalar())
     width = (F.col("s.hi") - F.col("s.lo")) / F.col("s.bins")
     raw = F.floor((F.col(value).cast("double") - F.col("s.lo")) / width)
     bin_no = F.when(width > 0, F.least(raw, F.col("s.bins") - 1)).otherwise(0).cast("int")
@@ -237,8 +237,7 @@ def numeric_summary(df: DataFrame) -> DataFrame:
     return df.agg(*aggs)
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """Item 66: kind and distinct count of each column, and the summary that suits the table."""
+def _column_kinds(df: DataFrame) -> dict[str, str]:
     kinds = {}
     for f in df.schema:
         if isinstance(f.dataType, T.NumericType):
@@ -247,6 +246,16 @@ def profile_columns(df: DataFrame) -> DataFrame:
             kinds[f.name] = "datetime"
         else:
             kinds[f.name] = "categorical"
+    return kinds
+
+
+def profile_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Item 66: kind, distinct values and NULLs of each column, and the summary that suits the table.
+
+    Counts are exact, from one pass in which every value is a row once per task; ``counts`` (column_name, n_distinct,
+    n_null), as :func:`profile_counts` makes them from sketches, take their place where a pass is too dear.
+    """
+    kinds = _column_kinds(df)
     n = {k: [c for c, kind in kinds.items() if kind == k] for k in ("numeric", "datetime", "categorical")}
     if n["numeric"] and n["datetime"]:
         advice = "line"
@@ -258,20 +267,44 @@ def profile_columns(df: DataFrame) -> DataFrame:
         advice = "histogram" if n["numeric"] else "bar"
     x = (n["datetime"] or n["categorical"] or df.columns)[0]
     y = n["numeric"][0] if n["numeric"] else None
-    names = list(kinds)
-    counted = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in names])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("kind"),
-                F.col(c).alias("approx_distinct"),
-                F.lit("x" if c == x else "y" if c == y else None).cast("string").alias("axis"),
-                F.lit(advice).alias("recommended"),
-            )
-            for i, c in enumerate(names)
-        ]
-    )
-    return counted.select(F.explode(rows).alias("r")).select("r.*")
+    if counts is None:
+        cells = df.select(F.inline(F.array(*[F.struct(
+            F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in kinds])))
+        counts = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("column_name").agg(
+            F.count("value").alias("n_distinct"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
+    facts = df.sparkSession.createDataFrame(
+        [(i, c, kind, "x" if c == x else "y" if c == y else None, advice) for i, (c, kind) in enumerate(kinds.items())],
+        "ordinal int, column_name string, kind string, axis string, recommended string")
+    zero = F.lit(0).cast("long")
+    return facts.join(counts, "column_name", "left").select(
+        "ordinal", "column_name", "kind", F.coalesce("n_distinct", zero).alias("n_distinct"),
+        F.coalesce("n_null", zero).alias("n_null"), "axis", "recommended")
+
+
+def profile_sketches(df: DataFrame, log_size: int = 14) -> DataFrame:
+    """Item 66 as stored state: rows, NULLs and a sketch of the distinct values of each column.
+
+    Sketches of batches are merged by :func:`merge_profiles`, so a profile follows new rows without reading old ones.
+    """
+    kinds = _column_kinds(df)
+    text = {c: F.col(f"`{c}`").cast("string") for c in kinds}
+    wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(t).alias(f"n{i}") for i, t in enumerate(text.values())],
+                  *[F.hll_sketch_agg(t, log_size).alias(f"s{i}") for i, t in enumerate(text.values())])
+    return wide.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"n{i}")).alias("n_null"),
+        F.col(f"s{i}").alias("sketch")) for i, c in enumerate(kinds)])))
+
+
+def merge_profiles(*parts: DataFrame) -> DataFrame:
+    """The sketches of all parts' rows together, one row per column."""
+    return union_all_branches(*parts).groupBy("column_name").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_null").alias("n_null"), F.hll_union_agg("sketch").alias("sketch"))
+
+
+def profile_counts(sketches: DataFrame) -> DataFrame:
+    """column_name, n_distinct (estimated) and n_null of stored sketches."""
+    return sketches.select("column_name", F.hll_sketch_estimate("sketch").alias("n_distinct"), "n_null")
 
 
 def analytics_summary(portfolio: DataFrame) -> DataFrame:
@@ -356,22 +389,14 @@ def entity_counts(policies: DataFrame, claims: DataFrame, brokers: DataFrame) ->
 
 
 def entity_summary(portfolio: DataFrame, now: str) -> DataFrame:
-    """Item 69, over level 2: three summaries of distinct counts with a given time."""
+    """Item 69, over level 2: three summaries of distinct counts with a given time, from one aggregate."""
+    kinds = {
+        "CUSTOMERS": (F.col("customer_region"), F.col("broker_id")),
+        "CLAIMS": (F.when(F.col("claim_total") > 0, 1), F.col("policy_number")),
+        "BROKERS": (F.col("broker_office"), F.col("broker_tier")),
+    }
+    counted = [F.countDistinct(c).alias(f"{kind}_{i}") for kind, pair in kinds.items() for i, c in enumerate(pair)]
     at = F.lit(now).cast("timestamp").alias("cleanup_time")
-    n = count_rows().alias("record_count")
-    customers = portfolio.agg(
-        F.lit("CUSTOMERS").alias("entity"), n,
-        F.countDistinct("customer_region").alias("regions"),
-        F.countDistinct("broker_id").alias("brokers"), at,
-    )
-    claims = portfolio.agg(
-        F.lit("CLAIMS").alias("entity"), n,
-        F.countDistinct(F.when(F.col("claim_total") > 0, 1)).alias("regions"),
-        F.countDistinct("policy_number").alias("brokers"), at,
-    )
-    brokers = portfolio.agg(
-        F.lit("BROKERS").alias("entity"), n,
-        F.countDistinct("broker_office").alias("regions"),
-        F.countDistinct("broker_tier").alias("brokers"), at,
-    )
-    return union_all_branches(customers, claims, brokers)
+    rows = F.array(*[F.struct(F.lit(k).alias("entity"), F.col("n").alias("record_count"), F.col(f"{k}_0").alias("regions"),
+                              F.col(f"{k}_1").alias("brokers")) for k in kinds])
+    return portfolio.agg(count_rows().alias("n"), *counted).select(F.inline(rows), at)

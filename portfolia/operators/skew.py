@@ -13,6 +13,8 @@ from portfolia.session import scratch_dir
 ROWS_PER_SALT = 2_000_000
 #: Order units per block when one group is numbered in pieces.
 BLOCK = 65_536
+#: Ranges of values that are sent to all rows; more of them are joined by their group.
+FEW = 100_000
 
 
 def row_salt(df: DataFrame, salts: Column) -> Column:
@@ -171,74 +173,75 @@ def number_runs(
 
 def exact_quantiles(
     df: DataFrame, group: str, value: str, probs: Sequence[float],
-    weight: str | None = None, buckets: int = 64, groups: Sequence[str] | None = None,
+    weight: str | None = None, cuts: int = 64, most: int = 65_536,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, exact, with bounded state per task.
 
-    ``percentile`` keeps every distinct value of a group in one task. Here values are
-    counted first, a sketch cuts each group's distinct values into buckets of about
-    equal size, and only the buckets that hold a wanted rank are ordered. The sketch
-    affects the balance alone: any cut gives the same result.
+    ``percentile`` keeps every distinct value of a group in one task. Here values are counted and written once. Every
+    wanted rank then has a range of values that holds it: as long as a range holds more than ``most`` of them, a sketch
+    cuts it in ``cuts`` parts of about equal size, and the part with the rank is the new range. So a pass reads what is
+    left of the ranges, their number is the logarithm of the largest group, and no task orders more than ``most``
+    values. The sketch affects the balance alone: any cut gives the same result.
 
-    A row counts ``weight`` times. ``groups`` lists the group values where they are a
-    fixed set; the cuts then have that many rows at most and are broadcast. Output:
-    group, ``n``, ``prob``, ``quantile``.
+    A row counts ``weight`` times; rows without a group or value count nowhere. Output: group, ``n``, ``prob``,
+    ``quantile``.
     """
-    if groups is not None:
-        df = df.where(F.col(group).isin(*groups))
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    counts = (
-        df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias("_v"))
-        .agg(F.sum(w).alias("c"))
-        .where(F.col("c") > 0)
-    )
-    cuts = counts.groupBy(group).agg(
-        F.sum("c").alias("n"),
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 20 * buckets).alias("_cuts"),
-    )
-    bucket = F.size(F.filter("_cuts", lambda x: x < F.col("_v")))
-    if groups is None:
-        binned = salted_join(counts, cuts.drop("_n"), group, "inner",
-                             left_counts=cuts.select(group, "_n"), right_unique=True)
-    else:
-        binned = counts.join(F.broadcast(cuts.drop("_n")), group)
-    binned = binned.withColumn("_bucket", bucket).drop("_cuts")
-
-    upto = Window.partitionBy(group).orderBy("_bucket")  # at most ``buckets`` rows per group
-    per_bucket = (
-        binned.groupBy(group, "_bucket").agg(F.sum("c").alias("_in"), F.first("n").alias("_total"))
-        .withColumn("_start", F.sum("_in").over(upto) - F.col("_in"))
-        .withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_rank", F.col("prob") * (F.col("_total") - 1))
-    )
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_in"))
+    spark = df.sparkSession
 
-    wanted = per_bucket.where(holds(F.floor("_rank")) | holds(F.ceil("_rank"))).select(
-        group, "_bucket", "prob", "_rank", "_start"
-    )
-    inside = Window.partitionBy(group, "prob", "_bucket").orderBy("_v")
-    near = (
-        binned.join(wanted, [group, "_bucket"])
-        .withColumn("_last", F.col("_start") + F.sum("c").over(inside) - 1)
-        .withColumn("_first", F.col("_last") - F.col("c") + 1)
-    )
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        path = scratch_dir(spark, name)
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col("_v")))
-
-    return (
-        near.groupBy(group, "n", "prob", "_rank")
-        .agg(at(F.floor("_rank")).alias("lower"), at(F.ceil("_rank")).alias("upper"))
-        .select(
-            group, "n", "prob",
-            (F.col("lower") + (F.col("upper") - F.col("lower")) * (F.col("_rank") - F.floor("_rank")))
-            .alias("quantile"),
-        )
-    )
+    w = F.col(weight) if weight else F.lit(1).cast("long")
+    counts = kept(
+        df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+        .groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+        .agg(F.sum(w).cast("long").alias("_c")).where("_c > 0"), "values")
+    whole = counts.groupBy("_g").agg(
+        F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    whole = kept(whole, "groups")
+    at = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    ranks = whole.withColumn("prob", at).withColumn("_at", F.col("prob") * (F.col("n") - 1))
+    held = ranks.select("_g", F.explode(F.array(F.floor("_at"), F.ceil("_at"))).alias("_rank"), "_lo", "_hi", "_size",
+                        F.lit(0).cast("long").alias("_start")).distinct()
+    span = ["_g", "_lo", "_hi"]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        """The values of the ranges; what several ranks share is read once. Few ranges go to the rows."""
+        few = ranges.select(*span, "_start").distinct()
+        few = F.broadcast(few) if few.limit(FEW + 1).count() <= FEW else few
+        return counts.join(few, "_g").where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    while True:
+        wide = held.where(F.col("_size") > most)
+        if wide.isEmpty():
+            break
+        rows = inside(wide)
+        marks = rows.groupBy(*span).agg(
+            F.percentile_approx("_v", [i / cuts for i in range(1, cuts)], 20 * cuts).alias("_marks"))
+        binned = rows.join(marks, span).withColumn("_bin", F.size(F.filter("_marks", lambda x: x < F.col("_v"))))
+        bins = binned.groupBy(*span, "_start", "_bin").agg(
+            F.sum("_c").alias("_in"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        upto = Window.partitionBy(*span).orderBy("_bin")  # at most ``cuts`` rows
+        bins = bins.withColumn("_first", F.col("_start") + F.sum("_in").over(upto) - F.col("_in")).drop("_start", "_bin")
+        narrow = wide.select(*span, "_rank").join(bins, span).where(
+            (F.col("_first") <= F.col("_rank")) & (F.col("_rank") < F.col("_first") + F.col("_in"))).select(
+            "_g", "_rank", F.col("_from").alias("_lo"), F.col("_to").alias("_hi"), F.col("_n").alias("_size"),
+            F.col("_first").alias("_start"))
+        held = kept(held.where(F.col("_size") <= most).unionByName(narrow), "ranges")
+
+    order = Window.partitionBy(*span).orderBy("_v")  # at most ``most`` rows
+    near = inside(held).withColumn("_last", F.col("_start") + F.sum("_c").over(order) - 1)
+    near = near.withColumn("_first", F.col("_last") - F.col("_c") + 1).select(*span, "_v", "_first", "_last")
+    found = held.select(*span, "_rank").join(near, span).where(
+        F.col("_rank").between(F.col("_first"), F.col("_last"))).select("_g", "_rank", "_v")
+    low, high = (found.select("_g", F.col("_rank").alias(r), F.col("_v").alias(v)) for r, v in (("_a", "_x"), ("_b", "_y")))
+    both = ranks.select("_g", "n", "prob", "_at", F.floor("_at").alias("_a"), F.ceil("_at").alias("_b")).join(
+        low, ["_g", "_a"]).join(high, ["_g", "_b"])
+    return both.select(
+        F.col("_g").alias(group), "n", "prob",
+        (F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_at") - F.col("_a"))).alias("quantile"))
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:

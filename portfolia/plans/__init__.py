@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from portfolia.plans.registry import ORACLES, QUERIES
 from portfolia.plans import (  # noqa: F401  (registration)
-    documents, functions, governance, integration, ordered, quality, risk, semantic, sources, streaming,
+    documents, extensions, functions, governance, integration, ordered, quality, risk, semantic, sources, streaming,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

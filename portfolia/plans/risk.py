@@ -339,7 +339,7 @@ def _rounded_box(df: DataFrame) -> DataFrame:
 @query("box_stats", sql(_box_sql("final_risk_level", "policy_annual_premium", "scored"), "scored"))
 def _box(spark, d):
     return _rounded_box(feeds.box_stats(
-        portfolio(spark, d), "final_risk_level", "policy_annual_premium", "weight", risk.LEVEL_NAMES))
+        portfolio(spark, d), "final_risk_level", "policy_annual_premium", "weight"))
 
 
 @query("box_stats_by_tier", sql(
@@ -348,7 +348,7 @@ def _box(spark, d):
   AS portfolio_risk_score FROM scored GROUP BY 1, 2"""))
 def _box_tier(spark, d):
     per_broker = feeds.broker_correlation(portfolio(spark, d), stats(spark, d))
-    return _rounded_box(feeds.box_stats(per_broker, "broker_tier", "portfolio_risk_score", groups=risk.TIER_NAMES))
+    return _rounded_box(feeds.box_stats(per_broker, "broker_tier", "portfolio_risk_score"))
 
 
 @query("histogram_bins", sql(
@@ -373,9 +373,34 @@ def _numeric_summary(spark, d):
     return feeds.numeric_summary(b.policies(spark, d))
 
 
-@query("profile_columns")
+KINDS = {"DATE": "datetime", "TIMESTAMP": "datetime", "VARCHAR": "categorical", "BOOLEAN": "categorical"}
+PROFILED = ["policy_number", "age", "insured_sex", "insured_occupation", "policy_annual_premium", "policy_start_date", "broker_id"]
+
+
+def _profile_sql() -> str:
+    kind = "CASE {} ELSE 'numeric' END".format(" ".join(f"WHEN t = '{t}' THEN '{k}'" for t, k in KINDS.items()))
+    parts = [f"""SELECT {i} AS ordinal, '{c}' AS column_name, any_value(typeof({c})) AS t, count(DISTINCT {c}) AS n_distinct,
+  count(*) - count({c}) AS n_null FROM policies""" for i, c in enumerate(PROFILED)]
+    return f"""SELECT CAST(ordinal AS INTEGER) AS ordinal, column_name, {kind} AS kind, n_distinct, n_null,
+  CASE column_name WHEN 'policy_start_date' THEN 'x' WHEN 'age' THEN 'y' END AS axis, 'line' AS recommended
+FROM ({' UNION ALL '.join(parts)}) z"""
+
+
+@query("profile_columns", sql(_profile_sql(), "policies"))
 def _profile(spark, d):
-    return feeds.profile_columns(b.policies(spark, d))
+    return feeds.profile_columns(b.policies(spark, d).select(*PROFILED))
+
+
+@query("profile_from_sketches", sql(
+    """SELECT column_name, n_null, true AS near FROM (SELECT 'policy_number' AS column_name,
+  count(*) - count(policy_number) AS n_null FROM policies UNION ALL SELECT 'age', count(*) - count(age) FROM policies
+  UNION ALL SELECT 'broker_id', count(*) - count(broker_id) FROM policies) z""", "policies"))
+def _profile_sketches(spark, d):
+    rows = b.policies(spark, d).select("policy_number", "age", "broker_id")
+    parts = [feeds.profile_sketches(rows.where(F.pmod(F.xxhash64("policy_number", "age"), F.lit(4)) == i)) for i in range(4)]
+    exact = feeds.profile_columns(rows).select("column_name", F.col("n_distinct").alias("exact"))
+    found = feeds.profile_counts(feeds.merge_profiles(*parts)).join(exact, "column_name")
+    return found.select("column_name", "n_null", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("near"))
 
 
 @query("analytics_summary", sql(

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from portfolia.operators import skew
 from portfolia.operators.skew import exact_quantiles, lookup_join, number_runs, salted_join
 
 
@@ -73,15 +74,16 @@ def test_number_runs(spark, block):
             assert got[g, t] == (run, odd_run if v != "s" else None)
 
 
-@pytest.mark.parametrize("groups", [None, ["a", "b", "c"]])
-@pytest.mark.parametrize("buckets", [2, 16, 256])
-def test_exact_quantiles(spark, buckets, groups):
+@pytest.mark.parametrize(("cuts", "most", "few"), [(2, 3, 100), (16, 20, 0), (64, 65_536, 100)])
+def test_exact_quantiles(spark, cuts, most, few, monkeypatch):
+    """Ranges are cut again until they hold few values; a group outside any list is there, too."""
+    monkeypatch.setattr(skew, "FEW", few)
     rng = np.random.default_rng(5)
     data = {"a": rng.normal(size=501).round(2), "b": np.array([3.0] * 200 + [1.0, 9.0]), "c": np.array([7.5])}
     rows = [(g, float(v)) for g, vs in data.items() for v in vs] + [("a", None), (None, 1.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "g", "v", probs, buckets=buckets, groups=groups).collect()}
+    got = {(r.g, r.prob): r.quantile for r in exact_quantiles(df, "g", "v", probs, cuts=cuts, most=most).collect()}
     assert len(got) == 3 * len(probs)
     for g, vs in data.items():
         for p in probs:
