@@ -1,7 +1,7 @@
 """Language-model scores from smoothed n-grams read as a weighted backoff automaton.
 
 States are histories, arcs are the words seen after them, and every state has a failure arc to the state of its
-shorter history. With Dirichlet smoothing the weights are
+shorter history (:class:`Automaton`). With Dirichlet smoothing the weights are
 
     arc      log10((c(h w) + MU * P(w | h')) / (c(h) + MU))
     failure  log10(MU / (c(h) + MU)),
@@ -37,7 +37,10 @@ _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Grams:
-    """The n-grams of a block's texts: for each order the distinct keys, in order, and each token's place there."""
+    """The n-grams of a block's texts: for each order the distinct keys, in order, and each token's place there.
+
+    ``sample`` is a token at which each n-gram ends.
+    """
 
     def __init__(self, texts: pa.Array, order: int):
         words, ends = common.word_hashes(texts)
@@ -50,15 +53,16 @@ class Grams:
         inner[last] = False
         token[inner] = words
         self.first = last - self.sizes + 1
-        key, self.keys, self.place = token, [], []
+        key, self.keys, self.place, self.sample = token, [], [], []
         for k in range(order):
             if k:
                 before = np.empty_like(key)
                 before[1:] = key[:-1]
                 before[self.first] = _START + np.uint64(k)
                 key = common.mix(before * _MULTIPLY + token)
-            found, place = np.unique(key, return_inverse=True)
+            found, sample, place = np.unique(key, return_index=True, return_inverse=True)
             self.keys.append(found)
+            self.sample.append(sample.astype(np.int32))
             self.place.append(place.astype(np.int32))
 
     def counts(self, trained: np.ndarray) -> list[np.ndarray]:
@@ -69,31 +73,86 @@ class Grams:
 
 
 class Automaton:
-    """The reachable part of the model: totals per n-gram of a block, and the corpus sizes."""
-
-    def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, words: int, mu: float):
-        self.grams, self.totals, self.tokens, self.words, self.mu = grams, totals, tokens, words, mu
-
-    def root(self) -> tuple[np.ndarray, np.ndarray]:
-        """Count of every token, and its weight from the root."""
-        count = self.totals[0][self.grams.place[0]]
-        whole = self.tokens + 0.5 * (self.words + 1)
-        weight = np.log10((self.totals[0] + 0.5) / whole) if self.tokens else np.zeros(len(self.totals[0]))
-        return count, weight[self.grams.place[0]]
-
-    def traverse(self, weight: np.ndarray, documents: int) -> np.ndarray:
-        """Log-probability of every token: its arc's weight, or the failure arc's and that of the shorter history."""
-        first = self.grams.first
-        for k in range(1, len(self.totals)):
-            seen = self.totals[k][self.grams.place[k]].astype(np.float64)
-            shorter = self.totals[k - 1][self.grams.place[k - 1]]
-            history = np.empty(len(seen))
-            history[1:] = shorter[:-1]
-            history[first] = documents  # the state in which every text starts
-            below = history + self.mu
-            weight = np.where(seen > 0, np.log10((seen + self.mu * 10.0**weight) / below),
-                              np.log10(self.mu / below) + weight)
-        return weight
+    """The part of the model that a block's texts can reach, as states with arcs and failure arcs.
+
+    State 0 is the root, without a history; states 1 to order - 1 are the beginnings of a text, padded to as many
+    words; then every n-gram shorter than the order that was seen in training is the state of that history.
+
+    * ``fail`` and ``fail_weight`` of a state: the state of the history without its first word, and what that costs;
+    * ``arc_weight[k]`` and ``arc_to[k]`` of an n-gram of k + 1 words: from the state of its first k words the arc of its
+      last one, NaN where it was not seen; the root has arcs for all words.
+    """
+
+    def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, words: int, documents: int, mu: float):
+        self.grams, order = grams, len(totals)
+        whole = tokens + 0.5 * (words + 1)
+        offsets = np.cumsum([order, *(len(t) for t in totals[:-1])])  # where the states of each length begin
+        self.length = np.concatenate([np.arange(order), *(np.full(len(t), k + 1) for k, t in enumerate(totals[:-1]))])
+        self.fail = np.zeros(offsets[-1], np.int64)
+        self.fail_weight = np.zeros(offsets[-1])
+        below = math.log10(mu / (documents + mu))
+        self.fail[1:order], self.fail_weight[1:order] = np.arange(order - 1), below
+        self.arc_weight, self.arc_to = [np.log10((totals[0] + 0.5) / whole)], []
+        first = np.zeros(int(grams.sizes.sum()), bool)
+        first[grams.first] = True
+        for k, count in enumerate(totals):
+            at = grams.sample[k]  # the n-gram of k + 1 words ends at this token
+            shorter = grams.place[k - 1][at] if k else None
+            if k:
+                history = np.where(first[at], documents, totals[k - 1][grams.place[k - 1][at - 1]])
+                below = history + mu
+                with np.errstate(divide="ignore"):
+                    weight = np.log10((count + mu * 10.0 ** self.arc_weight[k - 1][shorter]) / below)
+                self.arc_weight.append(np.where(count > 0, weight, np.nan))
+            if k + 1 < order:  # the n-gram is a history itself
+                own = slice(offsets[k], offsets[k] + len(count))
+                self.fail[own] = offsets[k - 1] + shorter if k else 0
+                self.fail_weight[own] = np.log10(mu / (count + mu))
+                self.arc_to.append(self._known(offsets[k] + np.arange(len(count)), count, totals, offsets))
+            else:
+                self.arc_to.append(self._known(offsets[k - 1] + shorter, count, totals, offsets) if k else np.zeros(
+                    len(count), np.int64))
+        self.start = order - 1
+
+    def _known(self, state: np.ndarray, count: np.ndarray, totals: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+        """The states, or, where one was not seen in training, the longest part of its history that was."""
+        seen = np.concatenate([np.ones(offsets[0], bool), *(t > 0 for t in totals[:-1])])
+        state = state.copy()
+        while not (ok := seen[state]).all():
+            state[~ok] = self.fail[state[~ok]]
+        return state
+
+    def traverse(self) -> np.ndarray:
+        """Log-probability of every text: one walk from left to right that carries a state and adds weights.
+
+        All texts of the block walk in step, the longest first, so that those still on the way are a leading run.
+        """
+        sizes, order = self.grams.sizes, np.argsort(-self.grams.sizes, kind="stable")
+        begin, left = self.grams.first[order], -sizes[order]
+        state, total = np.full(len(order), self.start), np.zeros(len(order))
+        for step in range(int(sizes.max(initial=0))):
+            here = int(np.searchsorted(left, -step, "left"))  # texts with more than ``step`` tokens
+            at, now, sum_ = begin[:here] + step, state[:here], total[:here]
+            open_ = np.arange(here)
+            while len(open_):
+                length = self.length[now[open_]]
+                took = np.zeros(len(open_), bool)
+                for k in range(len(self.arc_weight)):
+                    some = np.flatnonzero(length == k)
+                    if len(some):
+                        gram = self.grams.place[k][at[open_[some]]]
+                        weight = self.arc_weight[k][gram]
+                        ok = ~np.isnan(weight)
+                        took[some[ok]] = True
+                        who = open_[some[ok]]
+                        sum_[who] += weight[ok]
+                        now[who] = self.arc_to[k][gram[ok]]
+                open_ = open_[~took]
+                sum_[open_] += self.fail_weight[now[open_]]
+                now[open_] = self.fail[now[open_]]
+        out = np.empty(len(order))
+        out[order] = total
+        return out
 
 
 def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -155,15 +214,17 @@ def score(docs: DataFrame, trained: Column, id_col: str = "doc_id", text_col: st
         totals = [flat[ends[at[k]] : ends[at[k + 1]]] for k in range(order)]
         tokens, words = (int(model.column(c).to_numpy()[kind == 0].sum()) for c in ("tokens", "words"))
         documents = int(totals[0][np.searchsorted(grams.keys[0], _END)])
-        machine = Automaton(grams, totals, tokens, words, mu)
-        known, base = machine.root()
-        first = grams.first
-        result = machine.traverse(base, documents) if tokens else base
+        first, count = grams.first, totals[0][grams.place[0]]
+        if tokens:
+            machine = Automaton(grams, totals, tokens, words, documents, mu)
+            base, result = np.add.reduceat(machine.arc_weight[0][grams.place[0]], first), machine.traverse()
+        else:
+            base = result = np.zeros(len(first))
         return pa.table({
             "id": table.column("id"), "trained": table.column("trained"), "n_tokens": pa.array(grams.sizes),
-            "n_known": pa.array(np.add.reduceat((known > 0).astype(np.int64), first)),
+            "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), first)),
             "train_tokens": pa.array([tokens] * len(first), pa.int64()),
-            "base_score": pa.array(np.add.reduceat(base, first)), "score": pa.array(np.add.reduceat(result, first))})
+            "base_score": pa.array(base), "score": pa.array(result)})
 
     lists = rows.groupBy("block").applyInArrow(
         count, "block long, kind int, part int, grams array<long>, counts array<int>")

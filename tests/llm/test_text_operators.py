@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,38 +205,63 @@ def test_license_scan_knows_common_texts():
 # --- language model ---
 
 
-def reference_scores(rows, mu):
+def reference_scores(rows, mu, order):
+    """Dirichlet-smoothed n-grams by their formula, every probability from the counts of its whole histories."""
     tokens = [(i, WORDS.findall((t or "").translate(LOWER)) + ["\0"]) for i, t in rows]
     kept = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1 for i, _ in rows]
-    c, pairs = Counter(), Counter()
+    pad = ("\1",) * (order - 1)
+    c = Counter()
     for (_, w), k in zip(tokens, kept, strict=True):
         if k:
-            c.update(w)
-            pairs.update(zip(["\1", *w], w, strict=False))
-    n, v, docs = sum(c.values()), len(c), sum(kept)
+            padded = [*pad, *w]
+            c.update(tuple(padded[i - n : i + 1]) for i in range(len(pad), len(padded)) for n in range(order))
+    single = {g[0]: x for g, x in c.items() if len(g) == 1}
+    n, v, docs = sum(single.values()), len(single), sum(kept)
     out = []
     for i, w in tokens:
-        p = [(c[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        s = sum(math.log10((pairs[h, x] + mu * q) / ((docs if h == "\1" else c[h]) + mu))
-                for h, x, q in zip(["\1", *w], w, p, strict=False))
-        out.append((-1 if i is None else i, len(w), sum(c[x] > 0 for x in w), n,
-                    round(sum(map(math.log10, p)), 6), round(s, 6)))
+        base = score = 0.0
+        padded = (*pad, *w)
+        for at in range(len(pad), len(padded)):
+            p = (single.get(padded[at], 0) + 0.5) / (n + 0.5 * (v + 1))
+            base += math.log10(p)
+            for k in range(1, order):
+                history = padded[at - k : at]
+                seen = docs if set(history) == {"\1"} else c[history]
+                p = (c[padded[at - k : at + 1]] + mu * p) / (seen + mu)
+            score += math.log10(p)
+        out.append((-1 if i is None else i, len(w), sum(x in single for x in w), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["odd", "small"])
-def test_lm_against_brute_force(kind, odd_docs, small_docs, monkeypatch):
+@pytest.mark.parametrize(("kind", "order"), [("odd", 1), ("odd", 2), ("odd", 4), ("small", 2), ("small", 3)])
+def test_lm_against_brute_force(kind, order, odd_docs, small_docs, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 50_000)
     monkeypatch.setattr(lm, "PART_BYTES", 90_000)
     docs = odd_docs if kind == "odd" else small_docs
-    got = lm.score(docs, remainder("doc_id", 5) != 1).collect()
+    got = lm.score(docs, remainder("doc_id", 5) != 1, order=order).collect()
     own = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"],
                   round(r["base_score"], 6), round(r["score"], 6)) for r in got)
-    want = reference_scores([(r["doc_id"], r["text"]) for r in docs.collect()], lm.MU)
+    want = reference_scores([(r["doc_id"], r["text"]) for r in docs.collect()], lm.MU, order)
     assert [r[:4] for r in own] == [r[:4] for r in want]
     assert np.allclose([r[4:] for r in own], [r[4:] for r in want], rtol=1e-9, atol=1e-5)
 
 
+def test_automaton_has_states_failure_arcs_and_one_walk():
+    """Order 3: the failure arcs of every state lead to the root, and a walk visits the states told by its arcs."""
+    texts = pa.array(["a b c a b d", "a b", "x a b c"], pa.string())
+    grams = lm.Grams(texts, 3)
+    totals = grams.counts(np.array([1, 1, 0]))
+    machine = lm.Automaton(grams, totals, 9, 5, 2, 10.0)
+    for state in range(len(machine.fail)):
+        steps = 0
+        while state:
+            assert machine.length[machine.fail[state]] == machine.length[state] - 1
+            state, steps = machine.fail[state], steps + 1
+        assert steps <= 2
+    assert np.isnan(machine.arc_weight[2]).sum() == 4 and not np.isnan(machine.arc_weight[0]).any()
+    assert len(machine.traverse()) == 3 and (machine.traverse() < 0).all()
+
+
 def test_lm_without_rows_or_training(odd_docs, no_docs):
     assert lm.score(no_docs, F.lit(True)).count() == 0
     none = lm.score(odd_docs, F.lit(False)).collect()
@@ -244,4 +270,4 @@ def test_lm_without_rows_or_training(odd_docs, no_docs):
 
 def test_registered_names():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
