@@ -16,11 +16,12 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from portfolia.llm import common
 
@@ -63,11 +64,17 @@ class Recent(dict):
         return value
 
 
+#: Up to here Python's tables of letters and of composed characters are those of the tokenizer library, whose tables
+#: are of another Unicode version: chunks with other characters are normalised and split by the library itself.
+FAMILIAR = "\u024f"
+
+
 class ForcedBoundaryBPE:
     """An encoder read from a tokenizer file: BPE over byte symbols, optionally with a word-end suffix."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
+        self.library = Tokenizer.from_str(raw.decode())
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -150,15 +157,21 @@ class ForcedBoundaryBPE:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         """The ids of a run without white space."""
+        if not chunk.isascii() and max(chunk) > FAMILIAR:
+            known = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
+            return self._ids(list(piece) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(known))
         if self.nfc and not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
         if self.lower:
             chunk = chunk.replace("Σ", "σ").lower()
+        alphabet = self.alphabet
+        return self._ids([alphabet[b] for b in piece.encode()]
+                         for piece in ([chunk] if chunk.isalpha() else self.pattern.findall(chunk)))
+
+    def _ids(self, pieces: Iterable[list[str]]) -> list[int]:
         ids: list[int] = []
-        alphabet, suffix = self.alphabet, self.suffix
-        for piece in [chunk] if chunk.isalpha() else self.pattern.findall(chunk):
-            symbols = [alphabet[b] for b in piece.encode()]
-            symbols[-1] += suffix
+        for symbols in pieces:
+            symbols[-1] += self.suffix
             for fragment in self.cuts(symbols):
                 ids += self._merge(fragment)
         return ids

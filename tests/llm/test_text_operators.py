@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -67,6 +69,18 @@ def test_bpe_equals_library(word_bpe, text):
     assert own.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_equals_library_on_all_code_points(word_bpe):
+    """Every code point beside its neighbours, and random strings of marks and letters, assigned or not."""
+    own, library = word_bpe
+    rng = random.Random(7)
+    points = [c for c in range(0x20, 0x32000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, points[i : i + 24])) for i in range(0, len(points), 24)]
+    marks = [c for c in points if unicodedata.combining(chr(c))]
+    texts += ["".join(chr(rng.choice(rng.choice((points, marks, range(0x41, 0x250))))) for _ in range(8)) for _ in range(4000)]
+    for text in texts:
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_bpe_cuts_change_nothing(word_bpe):
     own, _ = word_bpe
     for word in ("strength", "ääßbc", "x" * 500, "naïveté"):
