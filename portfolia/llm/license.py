@@ -5,14 +5,16 @@ increasing subsequence of their places is kept, and the gaps between anchors are
 without unique words is settled by the longest common subsequence. Coverage is the share of the template's words
 that are aligned; a notice counts from ``COVERAGE``.
 
-A stretch is opened around every place of a template's telling words. These are so many of its longest words that
-a notice of the wanted coverage must hold one of them, so no notice is passed over. Stretches reach two template
-lengths to both sides, whatever the length of the text, and do not reach back into a notice already found.
+Every place of a template's telling words says where a notice would start, and the template is aligned with the
+stretch of its own length there. Telling words are so many of the longest ones that a notice of the wanted coverage
+must hold one of them, so no notice is passed over. Of an alignment the densest run counts, and strange words within
+it count against it: at least ``COVERAGE`` of the words from its first to its last must be aligned. When the best
+notices are taken, what is left between them is aligned again until it holds no more.
 
 Rows: every row of the input gives one row per notice found, or one with a null license and coverage 0. Null text
 counts as empty; repeated rows are scanned alike; overlapping notices are settled for the one with most aligned
-less missing words, so that an altered BSD-3 text is not taken for the BSD-2 text within it, then for the higher
-coverage, then for the earlier name. "All rights reserved." beside a longer notice is part of its copyright line
+less missing and strange words, so that an altered BSD-3 text is not taken for the BSD-2 text within it, then for the
+higher coverage, then for the earlier name. "All rights reserved." beside a longer notice is part of its copyright line
 and gives no row. Other columns are unread.
 """
 
@@ -23,6 +25,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -189,52 +192,98 @@ def _enough(bag: Counter, have: Counter, needed: int) -> bool:
     return sum(min(n, have[w]) for w, n in bag.items()) >= needed
 
 
+class Notice(NamedTuple):
+    """An aligned notice: words ``first`` to ``last``; ``gain`` is matched words less missing and strange ones."""
+
+    gain: int
+    share: float
+    name: str
+    first: int
+    last: int
+    matched: int
+
+
+def _densest(places: list[int]) -> tuple[int, int]:
+    """The run of aligned places (as a slice) with the most matches less the strange words between them."""
+    best, out, total, begin = 0, (0, 0), 0, 0
+    for i, p in enumerate(places):
+        grown = total + 2 - (p - places[i - 1]) if total > 0 else 0
+        if grown > 1:
+            total = grown
+        else:
+            total, begin = 1, i
+        if total > best:
+            best, out = total, (begin, i + 1)
+    return out
+
+
+def _align(own: list[str], words: list[str], begin: int, end: int) -> tuple[int, int, int]:
+    """Matched words of a template in a stretch, and the first and last of them, where they lie densest."""
+    places = [begin + j for _, j in patience(own, words[begin:end])]
+    i, j = _densest(places)
+    return (j - i, places[i], places[j - 1]) if j else (0, 0, 0)
+
+
+def _candidates(words: list[str], begin: int, end: int, wanted: dict, coverage: float) -> list[Notice]:
+    """All notices that align with a stretch of words, overlaps included."""
+    out, have = [], Counter(words[begin:end])
+    for name, (own, tells, needed) in wanted.items():
+        bag, size = Counter(own), len(own)
+        if not _enough(bag, have, needed):
+            continue
+        where: dict[str, list[int]] = {}
+        for p, w in enumerate(own):
+            if w in tells:
+                where.setdefault(w, []).append(p)
+        slack = max(2, size - needed + size // 10)
+        tried = set()
+        # A telling word says where a notice would start; places next to one another are one place.
+        for i in range(begin, end):
+            for p in where.get(words[i], ()):
+                if (key := (i - p) // (slack // 2 + 1)) in tried:
+                    continue
+                tried.add(key)
+                found = (0, 0, 0)
+                for room in (slack, 0):
+                    a, b = max(begin, i - p - room), min(end, i - p + size + room)
+                    if _enough(bag, Counter(words[a:b]), needed):
+                        found = max(found, _align(own, words, a, b), key=lambda f: 2 * f[0] - (f[2] - f[1] + 1))
+                matched, first, last = found
+                span = last - first + 1
+                # As many words of the text as of the template must be aligned: strange words count against a notice.
+                if matched >= needed and matched >= coverage * span:
+                    out.append(Notice(3 * matched - size - span, matched / size, name, first, last, matched))
+    return out
+
+
 def scan(text: str, templates: dict[str, str], coverage: float = COVERAGE) -> list[tuple]:
-    """Notices of a text: (license, start, end, matched words, coverage); places are characters."""
-    low, hits = text.lower(), []
+    """Notices of a text: (license, start, end, matched words, coverage); places are characters.
+
+    The best notices are taken first; what is left between them is aligned again until it holds no more.
+    """
+    low = text.lower()
     prepared = {name: _prepared(template, coverage) for name, template in templates.items()}
     wanted = {name: p for name, p in prepared.items() if any(w in low for w in p[1])}
     if not wanted:
         return []
     words, at = words_of(text)
-    length = [len(w) for w in words]
-    telling = set().union(*(p[1] for p in wanted.values()))
-    places = [i for i, w in enumerate(words) if w in telling]
-    have = Counter(words)
-    for name, (own, tells, needed) in wanted.items():
-        done, bag = 0, Counter(own)
-        if not _enough(bag, have, needed):
-            continue
-        for i in places:
-            if i < done or words[i] not in tells:
-                continue
-            begin, end = max(done, i - 2 * len(own)), min(len(words), i + 2 * len(own) + 1)
-            if not _enough(bag, Counter(words[begin:end]), needed):
-                continue
-            aligned = _tight(own, words, begin, end)
-            if len(aligned) >= needed:
-                first, last = aligned[0][1], aligned[-1][1]
-                hits.append((len(own) - 2 * len(aligned), -len(aligned) / len(own), name, first, last, len(aligned)))
-                done = last + 1
-    grants = [(first, last) for _, _, name, first, last, matched in hits if name != "proprietary" and matched >= LONG]
-    hits = [h for h in hits if h[2] != "proprietary" or all(h[4] + NEAR < x or h[3] > y + NEAR for x, y in grants)]
-    out, taken = [], []
-    for _, share, name, first, last, matched in sorted(hits):
-        if all(last < x or first > y for x, y in taken):
-            taken.append((first, last))
-            out.append((name, at[first], at[last] + length[last], matched, -share))
-    return sorted(out, key=lambda r: r[1])
-
-
-def _tight(own: list[str], words: list[str], begin: int, end: int) -> list[tuple[int, int]]:
-    """The alignment with a stretch; tried again on the densest template length where it straggles."""
-    aligned = [(i, begin + j) for i, j in patience(own, words[begin:end])]
-    if aligned and aligned[-1][1] - aligned[0][1] >= 2 * len(own):
-        places = [j for _, j in aligned]
-        start = max(places, key=lambda p: sum(p <= q < p + len(own) + 2 for q in places))
-        near = [(i, start + j) for i, j in patience(own, words[start : min(end, start + len(own) + 2)])]
-        return max((near, [x for x in aligned if start <= x[1] < start + 2 * len(own)]), key=len)
-    return aligned
+    taken: list[Notice] = []
+    open_ = [(0, len(words))]
+    while open_:
+        begin, end = open_.pop()
+        here: list[Notice] = []
+        for n in sorted(_candidates(words, begin, end, wanted, coverage), key=lambda n: (-n.gain, -n.share, n.name, n.first)):
+            if all(n.last < x.first or n.first > x.last for x in here):
+                here.append(n)
+        edges = [begin - 1, *(e for n in sorted(here, key=lambda n: n.first) for e in (n.first, n.last)), end]
+        if here:
+            open_ += [(a + 1, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a + 1]
+        taken += here
+    grants = [n for n in taken if n.name != "proprietary" and n.matched >= LONG]
+    kept = [n for n in taken if n.name != "proprietary"
+            or all(n.last + NEAR < g.first or n.first > g.last + NEAR for g in grants)]
+    return [(n.name, at[n.first], at[n.last] + len(words[n.last]), n.matched, n.share)
+            for n in sorted(kept, key=lambda n: n.first)]
 
 
 def scan_texts(df: DataFrame, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -202,6 +203,22 @@ def test_license_scan_odd_rows(spark, odd_docs, no_docs):
     assert next(r for r in rows if r["doc_id"] == 0)["coverage"] == 1
 
 
+def test_adjoining_notices_are_told_apart():
+    """Every ordered pair of the longer texts, one right after the other, and three in a row."""
+    long = [n for n, t in license.TEMPLATES.items() if len(license.words_of(t)[0]) >= license.LONG]
+    for a, b in itertools.permutations(long, 2):
+        text = license.TEMPLATES[a] + "\n" + license.TEMPLATES[b]
+        assert [h[0] for h in license.scan(text, license.TEMPLATES)] == [a, b]
+    row = ["MIT-full", "ISC", "BSD-2-Clause"]
+    assert [h[0] for h in license.scan("\n".join(license.TEMPLATES[n] for n in row), license.TEMPLATES)] == row
+
+
+@pytest.mark.parametrize("text", ["Released under the BSD License, unlike the MIT License.", "All other rights are reserved.",
+                                  "Licensed under the old terms of the Apache foundation, not its License, Version 2.0."])
+def test_strange_words_count_against_a_notice(text):
+    assert license.scan(text, license.TEMPLATES) == []
+
+
 def test_license_scan_knows_common_texts():
     head = "Copyright (c) 2019, Jane Doe.\nAll rights reserved.\n\n"
     for name, text in license.TEMPLATES.items():
