@@ -4,8 +4,8 @@ Input of a place: the embedding of its word (lower case, outer signs stripped; w
 vocabulary have none) plus the mean embedding of its character 3- to 5-grams, which are hashed. A run of more
 than ``LONGEST`` characters without white space is no single place: its parts between signs, where it has any,
 and pieces of ``PIECE`` characters of all of it, one every ``STEP``, are places of their own. Two gated recurrent passes run over a window of ``WINDOW`` words, attention pools their states, and one output unit
-gives the window's log-odds. Windows start every ``STRIDE`` words until the last word is covered, so all of a
-text is scored; the text's score is that of its highest window.
+gives the window's log-odds. Windows start every ``STRIDE`` words, half a window, until the last word is covered, so
+every passage of up to as many words is whole in one; the text's score is that of its highest window.
 
 Training is multiple-instance: a toxic document answers for its highest window, another one for its highest
 and for a random window. It reads at most ``TRAIN_DOCS`` labelled documents of each class, those with the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from portfolia.llm import common
 from portfolia.llm.quality import training_rows
 
-WINDOW, STRIDE = 32, 26
+WINDOW, STRIDE = 32, 16
 TRAIN_DOCS, TRAIN_CHARS = {0: 5000, 1: 2500}, 8000
 SIZE, HIDDEN, ATTEND = 12, 8, 8
 GRAM_BUCKETS, VOCABULARY, LEAST_DOCS = 1 << 15, 8000, 4
