@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Elements whose content is not part of the text.
 DROPPED_ELEMENTS = ("head", "script", "style", "nav", "footer", "noscript")
@@ -113,41 +116,86 @@ CHUNK_SIZE, CHUNK_OVERLAP, SEPARATORS = 4000, 400, ("\n\n", " ")
 
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
                separators: Sequence[str] = SEPARATORS) -> list[str]:
-    """The chunks of :func:`split_spans` without their places."""
-    return [chunk for _, chunk in split_spans(text, size, overlap, separators)]
+    """The chunks of one text."""
+    spans = _spans(pa.array([text]), size, overlap, separators)
+    return _texts_at(pa.array([text]), spans).to_pylist()
 
 
-def split_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-                separators: Sequence[str] = SEPARATORS) -> list[tuple[int, str]]:
-    """Cut a text into chunks of at most ``size`` characters, each with the place where it starts.
+class _Chars:
+    """The characters of all texts of a batch in one row: their bytes, where each begins, and where texts begin."""
+
+    def __init__(self, texts: pa.Array):
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        self.raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        begins = (self.raw & 0xC0) != 0x80
+        self.byte = np.append(np.flatnonzero(begins), len(self.raw))
+        self.start = np.searchsorted(self.byte, offsets - offsets[0])
+
+    def places(self, separator: str) -> np.ndarray:
+        """Every character at which the separator stands whole in one text."""
+        sign = np.frombuffer(separator.encode(), np.uint8)
+        hit = np.ones(max(len(self.raw) - len(sign) + 1, 0), bool)
+        for j, c in enumerate(sign):
+            hit &= self.raw[j : j + len(hit)] == c
+        at = np.searchsorted(self.byte, np.flatnonzero(hit))
+        text = np.searchsorted(self.start, at, "right")
+        return at[at + len(separator) <= self.start[np.minimum(text, len(self.start) - 1)]]
+
+
+def _spans(texts: pa.Array, size: int, overlap: int, separators: Sequence[str]) -> tuple[np.ndarray, ...]:
+    """text, number, start and stop (characters of the batch) of all chunks; one step cuts the next chunk of every text.
 
     A chunk ends after the last occurrence of the first separator that occurs in its
     window, or at the window's end if none does. The next chunk starts inside the
     last ``overlap`` characters, at the first separator boundary there.
     """
-    chunks, start = [], 0
-    while start < len(text):
-        stop = min(start + size, len(text))
-        if stop < len(text):
-            for sep in separators:
-                at = text.rfind(sep, start + overlap, stop)
-                if at > start + overlap:
-                    stop = at + len(sep) if at + len(sep) <= start + size else at
-                    break
-        chunks.append((start, text[start:stop]))
-        if stop == len(text):
-            break
-        back = max(stop - overlap, start + 1)
-        nearest = stop
-        for sep in separators:
-            at = text.find(sep, back, stop)
-            if 0 <= at and at + len(sep) < stop:
-                nearest = at + len(sep)
-                break
-        else:
-            nearest = back if not any(sep in text[back:stop] for sep in separators) else stop
-        start = nearest
-    return chunks
+    chars = _Chars(texts)
+    found = [(chars.places(s), len(s)) for s in separators]
+    text = np.flatnonzero(np.diff(chars.start))
+    start, end = chars.start[text], chars.start[text + 1]
+    out, no = [], 0
+
+    def at(places: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """The place of an index, or -1 outside."""
+        inside = (index >= 0) & (index < len(places))
+        return np.where(inside, places[np.where(inside, index, 0)] if len(places) else -1, -1)
+
+    while len(text):
+        stop = np.minimum(start + size, end)
+        open_ = stop < end
+        for places, n in found:
+            last = at(places, np.searchsorted(places, stop - n, "right") - 1)
+            here = open_ & (last > start + overlap)
+            stop = np.where(here, last + n, stop)
+            open_ &= ~here
+        out.append((text, np.full(len(text), no), start, stop))
+        on = stop < end
+        text, start, stop, end = text[on], start[on], stop[on], end[on]
+        back = np.maximum(stop - overlap, start + 1)
+        begin, open_, any_ = stop.copy(), np.ones(len(text), bool), np.zeros(len(text), bool)
+        for places, n in found:
+            first = at(places, np.searchsorted(places, back, "left"))
+            seen = (first >= 0) & (first + n <= stop)
+            any_ |= seen
+            here = open_ & seen & (first + n < stop)
+            begin = np.where(here, first + n, begin)
+            open_ &= ~here
+        start, no = np.where(open_ & ~any_, back, begin), no + 1
+    text, number, start, stop = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((number, text))
+    return text[order], number[order], start[order], stop[order], chars
+
+
+def _texts_at(texts: pa.Array, spans: tuple) -> pa.Array:
+    """The texts of spans; overlapping ones share bytes of the input."""
+    _, _, start, stop, chars = spans
+    begin, size = chars.byte[start], chars.byte[stop] - chars.byte[start]
+    ends = np.cumsum(size)
+    index = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(chars.raw[index])).cast(pa.string())
 
 
 def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
@@ -155,29 +203,51 @@ def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
     """Items 84 and 106: one row per chunk, with its number and the character where it starts.
 
     The input is plain text, not a serialised parse result, so blank lines are real
-    line breaks and the first separator can match.
+    line breaks and the first separator can match. All texts of a slice of about ``SLICE_BYTES`` are cut at once, by
+    arithmetic on the places of their separators. NULL and empty texts have no chunks.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
+    kept = [c for c in docs.columns if c != text]
 
-    @F.pandas_udf("array<struct<start:int,chunk:string>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [
-                {"start": at, "chunk": c} for at, c in split_spans(t, size, overlap, separators)] if t else [])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _byte_slices(batch, len(kept)):
+                spans = _spans(rows.column(len(kept)), size, overlap, separators)
+                own, number, start, _, chars = spans
+                row = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [*[rows.column(i).take(row) for i in range(len(kept))], pa.array(number.astype(np.int32)),
+                     pa.array((start - chars.start[own]).astype(np.int32)), _texts_at(rows.column(len(kept)), spans)],
+                    names=[*kept, "chunk_no", "start", "chunk"])
 
-    kept = [c for c in docs.columns if c != text]
-    return docs.withColumn("_chunks", split(F.col(text))).select(
-        *kept, F.posexplode("_chunks").alias("chunk_no", "_chunk")
-    ).select(*kept, "chunk_no", F.col("_chunk.start").alias("start"), F.col("_chunk.chunk").alias("chunk"))
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("chunk_no", T.IntegerType()),
+                           T.StructField("start", T.IntegerType()), T.StructField("chunk", T.StringType())])
+    return docs.select(*kept, text).mapInArrow(cut, schema)
+
+
+#: Text bytes that are cut into chunks at once; a longer text is cut by itself.
+SLICE_BYTES = 4 << 20
+
+
+def _byte_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, row = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + SLICE_BYTES, "right")) - 1)
+        yield batch.slice(row, last - row)
+        row = last
 
 
-def build_chunk_table(docs: DataFrame, fields: DataFrame, **chunking) -> DataFrame:
+def build_chunk_table(docs: DataFrame, fields: DataFrame | None = None, **chunking) -> DataFrame:
     """Item 107: chunks with file name, document type and extracted fields.
 
-    Fields are joined to whole documents before they are cut, as there are fewer rows.
+    Without given fields they are read from each text in place, so no text is shuffled. Given fields are joined to
+    whole documents before they are cut, as there are fewer rows.
     """
-    joined = join_doc_fields(docs.select("relative_path", "raw_text"), fields)
+    rows = docs.select("relative_path", "raw_text")
+    joined = join_doc_fields(rows, fields) if fields is not None else rows.select(
+        "*", *[fn(F.col("raw_text")).alias(name) for name, fn in EXTRACTORS.items()])
     return chunk_text(joined, **chunking).select(
         "relative_path", "company", "date",
         F.array(F.lit("INSURANCE_DOCS")).alias("document_type"),

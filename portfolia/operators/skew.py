@@ -13,7 +13,7 @@ from portfolia.session import scratch_dir
 ROWS_PER_SALT = 2_000_000
 #: Order units per block when one group is numbered in pieces.
 BLOCK = 65_536
-#: Ranges of values that are sent to all rows; more of them are joined by their group.
+#: Ranges of values, or hot keys, that are sent to all rows; more of them are joined.
 FEW = 100_000
 
 
@@ -52,8 +52,8 @@ def salted_join(
     """Equi-join on ``key`` with hot keys of either side spread over salts.
 
     Keys with at least ``rows_per_salt`` rows are counted first, with map-side
-    partial counts. There are at most (left rows + right rows) / rows_per_salt of
-    them, which bounds the broadcast list. A hot key's rows on one side get a salt
+    partial counts, by a job of their own. There are at most (left rows + right rows) /
+    rows_per_salt of them; up to ``FEW`` are broadcast. A hot key's rows on one side get a salt
     and the matching rows of the other side are repeated once per salt, so each
     pair of rows still meets exactly once. ``how`` is ``inner`` or ``left``.
 
@@ -69,17 +69,24 @@ def salted_join(
             *keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias(name)
         )
 
-    # One row per hot key: how many salts its left rows and its right rows take.
+    # One row per hot key: how many salts its left rows and its right rows take. Counted once and written, so that
+    # the plan of the result neither counts nor, without hot keys, has a branch for them.
     fans = hot(key_counts(left, *keys) if left_counts is None else left_counts, "_fan_l")
     if not right_unique:
         fans = fans.unionByName(hot(key_counts(right, *keys), "_fan_r"), allowMissingColumns=True)
         fans = fans.groupBy(*keys).agg(F.max("_fan_l").alias("_fan_l"), F.max("_fan_r").alias("_fan_r"))
     else:
         fans = fans.withColumn("_fan_r", F.lit(1))
-    fans = F.broadcast(fans)
-    hot_keys = F.broadcast(fans.select(*keys))
+    path = scratch_dir(left.sparkSession, "hot")
+    fans.write.parquet(path)
+    fans = left.sparkSession.read.schema(fans.schema).parquet(path)
+    n_hot = fans.count()
+    if not n_hot:
+        return left.join(_with_keys(right, keys), keys, how)
+    fans = F.broadcast(fans) if n_hot <= FEW else fans
+    hot_keys = fans.select(*keys) if n_hot > FEW else F.broadcast(fans.select(*keys))
     # Rows of ordinary keys, and those without a key, take a plain join that Catalyst prunes and filters through
-    # and that adaptive execution may split; only hot keys are salted. Without hot keys that branch is empty.
+    # and that adaptive execution may split; only hot keys are salted.
     plain = left.join(hot_keys, keys, "left_anti").join(_with_keys(right, keys), keys, how)
     left, right = (df.join(hot_keys, keys, "left_semi") for df in (left, right))
 

@@ -88,15 +88,41 @@ def _join(spark, d):
     return docs.join_doc_fields(rows, docs.extract_fields(rows))
 
 
-@query("chunk_text")
+def chunks_sql(rows: str, size: int = docs.CHUNK_SIZE, overlap: int = docs.CHUNK_OVERLAP) -> str:
+    """The cutting rule said in SQL: ``steps`` has one row per key and chunk, each found from the one before it."""
+    def stop(s: str) -> str:
+        window = f"substr(t, {s} + {overlap + 2}, {size - overlap - 1})"
+        last = [f"strpos(reverse({window}), {sep})" for sep in ("chr(10) || chr(10)", "' '")]
+        return f"""CASE WHEN {s} + {size} >= length(t) THEN length(t) WHEN {last[0]} > 0 THEN {s} + {size + 1} - {last[0]}
+      WHEN {last[1]} > 0 THEN {s} + {size + 1} - {last[1]} ELSE {s} + {size} END"""
+
+    return f"""steps AS (
+  SELECT key, t, 0 AS no, 0 AS s, {stop('0')} AS e FROM ({rows}) r WHERE length(t) > 0
+  UNION ALL
+  SELECT key, t, no + 1, begin, {stop('begin')} FROM (
+    SELECT *, CASE WHEN lines > 0 AND back + lines + 1 < e THEN back + lines + 1
+        WHEN blanks > 0 AND back + blanks < e THEN back + blanks
+        WHEN lines = 0 AND blanks = 0 THEN back ELSE e END AS begin
+    FROM (SELECT *, strpos(substr(t, back + 1, e - back), chr(10) || chr(10)) AS lines,
+        strpos(substr(t, back + 1, e - back), ' ') AS blanks
+      FROM (SELECT *, greatest(e - {overlap}, s + 1) AS back FROM steps WHERE e < length(t)) x) y) z
+)"""
+
+
+@query("chunk_text", f"""WITH RECURSIVE {chunks_sql('SELECT doc_id AS key, text AS t FROM documents')}
+SELECT key AS doc_id, CAST(no AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start, substr(t, s + 1, e - s) AS chunk
+FROM steps""")
 def _chunk(spark, d):
-    return docs.chunk_text(b.documents(spark, d)).select("doc_id", "chunk_no", "chunk")
+    return docs.chunk_text(b.documents(spark, d)).select("doc_id", "chunk_no", "start", "chunk")
 
 
-@query("build_chunk_table")
+@query("build_chunk_table", f"""WITH RECURSIVE headed AS ({HEADED}), fields AS ({FIELDS}),
+{chunks_sql('SELECT relative_path AS key, raw_text AS t FROM headed', 1000, 100)}
+SELECT key AS relative_path, company, date, ['INSURANCE_DOCS'] AS document_type, split_part(key, '/', 2) AS document,
+  CAST(no AS INTEGER) AS chunk_no, substr(t, s + 1, e - s) AS text
+FROM steps JOIN fields ON relative_path = key""")
 def _chunk_table(spark, d):
-    rows = headed(spark, d)
-    return docs.build_chunk_table(rows, docs.extract_fields(rows))
+    return docs.build_chunk_table(headed(spark, d), size=1000, overlap=100)
 
 
 @query("chunk_coverage", """

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from portfolia.operators import documents as docs
@@ -23,6 +24,49 @@ def test_chunk_invariants(text, size, overlap):
         assert text.endswith(chunks[-1])
 
 
+def _plain(text, size, overlap, separators):
+    """The cutting rule, one text and one chunk at a time."""
+    chunks, start = [], 0
+    while start < len(text):
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            for sep in separators:
+                at = text.rfind(sep, start + overlap, stop)
+                if at > start + overlap:
+                    stop = at + len(sep)
+                    break
+        chunks.append((start, text[start:stop]))
+        if stop == len(text):
+            break
+        back = max(stop - overlap, start + 1)
+        hits = [(text.find(sep, back, stop), len(sep)) for sep in separators]
+        fit = [at + n for at, n in hits if at >= 0 and at + n < stop]
+        start = fit[0] if fit else stop if any(at >= 0 for at, _ in hits) else back
+    return chunks
+
+
+MIXED = st.text(alphabet=st.sampled_from("aé漢\U0001F600 \n"), max_size=120)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | MIXED, max_size=6), st.integers(3, 30), st.integers(0, 2),
+       st.sampled_from([("\n\n", " "), (" ",), ("é漢", "\n"), ()]))
+def test_whole_batches_are_cut_as_single_texts_are(texts, size, overlap, separators):
+    array = pa.array([None, *texts], pa.string()).slice(1)
+    spans = docs._spans(array, size, overlap, separators)
+    own, number, start, _, chars = spans
+    got = list(zip(own.tolist(), number.tolist(), (start - chars.start[own]).tolist(), docs._texts_at(array, spans).to_pylist(),
+                   strict=True))
+    assert got == [(i, n, at, c) for i, t in enumerate(texts) for n, (at, c) in enumerate(_plain(t or "", size, overlap, separators))]
+
+
+def test_chunks_keep_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b " * 9, "x", [1]), (2, None, None, None), (3, "", "z", [])],
+                               "id int, raw_text string, chunk_src string, l array<int>")
+    rows = docs.chunk_text(df, size=10, overlap=2).orderBy("chunk_no").collect()
+    assert {(r.id, r.chunk_src, tuple(r.l)) for r in rows} == {(1, "x", (1,))} and len(rows) > 3
+
+
 def test_chunks_prefer_blank_lines():
     text = "a" * 50 + "\n\n" + "b" * 30 + " " + "c" * 30
     first, *rest = docs.split_text(text, 90, 5)

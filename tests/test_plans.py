@@ -42,3 +42,9 @@ def test_top_k_and_first_row_per_key(spark, sf_dir):
 def test_level_two_has_no_window_over_brokers(spark, sf_dir):
     assert "Window" not in plan_of(QUERIES["risk_dashboard"](spark, sf_dir))
 
+
+
+def test_levels_read_each_table_a_few_times(spark, sf_dir):
+    """Hot keys are counted before the plan of the levels is made; without any, the plan has no branch for them."""
+    for name, most in (("integrate_entities", 5), ("risk_dashboard", 9)):
+        assert plan_of(QUERIES[name](spark, sf_dir)).count("FileScan") <= most, name
