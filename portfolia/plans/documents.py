@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from portfolia import bindings as b
-from portfolia.operators import documents as docs, search
+from portfolia.operators import documents as docs, layout, search
 from portfolia.plans.registry import query, sql
 
 
@@ -36,15 +36,24 @@ def _entity_chain(expr: str) -> str:
     return expr
 
 
-@query("parse_documents", f"""
+PAGES = f"""
 SELECT page_id, url,
   trim({_entity_chain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}) AS title,
   {_regex_chain(_entity_chain(_regex_chain('html', LAYOUT)), SPACES)} AS content
-FROM pages""")
+FROM pages"""
+
+
+@query("parse_documents", PAGES)
 def _parse(spark, d):
     return docs.parse_documents(b.table(spark, d, "pages")).drop("html")
 
 
+# The given pages have lists in their menus only, so that both ways read them alike.
+@query("parse_layout", PAGES)
+def _layout(spark, d):
+    return layout.parse_layout(b.table(spark, d, "pages")).drop("html")
+
+
 # The documents carry no insurer or date, so a header with both is put before the whole
 # text: ISO dates, worded dates, and some documents without either.
 HEADED_COLUMNS = [

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from portfolia.operators import documents as docs
+from portfolia.operators import documents as docs, layout
 
 TEXTS = st.text(alphabet=st.sampled_from("ab \n"), max_size=400)
 
@@ -115,3 +115,29 @@ def test_chunk_table(spark):
     rows = docs.build_chunk_table(df, docs.extract_fields(df)).collect()
     assert len(rows) > 1 and {r.document for r in rows} == {"q.txt"} and {r.company for r in rows} == {"A"}
     assert rows[0].document_type == ["INSURANCE_DOCS"]
+
+
+def test_layout_of_nested_lists_and_tables(spark):
+    page = """<html><head><title>T &amp; t</title><style>p {}</style></head><body><nav><ul><li>menu</ul></nav>
+<h1>Top</h1><p>One<p>two <b>bold</b>&nbsp;&lt;3
+<ul><li>a<ul><li>a1<li>a2<ol><li>first</li><li>second</ol></li></ul><li>b <p>more</p></ul>
+<table><thead><tr><th>Name<th>Sum</tr></thead><tr><td>x<td>1<tr><td>y<br>z</td><td><ul><li>p<li>q</ul></td></tr></table>
+<!-- gone <p> --><h2>End</h2>tail < 5 <script>var a = "<p>";"""
+    df = spark.createDataFrame([(1, page, "c"), (2, None, "c"), (3, "", "c")], "id int, html string, key string")
+    got = {r.id: r for r in layout.parse_layout(df).collect()}
+    assert got[1].title == "T & t" and (got[2].title, got[2].content, got[3].content) == (None, None, "")
+    assert got[1].content == "\n".join([
+        "# Top", "", "One", "", "two bold <3", "", "- a", "  - a1", "  - a2", "    1. first", "    2. second", "- b more", "",
+        "Name | Sum", "x | 1", "y z | - p; - q", "", "## End", "", "tail < 5"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<ul>", "</ul>", "<ol>", "<li>", "</li>", "<table>", "<tr>", "<td>", "</td>", "</table>", "<p>",
+                                 "</p>", "<h2>", "</h2>", "<br>", "<b>", "</div>", "w", " x ", "<", ">", "<!-- ", "&amp;"]), max_size=30))
+def test_layout_takes_any_order_of_tags(tokens):
+    """No order of tags fails, no word is lost outside comments, and lines are clean."""
+    page = "".join(tokens)
+    text = layout.layout(page)
+    assert "\n\n\n" not in text and "\x01" not in text and "\x02" not in text
+    if "<!--" not in page and "<w" not in page:
+        assert text.count("w") == tokens.count("w")

@@ -10,7 +10,7 @@ from portfolia.plans import QUERIES
 from tests.conftest import plan_of
 
 STREAMED = ("ingest_stream", "stream_ingest", "refresh_chain", "scheduled_metrics", "change_totals")
-PYTHON = ("broker_performance_exact", "chunk_", "build_chunk_table", "search_")
+PYTHON = ("broker_performance_exact", "chunk_", "parse_layout", "build_chunk_table", "search_")
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(STREAMED)])
