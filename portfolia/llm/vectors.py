@@ -25,8 +25,8 @@ from portfolia.llm import crosspolytope
 from portfolia.llm.common import mix, stored
 from portfolia.llm.components import components
 
-BLOCK = 1024
-WIDTH, PROBES, MISS = 1, 4, 1e-4
+BLOCK, ROWS_AT_ONCE = 8192, 512
+PROBES, MISS = 4, 1e-4
 TABLES, SEARCH_PROBES, AXES = 12, 8, 64
 SEARCH_BLOCK, QUERY_BLOCK = 8192, 1024
 
@@ -58,7 +58,15 @@ def _wide(x: np.ndarray) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, crosspolytope.padded(x.shape[1]) - x.shape[1])))
 
 
-def tables_for(dim: int, cosine: float, width: int = WIDTH, probes: int = PROBES, miss: float = MISS) -> int:
+def code_length(rows: int, dim: int) -> int:
+    """How many hashes are concatenated: so many that vectors spread at random give buckets of at most ``BLOCK``."""
+    length = 1
+    while rows > BLOCK * (2 * crosspolytope.padded(dim)) ** length:
+        length += 1
+    return length
+
+
+def tables_for(dim: int, cosine: float, width: int, probes: int = PROBES, miss: float = MISS) -> int:
     """Tables needed so that a pair at the threshold is missed with a chance of at most ``miss``."""
     chance = min(max(crosspolytope.meeting_chance(dim, width, probes, cosine), 0.01), 1 - 1e-9)
     return max(1, math.ceil(math.log(miss) / math.log(1 - chance)))
@@ -72,8 +80,11 @@ def one_per_id(df: DataFrame, id_col: str, vec_col: str, label: Column) -> DataF
 # --- near-duplicates -------------------------------------------------------------------------------
 
 
-def _visits(reps: DataFrame, cosine: float, with_vector: bool) -> DataFrame:
-    """One row per vector and bucket that it lives in (home) or visits, with its buckets of all tables."""
+def _visits(reps: DataFrame, cosine: float, rows: int, with_vector: bool) -> DataFrame:
+    """One row per vector and bucket that it lives in (home) or visits, with its buckets of all tables.
+
+    ``rows`` is the number of vectors of the most frequent label, from which the length of the codes follows.
+    """
     vector = reps.schema["v"].dataType.simpleString()
     schema = "bucket long, tab int, home boolean, id long" + (
         f", copies long, v {vector}, buckets array<long>" if with_vector else "")
@@ -81,17 +92,18 @@ def _visits(reps: DataFrame, cosine: float, with_vector: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(batch.schema.get_field_index("v"))
-            for width, rows in _by_width(v):
-                x = _wide(unit(matrix(v.take(pa.array(rows)))))
-                label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)[rows]
+            for width, at in _by_width(v):
+                x = _wide(unit(matrix(v.take(pa.array(at)))))
+                label = batch.column(batch.schema.get_field_index("label")).to_numpy(zero_copy_only=False)[at]
                 space = mix(label.astype(np.int64).view(np.uint64) * np.uint64(1 << 20) + np.uint64(width))
-                tables = tables_for(width, cosine)
+                length = code_length(rows, width)
+                tables = tables_for(width, cosine, length)
                 keys = np.stack([
-                    mix(crosspolytope.codes(x, t, WIDTH, PROBES).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    mix(crosspolytope.codes(x, t, length, PROBES).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                         + space[:, None] + np.uint64(t)) for t in range(tables)], axis=1).view(np.int64)
-                n, probes = len(rows), keys.shape[2]
+                n, probes = len(at), keys.shape[2]
                 per = tables * probes
-                take = pa.array(np.repeat(rows, per))
+                take = pa.array(np.repeat(at, per))
                 out = [pa.array(keys.reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables), probes), n).astype(np.int32)),
                        pa.array(np.tile(np.arange(probes) == 0, n * tables)),
                        batch.column(batch.schema.get_field_index("id")).take(take)]
@@ -124,16 +136,19 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, a_low: np.ndarray) -> np.ndarra
 def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
                     label_col: str = "label") -> DataFrame:
     """Per vector: id, n_links, component_id and kept. Vectors are compared within equal labels only."""
-    every = stored(one_per_id(df, id_col, vec_col, F.col(label_col).cast("long")), "vectors")
+    # Labels of any type are compared by their digests.
+    label = F.when(F.col(label_col).isNotNull(), F.xxhash64(F.col(label_col)))
+    every = stored(one_per_id(df, id_col, vec_col, label), "vectors")
     fit = every.where(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("v")))
     # Equal vectors are one vector with copies.
     reps = stored(fit.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "reps")
     same = stored(fit.join(reps.withColumnsRenamed({"label": "l", "v": "w"}), (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")))
                   .select("id", "rep", "copies"), "same")
     reps = reps.select(F.col("rep").alias("id"), "label", "v", "copies")
-    hot = stored(_visits(reps, cosine, False).groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
+    rows = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    hot = stored(_visits(reps, cosine, rows, False).groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
                  .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "hot")
-    visits = _visits(reps, cosine, True).join(hot, "bucket", "left").withColumn(
+    visits = _visits(reps, cosine, rows, True).join(hot, "bucket", "left").withColumn(
         "blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     spread = visits.withColumn("own", own).withColumn(
@@ -145,15 +160,9 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
         own, ids = table.column("own").to_numpy(), table.column("id").to_numpy()
         home, copies = table.column("home").to_numpy(), table.column("copies").to_numpy()
         x = unit(matrix(table.column("v")))
-        tables = tables_for(x.shape[1], cosine)
+        tables = tables_for(x.shape[1], cosine, code_length(rows, x.shape[1]))
         buckets = table.column("buckets").combine_chunks().flatten().to_numpy().reshape(len(ids), tables, -1)
         left, right = (np.flatnonzero(own == key[k].as_py()) for k in (1, 2))
-        near = (x[left] @ x[right].T >= cosine) & (home[left][:, None] | home[right][None, :])
-        near &= ids[left][:, None] != ids[right][None, :]
-        if key[1] == key[2]:
-            near &= ids[left][:, None] < ids[right][None, :]
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
         links, forest, root = np.zeros(len(ids), np.int64), [], {}
 
         def find(k: int) -> int:
@@ -161,24 +170,33 @@ def near_duplicates(df: DataFrame, cosine: float = 0.93, id_col: str = "vec_id",
                 k = root[k] = root.get(root[k], root[k])
             return k
 
-        for at in range(0, len(a), 100_000):
-            p, q = a[at : at + 100_000], b[at : at + 100_000]
-            here = _first_meeting(buckets[p], buckets[q], ids[p] < ids[q]) == key[0].as_py()
-            p, q = p[here], q[here]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            for s, t in zip(ids[p].tolist(), ids[q].tolist(), strict=True):
-                f, g = find(s), find(t)
-                if f != g:
-                    root[f] = g
-                    forest.append((s, t))
+        for begin in range(0, len(left), ROWS_AT_ONCE):
+            some = left[begin : begin + ROWS_AT_ONCE]
+            near = (x[some] @ x[right].T >= cosine) & (home[some][:, None] | home[right][None, :])
+            near &= ids[some][:, None] < ids[right][None, :] if key[1] == key[2] else (
+                ids[some][:, None] != ids[right][None, :])
+            a, b = np.nonzero(near)
+            a, b = some[a], right[b]
+            for at in range(0, len(a), 100_000):
+                p, q = a[at : at + 100_000], b[at : at + 100_000]
+                here = _first_meeting(buckets[p], buckets[q], ids[p] < ids[q]) == key[0].as_py()
+                p, q = p[here], q[here]
+                np.add.at(links, p, copies[q])
+                np.add.at(links, q, copies[p])
+                for s, t in zip(ids[p].tolist(), ids[q].tolist(), strict=True):
+                    f, g = find(s), find(t)
+                    if f != g:
+                        root[f] = g
+                        forest.append((s, t))
         some = np.flatnonzero(links)
         return pa.table({
             "a": pa.array(np.concatenate([ids[some], [e[0] for e in forest]]).astype(np.int64)),
             "b": pa.array([None] * len(some) + [e[1] for e in forest], pa.int64()),
             "n": pa.array(np.concatenate([links[some], [0] * len(forest)]).astype(np.int64))})
 
-    met = stored(spread.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long, n long"), "met")
+    met = spread.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long, n long")
+    # Summed where they are made, before they travel: one row per vector, and one per link of a forest.
+    met = stored(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "met")
     counts = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     found = components(met.where("b is not null").select("a", "b")).withColumnsRenamed({"node": "rep", "component": "c"})
     linked = same.join(counts, "rep", "left").join(found, "rep", "left").select(
@@ -224,12 +242,13 @@ _PAIRS = "query_id long, vec_id long, score double"
 
 
 def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-            tables: int = TABLES, probes: int = SEARCH_PROBES) -> DataFrame:
+            tables: int = TABLES, probes: int = SEARCH_PROBES, length: int = 1) -> DataFrame:
     """The k nearest rows found for each row that ``queries`` marks: query_id, rank, vec_id and score.
 
     Nearness is the inner product. Lengths are made equal first by one more component (none is added where all
     lengths agree to one part in a thousand), so the nearest direction is the largest product. ``probes`` buckets
-    of each table are searched per ``AXES`` axes. A query that meets fewer than k rows is compared with all rows.
+    of each table are searched per ``AXES`` axes. ``length`` hashes are concatenated to a code: longer codes make
+    more and smaller buckets, for more rows than this setting is meant for. A query that meets fewer than k rows is compared with all rows.
     """
     every = stored(one_per_id(df, id_col, vec_col, F.lit(0).cast("long")).where(
         F.col("id").isNotNull() & usable(F.col("v"))).select(
@@ -253,11 +272,11 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id",
                     as_query = np.concatenate([as_query, 0 * rest], axis=1)
                 as_base, as_query = _wide(as_base), _wide(as_query)
                 asking = np.flatnonzero(asks.to_numpy(zero_copy_only=False)[rows])
-                m = min(2 * as_base.shape[1], max(1, round(probes * as_base.shape[1] / AXES)))
+                m = min((2 * as_base.shape[1]) ** length, max(1, round(probes * as_base.shape[1] / AXES)))
                 for t in range(tables):
-                    space = (t * 4096 + width % 4096) << 20
-                    home = crosspolytope.codes(as_base, t, 1, 1)
-                    visit = crosspolytope.codes(as_query[asking], t, 1, m)
+                    space = (t * 4096 + width % 4096) << 40
+                    home = crosspolytope.codes(as_base, t, length, 1)
+                    visit = crosspolytope.codes(as_query[asking], t, length, m)
                     take = pa.array(np.concatenate([rows, np.repeat(rows[asking], m)]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate([home.ravel(), visit.ravel()]) + space),

@@ -65,6 +65,17 @@ def check_near(docs, k):
     return got, links
 
 
+def test_code_length_follows_the_rows():
+    assert [vectors.code_length(n, 64) for n in (0, 10**4, 10**6, 10**8, 10**10, 10**12)] == [1, 1, 1, 2, 3, 4]
+
+
+def test_text_labels(spark):
+    rows = [(i, [1.0, 0.01 * i], "a" if i < 3 else "b" if i < 5 else None) for i in range(7)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == {
+        0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (1, 3), 4: (1, 3), 5: (0, 5), 6: (0, 6)}
+
+
 def test_near_duplicates_odd_rows(odd_docs, no_docs):
     got, links = check_near(odd_docs, 4)
     assert got[None]["component_id"] is None and len(links) == 3
@@ -143,8 +154,13 @@ def cluster_table(spark, odd=True):
     return table, df.select("*", *[F.lit("clash").alias(c) for c in ("id", "v", "bucket", "n", "rep", "score")])
 
 
-def test_near_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("length", [None, 2])
+def test_near_vectors(spark, monkeypatch, length):
+    """In small blocks, with codes of the length that the rows ask for and with longer ones."""
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 5)
+    if length:
+        monkeypatch.setattr(vectors, "code_length", lambda rows, dim: length)
     table, df = cluster_table(spark)
     fit = {i: (np.array(v), k) for i, v, k in table if i is not None and k is not None and i not in range(1000, 1006)}
     links = [(a, b) for a in fit for b in fit if a < b and fit[a][1] == fit[b][1] and len(fit[a][0]) == len(fit[b][0])
