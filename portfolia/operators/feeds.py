@@ -334,6 +334,12 @@ def top_n_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def largest_groups(df: DataFrame, group: str, text: str, n: int = 1) -> DataFrame:
+    """Item 78: the groups whose texts take most bytes."""
+    return df.groupBy(group).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n_bytes")).orderBy(
+        F.col("n_bytes").desc(), group).limit(n)
+
+
 def top_brokers(matrix: DataFrame, n: int = 10) -> DataFrame:
     """Item 75."""
     a = "broker_performance_analysis"

@@ -441,9 +441,7 @@ def _by_volume(spark, d):
         "broker_id", "broker_tier", "total_customers", "total_premium_volume")
 
 
-@query("bounded_sql", sql(
-    """SELECT insured_occupation, count(*) AS n FROM policies GROUP BY 1 ORDER BY 1 LIMIT 1000""", "policies"))
+@query("bounded_sql", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 1000")
 def _bounded(spark, d):
-    b.policies(spark, d).createOrReplaceTempView("policies_for_sql")
-    return feeds.bounded_sql(
-        spark, "SELECT insured_occupation, count(*) AS n FROM policies_for_sql GROUP BY 1 ORDER BY 1; ")
+    b.table(spark, d, "events").createOrReplaceTempView("events_for_sql")
+    return feeds.bounded_sql(spark, "SELECT event_id, event_type FROM events_for_sql ORDER BY event_id; ")

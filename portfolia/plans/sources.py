@@ -110,9 +110,21 @@ def _sample(spark, d):
         F.variant_get("record", f"$.{c}", "string").alias(c) for c in ("broker_id", "office_location")])
 
 
-@query("infer_entity_schema")
+def _types_sql() -> str:
+    """The type of every written column, from its values as they are before they are written."""
+    parts = []
+    for c in schemas.CLAIMS.fieldNames():
+        whole = f"CASE WHEN max(abs(try_cast({c} AS BIGINT))) < 2147483648 THEN 'int' ELSE 'bigint' END"
+        kind = "'double'" if c == "policy_number" else (
+            f"CASE any_value(typeof({c})) WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string'"
+            f" ELSE {whole if c not in ('incident_date', 'fraud_reported') else 'NULL'} END")
+        parts.append(f"SELECT '{c.upper()}' AS column_name, {kind} AS type, true AS nullable FROM claims")
+    return " UNION ALL ".join(parts)
+
+
+@query("infer_entity_schema", sql(_types_sql(), "claims"))
 def _infer(spark, d):
-    return files.describe_schema(spark, files.infer_entity_schema(spark, claim_files(spark, d)))
+    return files.describe_schema(spark, files.infer_entity_schema(spark, claim_files(spark, d))).drop("ordinal")
 
 
 @query("create_from_template", "SELECT count(*) AS n_rows FROM orders")
@@ -123,14 +135,25 @@ def _template(spark, d):
     return empty.unionByName(loaded).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("select_files")
+def files_by_source(spark: SparkSession, d: str) -> str:
+    """Documents as JSON lines in one folder per source."""
+    path = scratch_dir(spark, "by_source")
+    b.table(spark, d, "documents").select("source", "doc_id", "text").write.partitionBy("source").json(path)
+    return path
+
+
+@query("select_files", """SELECT source, true AS has_files, true AS has_bytes FROM documents
+WHERE source LIKE 'src1%' GROUP BY source""")
 def _listing(spark, d):
-    return files.select_files(spark, claim_files(spark, d), suffixes=(".csv",)).select("file_name", "length")
+    found = files.select_files(spark, files_by_source(spark, d), pattern=r"/source=src1[0-9]*/", suffixes=(".json",))
+    return found.groupBy(F.regexp_extract("path", "source=([^/]*)", 1).alias("source")).agg(
+        (F.count("file_name") > 0).alias("has_files"), (F.min("length") > 0).alias("has_bytes"))
 
 
-@query("limit_by_storage")
+@query("limit_by_storage", """SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents
+GROUP BY source ORDER BY n_bytes DESC, source LIMIT 3""")
 def _largest(spark, d):
-    return files.largest_file(spark, claim_files(spark, d))
+    return feeds.largest_groups(b.table(spark, d, "documents"), "source", "text", 3)
 
 
 @query("document_scan", """

@@ -61,16 +61,6 @@ BROKERS = T.StructType(
     ]
 )
 
-METRIC_RESULTS = T.StructType(
-    [
-        T.StructField("table_name", T.StringType()),
-        T.StructField("metric_name", T.StringType()),
-        T.StructField("metric_value", T.LongType()),
-        T.StructField("measurement_time", T.TimestampType()),
-        T.StructField("change_commit_time", T.TimestampType()),
-    ]
-)
-
 BROKER_ANALYSIS = T.StructType(
     [
         T.StructField("total_score", T.DoubleType()),

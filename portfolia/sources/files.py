@@ -149,16 +149,32 @@ def read_json_entity(spark: SparkSession, path: str, schema: T.StructType | None
 
 def infer_entity_schema(spark: SparkSession, path: str, file_format: str = "csv",
                         ignore_case: bool = True) -> T.StructType:
-    """Item 3: column names and types of staged files."""
-    if file_format == "csv":
-        found = spark.read.options(**CSV_OPTIONS).option("inferSchema", True).csv(path).schema
-    else:
-        found = read_json_entity(spark, path).schema
+    """Item 3: column names and types of staged files; CSV columns meet by name, whatever the files' headers."""
+    found = infer_types(read_csv_entity(spark, path)) if file_format == "csv" else read_json_entity(spark, path).schema
     if not ignore_case:
         return found
     return T.StructType([T.StructField(f.name.upper(), f.dataType, f.nullable) for f in found])
 
 
+def infer_types(text: DataFrame) -> T.StructType:
+    """The narrowest type that all values of each text column have, in one pass; columns without values are text."""
+    whole, number = r"^[-+]?[0-9]+$", r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$"
+    fits = {
+        T.IntegerType(): lambda v: v.rlike(whole) & v.try_cast("int").isNotNull(),
+        T.LongType(): lambda v: v.rlike(whole) & v.try_cast("long").isNotNull(),
+        T.DoubleType(): lambda v: v.rlike(number),
+        T.DateType(): lambda v: v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & parse(v, T.DateType()).isNotNull(),
+        T.TimestampType(): lambda v: v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}[ T]") & v.try_cast("timestamp").isNotNull(),
+        T.BooleanType(): lambda v: F.lower(v).isin("true", "false")}
+    checks = []
+    for i, c in enumerate(text.columns):
+        v = F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+        checks += [F.bool_and(F.when(v.isNotNull(), fit(v))).alias(f"{i}_{j}") for j, fit in enumerate(fits.values())]
+    found = text.agg(*checks).first() if checks else {}
+    return T.StructType([T.StructField(c, next((t for j, t in enumerate(fits) if found[f"{i}_{j}"]), T.StringType()))
+                         for i, c in enumerate(text.columns)])
+
+
 def describe_schema(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """Item 3 as rows: one per column."""
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(schema)]
@@ -282,7 +298,7 @@ def select_files(spark: SparkSession, folder: str, pattern: str | None = None,
 
 
 def largest_file(spark: SparkSession, folder: str, n: int = 1) -> DataFrame:
-    """Item 78: order and limit over a listing."""
+    """The largest files of a listing."""
     return select_files(spark, folder).orderBy(F.col("length").desc(), "file_name").limit(n)
 
 

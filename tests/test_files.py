@@ -168,3 +168,12 @@ def test_alerts_and_metadata(spark):
     checks = files.metadata_checks(spark, {"present_view": ["id", "x"], "absent_view": ["y"]}).collect()
     assert [(r.table_exists, r.missing_columns) for r in checks] == [(True, ["x"]), (False, ["y"])]
     assert files.exists_probe(spark, "absent_view").first().table_missing
+
+
+def test_types_are_told_by_values_and_names(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("i,l,d,day,at,flag,s,none\n1,9999999999,1.5,2024-01-01,2024-01-01 10:00:00,true,x,\n,,,,,,,\n")
+    (tmp_path / "2.csv").write_text("S,FLAG,AT,DAY,D,L,I\n1,FALSE,2024-02-01T10:00:00,2023-12-31,2,3,-7\n")
+    found = files.infer_entity_schema(spark, str(tmp_path))
+    assert {f.name: f.dataType.simpleString() for f in found} == {
+        "I": "int", "L": "bigint", "D": "double", "DAY": "date", "AT": "timestamp", "FLAG": "boolean", "S": "string",
+        "NONE": "string"}
