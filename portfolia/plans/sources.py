@@ -115,7 +115,7 @@ def _types_sql() -> str:
     parts = []
     for c in schemas.CLAIMS.fieldNames():
         whole = f"CASE WHEN max(abs(try_cast({c} AS BIGINT))) < 2147483648 THEN 'int' ELSE 'bigint' END"
-        kind = "'double'" if c == "policy_number" else (
+        kind = "max('double')" if c == "policy_number" else (
             f"CASE any_value(typeof({c})) WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string'"
             f" ELSE {whole if c not in ('incident_date', 'fraud_reported') else 'NULL'} END")
         parts.append(f"SELECT '{c.upper()}' AS column_name, {kind} AS type, true AS nullable FROM claims")
