@@ -41,7 +41,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("toxicity", not_toxic), ("quality", of_quality), ("minhash_near_dedup", without_near_copies),
     ("best_fit_packing", packed)]
 
-#: Networks, classifiers and packing cannot be said in SQL; the tests hold run() against a brute-force version.
+#: Networks, classifiers and packing cannot be said in SQL; the tests hold each stage, and run() on odd rows, against
+#: plain versions.
 ORACLE_SQL: str | None = None
 
 
