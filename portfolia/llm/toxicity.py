@@ -408,8 +408,14 @@ def scores_of(model, state: dict):
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that a network learnt from them scores below one half."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, folds, held, id_col, text_col))
+    """The documents, with all their columns, that a network learnt from them scores below one half.
+
+    Without labels of both classes nothing can be told, and all documents stay.
+    """
+    model = fit(docs, labels, label, folds, held, id_col, text_col)
+    if isinstance(model, float):
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep():
         state: dict = {}

@@ -335,3 +335,33 @@ def test_pipeline_stages_take_effect(spark, small_docs, sf_dir, labels):
     assert sole.columns == docs.columns and {r["doc_id"] for r in sole.collect()} == want
     out = corpus_pipeline.packed(spark, sole, sf_dir)
     assert {r["doc_id"] for r in out.collect()} == want
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item string, label string, block int"
+
+
+def run_on(spark, folder, rows, labelled=()):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labelled), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_on_odd_rows_without_labels(spark, odd_docs, tmp_path):
+    """Nulls, ties, copies and clashing columns; without labels no classifier rejects anything."""
+    rows = [(r["doc_id"], r["text"], None, "s", None, "clash", "clash", 1) for r in odd_docs.collect()]
+    out = run_on(spark, tmp_path, rows)
+    sets = {i: shingle_set(t, 5) for i, t, *_ in rows if i is not None}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
+             and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = {i for i, c in groups_of(sets, links).items() if i == c} | {None}
+    assert {r["doc_id"] for r in out} == want
+    used = {}
+    for r in out:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in used.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [at for at, _ in sorted(places)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    assert run_on(spark, tmp_path, []) == []
