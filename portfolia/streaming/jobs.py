@@ -7,12 +7,10 @@ so a batch that is run again after a failure replaces its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from portfolia.operators import quality
 from portfolia.sources import files
@@ -67,21 +65,57 @@ def tick_of(arrived: Column, start: str, minutes: int) -> Column:
 CHANGE = "metric_name string, tick long, change long"
 
 
-def _two_earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of every value the two earliest ticks: all that one task has to tell about a value, however often it occurs."""
-    for rows in batches:
-        rows = rows.sort_values("tick", kind="stable")
-        yield rows[rows.groupby(["metric_name", "value"], sort=False).cumcount() < 2]
+#: Every so many batches the ticks stored per value become one table.
+BATCHES_PER_MERGE = 8
+SEEN = "metric_name string, value string, tick long"
 
 
-def _second_arrivals(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A value counts as repeated from the tick of its second row on; what changes is told as +1 and -1 at ticks."""
-    before = [t for t in state.get if t >= 0] if state.exists else []
-    now = sorted(before + [int(t) for rows in batches for t in rows["tick"]])[:2]
-    state.update((now[0], now[1] if len(now) > 1 else -1))
-    if len(now) > 1 and now[1:] != before[1:]:
-        changes = [(key[0], t, -1) for t in before[1:]] + [(key[0], now[1], 1)]
-        yield pd.DataFrame(changes, columns=["metric_name", "tick", "change"])
+def two_earliest(rows: DataFrame) -> DataFrame:
+    """Of every value the two earliest ticks; each task keeps two of them before anything travels."""
+    order = Window.partitionBy("metric_name", "value").orderBy("tick")
+    return rows.select("metric_name", "value", "tick", F.row_number().over(order).alias("_no")).where("_no <= 2").drop("_no")
+
+
+def seen_before(spark: SparkSession, target: str, batch_id: int) -> DataFrame:
+    """Ticks stored by the batches before this one: the last merged table and fewer than ``BATCHES_PER_MERGE`` batches."""
+    first = batch_id // BATCHES_PER_MERGE * BATCHES_PER_MERGE
+    paths = [f"{target}/merged/upto={first - 1}"] if first else []
+    paths += [f"{target}/seen/batch_id={i}" for i in range(first, batch_id)]
+    if not paths:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in SEEN.split(", "))])
+    return reduce(DataFrame.unionByName, [spark.read.schema(SEEN).parquet(p) for p in paths])
+
+
+def store_repeats(rows: DataFrame, target: str, batch_id: int) -> None:
+    """A value counts as repeated from the tick of its second row on; what a batch changes is told as +1 and -1 at ticks.
+
+    Stored are at most two ticks per value and batch. What a merged table replaces is emptied one merge later, so a
+    batch that is run again finds all that it read.
+    """
+    spark = rows.sparkSession
+    write_batch(two_earliest(rows), f"{target}/seen", batch_id)
+    now = spark.read.schema(SEEN).parquet(f"{target}/seen/batch_id={batch_id}")
+    before = seen_before(spark, target, batch_id)
+    known = before.join(now.select("metric_name", "value").distinct(), ["metric_name", "value"], "left_semi")
+    both = known.withColumn("old", F.col("tick")).unionByName(now.withColumn("old", F.lit(None).cast("long")))
+
+    def second(ticks: str) -> Column:  # of at most two ticks per batch since the last merge
+        return F.get(F.array_sort(F.collect_list(ticks)), F.lit(1))
+
+    moved = both.groupBy("metric_name", "value").agg(second("old").alias("was"), second("tick").alias("tick"))
+    moved = moved.where(~F.col("was").eqNullSafe(F.col("tick")))
+    changes = F.inline(F.array(F.struct(F.col("tick"), F.lit(1).cast("long").alias("change")),
+                               F.struct(F.col("was").alias("tick"), F.lit(-1).cast("long").alias("change"))))
+    moved = moved.select("metric_name", changes).where("tick IS NOT NULL")
+    write_batch(moved.groupBy("metric_name", "tick").agg(F.sum("change").alias("change")).where("change != 0"),
+                f"{target}/repeated", batch_id)
+    if batch_id % BATCHES_PER_MERGE == BATCHES_PER_MERGE - 1:
+        two_earliest(before.unionByName(now)).write.mode("overwrite").parquet(f"{target}/merged/upto={batch_id}")
+        last, empty = batch_id - BATCHES_PER_MERGE, now.limit(0).coalesce(1)
+        for old in range(max(last - BATCHES_PER_MERGE + 1, 0), last + 1):
+            empty.write.mode("overwrite").parquet(f"{target}/seen/batch_id={old}")
+        if last >= BATCHES_PER_MERGE:
+            empty.write.mode("overwrite").parquet(f"{target}/merged/upto={last - BATCHES_PER_MERGE}")
 
 
 def scheduled_metrics(stream: DataFrame, metrics: Sequence[quality.Metric], target: str, checkpoint: str, start: str,
@@ -90,8 +124,9 @@ def scheduled_metrics(stream: DataFrame, metrics: Sequence[quality.Metric], targ
 
     Measurements take place at ``start`` and every ``minutes`` after it; a row is seen by all from its arrival on
     (``arrived``, or the time at which it is processed). Nothing is measured anew: counts are sums of changes per tick,
-    and repeated values are known by a state of two numbers per value, their two earliest ticks. A late row corrects
-    the measurements since its arrival. :func:`metric_history` adds the changes up.
+    and repeated values are known by two stored numbers per value, their two earliest ticks (and those of the batches
+    since the last merge). A late row corrects the measurements since its arrival. :func:`metric_history` adds the
+    changes up.
     """
     tick = tick_of(F.current_timestamp() if arrived is None else arrived, start, minutes)
     counted = [m for m in metrics if not m.per_value]
@@ -107,11 +142,7 @@ def scheduled_metrics(stream: DataFrame, metrics: Sequence[quality.Metric], targ
               for m in metrics if m.per_value]
     if values:
         rows = stream.select(tick.alias("tick"), F.inline(F.array(*values))).where("value IS NOT NULL")
-        changes = rows.mapInPandas(_two_earliest, rows.schema).groupBy("metric_name", "value").applyInPandasWithState(
-            _second_arrivals, CHANGE, "first long, second long", "append", GroupStateTimeout.NoTimeout)
-        run_available(changes, f"{checkpoint}/values", lambda batch, i: write_batch(
-            batch.groupBy("metric_name", "tick").agg(F.sum("change").alias("change")).where("change != 0"),
-            f"{target}/repeated", i))
+        run_available(rows, f"{checkpoint}/values", lambda batch, i: store_repeats(batch, target, i))
 
 
 def metric_history(spark: SparkSession, table: str, metrics: Sequence[quality.Metric], target: str, start: str,

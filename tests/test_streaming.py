@@ -13,6 +13,7 @@ from portfolia import bindings as b, schemas
 from portfolia.operators import integrate, quality
 from portfolia.plans.sources import RAW_CLAIMS
 from portfolia.streaming import jobs, refresh
+from tests.conftest import plan_of
 
 def _drop(spark, sf_dir, folder, name, part):
     rows = b.claims(spark, sf_dir).where(F.pmod(F.xxhash64("incident_date", "claim_amount"), F.lit(2)) == part)
@@ -101,6 +102,23 @@ def test_metric_history_of_late_and_repeated_rows(spark, tmp_path):
     assert got == want
 
 
+def test_repeats_need_no_python_and_outlive_merges_and_repeated_batches(spark, tmp_path, monkeypatch):
+    """Any number of batches gives what one gives; a batch run twice, just after a merge or not, changes nothing."""
+    monkeypatch.setattr(jobs, "BATCHES_PER_MERGE", 2)
+    rng, target = random.Random(6), str(tmp_path / "m")
+    rows = [("D", rng.choice(["hot", f"v{rng.randint(0, 12)}"]), rng.randint(0, 9)) for _ in range(72)]
+    for i in range(6):
+        for _ in range(2):
+            jobs.store_repeats(spark.createDataFrame(rows[12 * i : 12 * i + 12], jobs.SEEN), target, i)
+    sums = spark.read.parquet(f"{target}/repeated").groupBy("tick").agg(F.sum("change").alias("n")).where("n != 0")
+    ticks = {v: sorted(t for _, x, t in rows if x == v) for v in {v for _, v, _ in rows}}
+    assert {r.tick: r.n for r in sums.collect()} == Counter(t[1] for t in ticks.values() if len(t) > 1)
+    left = {r.batch_id for r in spark.read.parquet(f"{target}/seen").select("batch_id").distinct().collect()}
+    assert left == {4, 5}
+    plan = plan_of(jobs.two_earliest(spark.createDataFrame(rows, jobs.SEEN)))
+    assert "WindowGroupLimit" in plan and "InPandas" not in plan
+
+
 def test_totals_are_merged_as_batches_come(spark, tmp_path):
     landing, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     rng = random.Random(2)
