@@ -191,11 +191,10 @@ def _spans(texts: pa.Array, size: int, overlap: int, separators: Sequence[str])
 def _texts_at(texts: pa.Array, spans: tuple) -> pa.Array:
     """The texts of spans; overlapping ones share bytes of the input."""
     _, _, start, stop, chars = spans
-    begin, size = chars.byte[start], chars.byte[stop] - chars.byte[start]
-    ends = np.cumsum(size)
-    index = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-    offsets = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(chars.raw[index])).cast(pa.string())
+    begin, end = chars.byte[start], chars.byte[stop]
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
+    data = np.concatenate([chars.raw[:0], *[chars.raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
 def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
@@ -226,8 +225,8 @@ def chunk_text(docs: DataFrame, text: str = "raw_text", size: int = CHUNK_SIZE,
     return docs.select(*kept, text).mapInArrow(cut, schema)
 
 
-#: Text bytes that are cut into chunks at once; a longer text is cut by itself.
-SLICE_BYTES = 4 << 20
+#: Text bytes that are cut into chunks at once, at about ten bytes of memory each; a longer text is cut by itself.
+SLICE_BYTES = 1 << 20
 
 
 def _byte_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
@@ -60,6 +62,17 @@ def test_whole_batches_are_cut_as_single_texts_are(texts, size, overlap, separat
     assert got == [(i, n, at, c) for i, t in enumerate(texts) for n, (at, c) in enumerate(_plain(t or "", size, overlap, separators))]
 
 
+def test_memory_of_cutting_does_not_follow_the_batch():
+    """An Arrow batch of 16 MB of text is cut with a fraction of its size beside it."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["word é " * 2000] * 1000)], names=["t"])
+    tracemalloc.start()
+    for rows in docs._byte_slices(batch, 0):
+        docs._texts_at(rows.column(0), docs._spans(rows.column(0), 4000, 400, docs.SEPARATORS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert batch.nbytes > 15 << 20 and peak < 40 << 20, peak
+
+
 def test_chunks_keep_other_columns(spark):
     df = spark.createDataFrame([(1, "a b " * 9, "x", [1]), (2, None, None, None), (3, "", "z", [])],
                                "id int, raw_text string, chunk_src string, l array<int>")
