@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from portfolia.session import scratch_dir
+
 # Trends ----------------------------------------------------------------------------------
 
 MOMENTS = ("n", "sx", "sy", "sxx", "sxy")
@@ -117,20 +119,29 @@ def scaled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return rows.withColumn("_f", F.array(*out))
 
 
-def _distance(centre: Sequence[int]) -> Column:
-    return sum((F.pow((F.get("_f", F.lit(i)) - F.lit(int(c))).cast("double"), 2) for i, c in enumerate(centre)), F.lit(0.0))
+def _ranked(centres: Sequence[Sequence[int]]) -> Column:
+    """Squared distance to the nearest centre times the number of centres, plus its number (the first of equally near ones).
+
+    Whole numbers, so exact: distances are at most ``SCALE`` squared per feature. One number per centre keeps the
+    generated code small enough for the JVM to compile.
+    """
+    squares = [sum((F.get("_f", F.lit(i)) - F.lit(int(c))) * (F.get("_f", F.lit(i)) - F.lit(int(c))) for i, c in enumerate(centre))
+               for centre in centres]
+    packed = [(d * F.lit(len(centres)) + F.lit(j)).cast("long") for j, d in enumerate(squares)]
+    return F.least(*packed) if len(packed) > 1 else packed[0]
 
 
 def _nearest(centres: Sequence[Sequence[int]]) -> Column:
-    """The number of the nearest centre, the first of equally near ones; centres are constants of the expression."""
-    return F.array_min(F.array(*[F.struct(_distance(c).alias("d"), F.lit(j).alias("j")) for j, c in enumerate(centres)]))
+    """The number of the nearest centre; centres are constants of the expression."""
+    return F.pmod(_ranked(centres), F.lit(len(centres)))
 
 
 def segment_customers(rows: DataFrame, key: str, features: Sequence[str], k: int = 5, seed: int = 1,
                       rounds: int = 20) -> DataFrame:
     """Key and ``segment`` (0 to k - 1) of every row, by k-means over scaled features.
 
-    Rows of equal features are one weighted point. Centres are begun as in k-means++: the next one is drawn in
+    Rows of equal features are one weighted point; the points are written to scratch once, and all passes read them
+    there, however the rows came in. Centres are begun as in k-means++: the next one is drawn in
     proportion to the squared distance from those there are, as the least of -ln(u) / (weight x distance) over all
     points with u from a hash of point and seed, which is one aggregate over the points. Every round is one aggregate
     as well, of whole numbers, so the segments are the same for any partitioning; k centres are all the driver gets.
@@ -138,10 +149,13 @@ def segment_customers(rows: DataFrame, key: str, features: Sequence[str], k: int
     """
     table = scaled(rows.select(key, *features), features)
     points = table.groupBy("_f").agg(F.count(F.lit(1)).alias("_w"))
+    path = scratch_dir(rows.sparkSession, "points")
+    points.write.parquet(path)
+    points = rows.sparkSession.read.schema(points.schema).parquet(path)
     centres: list[list[int]] = []
     while len(centres) < k:
         u = (F.pmod(F.xxhash64("_f", F.lit(seed), F.lit(len(centres))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-        far = _nearest(centres)["d"] if centres else F.lit(1.0)
+        far = ((_ranked(centres) - _nearest(centres)) / F.lit(len(centres))) if centres else F.lit(1.0)
         race = -F.log(u) / (F.col("_w") * far)
         first = points.where(far > 0).agg(F.min(F.struct(race.alias("r"), F.col("_f").alias("f"))).alias("m")).first()["m"]
         if first is None:
@@ -150,7 +164,7 @@ def segment_customers(rows: DataFrame, key: str, features: Sequence[str], k: int
     if not centres:
         return table.select(key, F.lit(None).cast("int").alias("segment"))
     for _ in range(rounds):
-        sums = points.groupBy(_nearest(centres)["j"].alias("j")).agg(
+        sums = points.groupBy(_nearest(centres).alias("j")).agg(
             F.sum("_w").alias("w"), *[F.sum(F.get("_f", F.lit(i)) * F.col("_w")).alias(f"s{i}") for i in range(len(features))])
         moved = list(centres)
         for r in sums.collect():
@@ -158,4 +172,4 @@ def segment_customers(rows: DataFrame, key: str, features: Sequence[str], k: int
         if moved == centres:
             break
         centres = moved
-    return table.select(key, _nearest(centres)["j"].cast("int").alias("segment"))
+    return table.select(key, _nearest(centres).cast("int").alias("segment"))

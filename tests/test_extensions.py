@@ -72,3 +72,17 @@ def test_segments_are_stable_and_equal_a_plain_run(spark):
     assert (far.argmin(axis=1) == label).all() and len(set(label)) == 6
     assert x.segment_customers(df.limit(0), "id", names).count() == 0
     assert {r.segment for r in x.segment_customers(df.where("id < 2"), "id", names, 6).collect()} == {0, 1}
+
+
+def test_segment_passes_read_points_that_are_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(x, "scratch_dir", lambda spark, purpose: str(tmp_path / purpose))
+    df = spark.createDataFrame([(i, i % 7, i % 3) for i in range(60)], "id long, a int, b int")
+    got = x.segment_customers(df, "id", ["a", "b"], 4)
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 21 and got.count() == 60
+
+
+def test_nearest_centre_is_the_first_of_equally_near_ones(spark):
+    centres = [[x.SCALE, 0], [0, 0], [0, 0], [0, x.SCALE]]
+    df = spark.createDataFrame([([0, 0],), ([x.SCALE, x.SCALE],), ([0, x.SCALE - 1],)], "_f array<long>")
+    assert [r.j for r in df.select(x._nearest(centres).alias("j")).collect()] == [1, 0, 3]
+    assert [r.j for r in df.select(x._nearest(centres[:1]).alias("j")).collect()] == [0, 0, 0]
