@@ -12,11 +12,15 @@ from portfolia.plans.sources import claim_files
 from portfolia.session import scratch_dir
 from portfolia.streaming import jobs
 
+#: A task reads whole row groups, so a file of one group would be the work of one task.
+ROW_GROUP_BYTES = 4 << 20
+
+
 def arriving_claims(spark: SparkSession, d: str, batches: int = 2) -> DataFrame:
-    """Bound claims as a stream: one file per batch."""
+    """Bound claims as a stream: one file per batch, in row groups that several tasks can read."""
     landing = scratch_dir(spark, "landing")
     orders = b.table(spark, d, "orders")
-    orders.repartition(batches, "o_orderkey").write.parquet(landing)
+    orders.repartition(batches, "o_orderkey").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(landing)
     stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(landing)
     return stream.selectExpr(*b.CLAIM_COLUMNS)
 

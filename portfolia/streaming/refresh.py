@@ -219,14 +219,18 @@ class Chain:
     # --- arriving claims ---
 
     def arrive(self, batch: DataFrame, batch_id: int) -> None:
-        """Store a batch of claims, at its homes and once by number, and recompute the buckets of its homes."""
+        """Store a batch of claims, once by number and at its homes, and recompute the buckets of its homes.
+
+        The stream is read once; all else reads the stored claims, which several tasks can whatever the batch came in.
+        """
         if batch_id <= self.steps().get("batch", -1):
             return
-        placed = batch.withColumn("part", self.part())
+        (batch.withColumn("part", self.part()).hint("rebalance", "part").write.mode("overwrite").partitionBy("part")
+         .parquet(f"{self.target}/claims/batch_id={batch_id}"))
+        placed = self.table("claims").where(F.col("batch_id") == batch_id)
         parts = [r.part for r in placed.where("policy_number IS NOT NULL").select("part").distinct().collect()]
         homes = self.table("units").where(among("part", parts)).select("policy_number", "bucket")
-        self.bring(batch, homes, batch_id)
-        placed.write.mode("overwrite").partitionBy("part").parquet(f"{self.target}/claims/batch_id={batch_id}")
+        self.bring(placed.drop("batch_id", "part"), homes, batch_id)
         touched = self.table("homed").where(F.col("batch_id") == batch_id).select("bucket").distinct()
         self.compute([r.bucket for r in touched.collect()], batch_id)
         self.log("batch", batch_id)

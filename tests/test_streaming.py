@@ -6,11 +6,13 @@ import os
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from portfolia import bindings as b, schemas
 from portfolia.operators import integrate, quality
+from portfolia.plans import streaming as plans
 from portfolia.plans.sources import RAW_CLAIMS
 from portfolia.streaming import jobs, refresh
 from tests.conftest import plan_of
@@ -157,6 +159,25 @@ def test_refresh_chain_equals_batch_for_any_order_of_arrival(spark, sf_dir, tmp_
         assert got.exceptAll(want).count() == 0
 
 
+def test_a_batch_is_stored_before_it_is_read_again(spark, sf_dir, tmp_path, monkeypatch):
+    """Claims are brought to their homes from stored files, and arriving files can be read by several tasks."""
+    monkeypatch.setattr(plans, "ROW_GROUP_BYTES", 8 << 10)
+    monkeypatch.setattr(plans, "scratch_dir", lambda spark, purpose: str(tmp_path / purpose))
+    read, bring = [], refresh.Chain.bring
+
+    def seen(self, claims, homes, batch_id):
+        read.append((batch_id, claims.inputFiles()))
+        bring(self, claims, homes, batch_id)
+
+    monkeypatch.setattr(refresh.Chain, "bring", seen)
+    refresh.refresh_chain(plans.arriving_claims(spark, sf_dir), b.policies(spark, sf_dir), b.brokers(spark, sf_dir),
+                          str(tmp_path / "out"), str(tmp_path / "ckpt"), 3)
+    arrived = {i: paths for i, paths in read if i >= 0}
+    assert set(arrived) == {0, 1} and all(paths and all("/out/claims/" in p for p in paths) for paths in arrived.values())
+    landed = glob.glob(f"{tmp_path}/landing/*.parquet")
+    assert len(landed) == 2 and all(pq.ParquetFile(p).num_row_groups > 1 for p in landed)
+
+
 def test_one_change_reads_only_its_buckets_and_survives_a_cut(spark, sf_dir, tmp_path, monkeypatch):
     """Files of all other buckets are unreadable while one policy moves; the first attempt fails half way."""
     landing, target, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
